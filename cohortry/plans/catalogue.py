@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from cohortry.plans import ctes, flagship  # noqa: F401
+from cohortry.plans import ctes, flagship, ingest, filters, joins  # noqa: F401
 from cohortry.plans.registry import QUERIES, oracle_sql  # noqa: F401
