@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
+# sums are decimal, so they do not depend on the order in which partitions arrive
+EXACT = "decimal(20,6)"
+
+
 def _running(folded: DataFrame, group: Sequence[str], time: str, sums: Sequence[str], upto: int, prefix: str) -> DataFrame:
     w = W.partitionBy(*group).orderBy(time).rangeBetween(W.unboundedPreceding, upto)
     return folded.select(*group, time, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{prefix}{s}") for s in sums])
@@ -20,7 +24,7 @@ def peer_sums(rows: DataFrame, group: Sequence[str], time: str, values: Sequence
     One partial aggregate folds a hub to at most one row per period; the RANGE window then runs over
     those, and the result is joined back on (group, time).
     """
-    folded = rows.groupBy(*group, time).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(v).cast("double")).alias(v) for v in values])
+    folded = rows.groupBy(*group, time).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(v).cast(EXACT)).alias(v) for v in values])
     run = _running(folded, group, time, ["n", *values], upto, prefix)
     return rows.join(run, [*group, time])
 
@@ -38,14 +42,14 @@ def peer_aggregates(rows: DataFrame, source: str = "source", time: str = "t0", l
     n = F.col("p_n") - 1
 
     def mean_without_self(v):
-        return F.when(n > 0, (F.col(f"p_{v}") - F.col(v)) / n).otherwise(F.lit(-1.0))
+        return F.when(n > 0, (F.col(f"p_{v}") - F.col(v).cast(EXACT)).cast("double") / n).otherwise(F.lit(-1.0))
     return a.select(
         *rows.columns,
         n.cast("bigint").alias("peer_n_prior"),
         mean_without_self("early_overlap").alias("peer_overlap_mean"),
         mean_without_self("early_prod").alias("peer_prod_mean"),
         mean_without_self("early_breadth").alias("peer_breadth_mean"),
-        F.when(F.col("c_n") > 0, F.col("c_y") / F.col("c_n")).otherwise(F.lit(-1.0)).alias("peer_track_record"),
+        F.when(F.col("c_n") > 0, F.col("c_y").cast("double") / F.col("c_n")).otherwise(F.lit(-1.0)).alias("peer_track_record"),
         F.col("c_n").cast("bigint").alias("peer_n_closed"))
 
 

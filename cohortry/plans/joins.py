@@ -3,13 +3,12 @@
 from pyspark.sql import functions as F
 
 from cohortry.functions import textids as X
-from cohortry.functions.columns import r6, ratio, render
+from cohortry.functions.columns import r6, render
 from cohortry.operators import impact, lineage as L, peers, profiles, resolve as V
 from cohortry.operators.ordering import first_by
 from cohortry.plans import stages as S
 from cohortry.plans.ingest import link_rows
 from cohortry.plans.registry import cte, query
-from cohortry.sources.readers import outstanding  # noqa: F401
 
 JAC = "CASE WHEN len({a})=0 OR len({b})=0 THEN 0.0::DOUBLE ELSE len(list_intersect({a},{b}))::DOUBLE/len(list_distinct({a} || {b})) END"
 
@@ -266,7 +265,7 @@ LEFT JOIN t_cohort j ON j.source = i.source AND j.t0 <= i.t0 AND j.subject <> i.
 def peer_prior_join(spark, sf):
     c = S.cohort(spark, sf).select("subject", "source", "t0", "early_overlap")
     p = peers.peer_sums(c, ["source"], "t0", ["early_overlap"], 0, "p_")
-    return p.select("subject", (F.col("p_n") - 1).alias("n_prior"), r6(F.col("p_early_overlap") - F.col("early_overlap")).alias("overlap_sum"))
+    return p.select("subject", (F.col("p_n") - 1).alias("n_prior"), r6(F.col("p_early_overlap").cast("double") - F.col("early_overlap")).alias("overlap_sum"))
 
 
 @query("peer_closed_join", """
@@ -274,7 +273,7 @@ SELECT i.subject, count(j.subject) AS n_closed, coalesce(sum(j.y), 0)::DOUBLE AS
 LEFT JOIN t_cohort j ON j.source = i.source AND j.t0 + 10 <= i.t0 AND j.subject <> i.subject GROUP BY i.subject""")
 def peer_closed_join(spark, sf):
     c = S.cohort(spark, sf).select("subject", "source", "t0", "y")
-    return peers.peer_sums(c, ["source"], "t0", ["y"], -10, "c_").select("subject", F.col("c_n").alias("n_closed"), F.col("c_y").alias("y_sum"))
+    return peers.peer_sums(c, ["source"], "t0", ["y"], -10, "c_").select("subject", F.col("c_n").alias("n_closed"), F.col("c_y").cast("double").alias("y_sum"))
 
 
 @query("sibling_edges", """
@@ -377,8 +376,6 @@ def shared_item_any(spark, sf):
     return c.join(hit, "subject", "left").select("subject", "source", F.coalesce("h", F.lit(False)).alias("shares"))
 
 
-cte("t_pct", """
-SELECT period, cites, (rank() OVER w + (n - 1) / 2.0::DOUBLE) AS r, n FROM (SELECT period, cites, count(*) AS n FROM t_ev GROUP BY ALL) x WINDOW w AS (PARTITION BY period ORDER BY cites)""")
 cte("t_pctdim", """
 SELECT period, cites, (before + (n + 1) / 2.0::DOUBLE) / total AS pct FROM (
  SELECT period, cites, n, coalesce(sum(n) OVER (PARTITION BY period ORDER BY cites ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY period) AS total
