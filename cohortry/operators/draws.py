@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cohortry.functions.columns import hash_int, keyed_md5, uniform
-from cohortry.operators.ordering import _attach, hash_rank, quantiles
+from cohortry.functions.columns import hash_int, keyed_md5
+from cohortry.operators.ordering import _attach, cumulate, hash_rank, quantiles
 
 
 def split_temporal(rows: DataFrame, group: Sequence[str], q=(0.6, 0.8), time: str = "t0") -> DataFrame:
@@ -50,11 +50,124 @@ def sample_rows(rows: DataFrame, stratum: Sequence[str], key: str, n: int, seed:
             .where(F.col("draw_rank") <= n).drop("_h"))
 
 
-def band_pools(rows: DataFrame, group: Sequence[str], member: str, time: str, band: int | None) -> DataFrame:
-    """Draw pools: for every anchor period, the rows within +-band, as (member, count) blocks.
+def block_offsets(blocks: DataFrame, group: Sequence[str], order: Sequence[str], bucket: Column, n: str,
+                  out: str = "off", total: str = "pool") -> DataFrame:
+    """Start of each block when the blocks of a group are laid end to end in ``order``.
 
-    Only (period, member) counts are spread over the band, never rows; the candidates of an anchor
-    are then numbered block by block. ``band=None`` pools all periods.
+    ``bucket`` must follow the order (a prefix of its first column); it splits a group with many
+    blocks over tasks.
     """
-    blocks = rows.groupBy(*group, time, member).agg(F.count(F.lit(1)).alias("n"))
-    return blocks
+    b = blocks.withColumn("_b", bucket)
+    per = b.groupBy(*group, "_b").agg(F.sum(n).alias("_s"))
+    w = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*group, "_b", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_o"),
+                     F.sum("_s").over(W.partitionBy(*group)).alias(total))
+    local = W.partitionBy(*group, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inner = b.withColumn("_l", F.coalesce(F.sum(n).over(local), F.lit(0)))
+    return (inner.join(per, [*group, "_b"]).withColumn(out, (F.col("_l") + F.col("_o")).cast("bigint")).drop("_b", "_l", "_o"))
+
+
+def placebo_draw(rows: DataFrame, group: Sequence[str], key: str, member: str, time: str, band: int | None,
+                 seeds: int, salt: str = "placebo", fallback: bool = True) -> DataFrame:
+    """One row of another member per (row, seed), uniform over the rows within +-band periods.
+
+    The pool of a period lays its rows end to end, all rows of a member side by side. A draw picks a
+    number below (pool size - own block) and steps over the own block, so it is uniform without a
+    retry and no pair is ever listed: the work is rows x (2*band+1) places plus rows x seeds draws.
+    Rows whose band holds no other member draw from the whole group; a group of one member has no
+    draw at all. Returns (group, key, seed, donor).
+    """
+    g = list(group)
+    base = rows.select(*g, key, member, time).withColumn("_m", F.md5(F.col(member).cast("string")))
+    drawn = _draw_in_pool(base, g, key, member, time, band, seeds, salt)
+    if band is None or not fallback:
+        return drawn
+    cell = base.groupBy(*g, time, member).agg(F.count(F.lit(1)).alias("n"))
+    spread = cell.select(*g, F.explode(F.sequence(F.col(time) - band, F.col(time) + band)).alias(time), member, "n")
+    pool = spread.groupBy(*g, time).agg(F.sum("n").alias("pool"))
+    own = spread.groupBy(*g, time, member).agg(F.sum("n").alias("own"))
+    stuck_cells = own.join(pool, [*g, time]).where(F.col("own") == F.col("pool")).select(*g, time, member)
+    stuck = base.join(stuck_cells, [*g, time, member], "left_semi")
+    return drawn.unionByName(_draw_in_pool(base, g, key, member, time, None, seeds, salt, askers=stuck))
+
+
+def _draw_in_pool(base, g, key, member, time, band, seeds, salt, askers=None):
+    ranked = hash_rank(base.withColumn("_h", F.md5(F.col(key).cast("string"))), [*g, member, time], "_h", [key], "_rk")
+    cells = base.groupBy(*g, member, "_m", time).agg(F.count(F.lit(1)).alias("n"))
+    if band is None:
+        at = cells.withColumn("_at", F.lit(0))
+        anchor = F.lit(0)
+    else:
+        wanted = base.select(*g, F.col(time).alias("_at")).distinct()
+        at = cells.withColumn("_at", F.explode(F.sequence(F.col(time) - band, F.col(time) + band))).join(wanted, [*g, "_at"], "left_semi")
+        anchor = F.col(time)
+    off = block_offsets(at, [*g, "_at"], ["_m", member, time], F.substring("_m", 1, 2), "n")
+    own = off.groupBy(*g, "_at", member).agg(F.min("off").alias("_own_off"), F.sum("n").alias("_own_n"), F.max("pool").alias("_pool"))
+    places = ranked.join(off.select(*g, "_at", member, time, "off"), [*g, member, time]).select(
+        *g, "_at", (F.col("off") + F.col("_rk") - 1).alias("_pos"), F.col(key).alias("donor"))
+    asks = (base if askers is None else askers).withColumn("_at", anchor).join(own, [*g, "_at", member])
+    asks = asks.where(F.col("_pool") > F.col("_own_n")).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    k = F.pmod(hash_int(keyed_md5(F.col("seed"), salt, F.col(key))), F.col("_pool") - F.col("_own_n"))
+    asks = asks.withColumn("_k", k).withColumn("_pos", F.when(F.col("_k") >= F.col("_own_off"), F.col("_k") + F.col("_own_n")).otherwise(F.col("_k")))
+    return asks.select(*g, "_at", "_pos", key, "seed").join(places, [*g, "_at", "_pos"]).select(*g, key, "seed", "donor")
+
+
+def rolling_origins(rows: DataFrame, group: Sequence[str], time: str, n: int = 4, width: int = 2) -> DataFrame:
+    """Test windows of ``width`` periods ending at the latest period; validation is the window before,
+    training everything older."""
+    hi = rows.groupBy(*group).agg(F.max(time).alias("hi"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
+    o = hi.select(*group, "hi", k)
+    test_hi = F.col("hi") - F.col("k") * width
+    return o.select(*group, (F.lit(n - 1) - F.col("k")).alias("origin"), (test_hi - width + 1).alias("test_lo"), test_hi.alias("test_hi"),
+                    (test_hi - 2 * width + 1).alias("val_lo"), (test_hi - width).alias("val_hi"))
+
+
+def split_rolling(rows: DataFrame, origins: DataFrame, group: Sequence[str], time: str) -> DataFrame:
+    """(origin, split) of every row per origin; rows later than the test window leave that origin."""
+    j = _attach(rows, origins, list(group))
+    fold = (F.when(F.col(time) < F.col("val_lo"), "train").when(F.col(time) <= F.col("val_hi"), "val")
+            .when(F.col(time) <= F.col("test_hi"), "test"))
+    return j.withColumn("split", fold).where(F.col("split").isNotNull())
+
+
+def bootstrap_weights(rows: DataFrame, group: Sequence[str], key: str, draws: int, salt: str = "boot") -> DataFrame:
+    """(group, draw, key, weight): n picks with replacement per draw, as counts.
+
+    Every row stands for one pick slot of each draw and names the row at place ``hash mod n``. The
+    weights depend on the key only, so all models and seeds share one resample.
+    """
+    g = list(group)
+    r = hash_rank(rows.select(*g, key).distinct().withColumn("_h", keyed_md5(salt, F.col(key))), g, "_h", [key], "_pos", size="_n")
+    slots = r.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = slots.select(*g, "draw", (F.pmod(hash_int(keyed_md5(F.col("draw"), salt, F.col(key))), F.col("_n")) + 1).alias("_pos"))
+    return (picks.groupBy(*g, "draw", "_pos").agg(F.count(F.lit(1)).alias("weight"))
+            .join(r.select(*g, "_pos", key), [*g, "_pos"]).select(*g, "draw", key, "weight"))
+
+
+def configuration_null(edges: DataFrame, draws: int = 1) -> DataFrame:
+    """Random graphs with the degrees of ``edges`` (src, dst): stubs in hash order are paired two by
+    two, loops and repeats dropped. All draws come from one job."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    deg = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    stubs = deg.select("node", F.explode(F.sequence(F.lit(1), F.col("d").cast("int"))).alias("i")).withColumn(
+        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    r = hash_rank(stubs.withColumn("_h", keyed_md5(F.col("draw"), "stub", F.col("node"), F.col("i"))), ["draw"], "_h", ["node", "i"], "_rn")
+    pair = r.withColumn("_p", F.floor((F.col("_rn") - 1) / 2)).groupBy("draw", "_p").agg(
+        F.min("node").alias("src"), F.max("node").alias("dst"), F.count(F.lit(1)).alias("n"))
+    return pair.where((F.col("n") == 2) & (F.col("src") != F.col("dst"))).select("draw", "src", "dst").distinct()
+
+
+def random_assignment_null(rows: DataFrame, key: str, member: str, draws: int = 1) -> DataFrame:
+    """Keep every member's size and deal the keys out anew: an exact permutation per draw."""
+    r = rows.select(key, member).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    a = hash_rank(r.withColumn("_h", keyed_md5(F.col("draw"), "deal", "to", F.col(key))), ["draw"], "_h", [key], "_rn")
+    b = hash_rank(r.withColumn("_h", keyed_md5(F.col("draw"), "deal", "from", F.col(key))), ["draw"], "_h", [key], "_rn")
+    return a.select("draw", "_rn", key).join(b.select("draw", "_rn", F.col(member).alias(member)), ["draw", "_rn"]).select("draw", key, member)
+
+
+def rate_above(values: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Per distinct value: share of rows strictly above it, at or above it, and its own mass."""
+    c = cumulate(values, group, value, {"n": F.lit(1)}, descending=True)
+    t = F.col("tot_n")
+    return c.select(*group, value, ((F.col("cum_n") - F.col("n")) / t).alias("p_gt"), (F.col("cum_n") / t).alias("p_ge"), (F.col("n") / t).alias("mass"))

@@ -26,18 +26,18 @@ def hash_rank(df: DataFrame, group: Sequence[str], digest: str, tie: Sequence[st
     ``size`` also returns the group size.
     """
     group = list(group)
-    rows = df.withColumn("_b", F.substring(digest, 1, hex_digits))
-    totals = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offs = totals.withColumn("_off", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    rows = df.withColumn("__b", F.substring(digest, 1, hex_digits))
+    totals = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    upto = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    offs = totals.withColumn("__off", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
     if size:
-        offs = offs.withColumn(size, F.sum("_n").over(W.partitionBy(*group)))
-    offs = offs.drop("_n")
-    local = W.partitionBy(*group, "_b").orderBy(digest, *tie)
-    ranked = rows.withColumn("_rn", F.row_number().over(local))
-    return (_join_offsets(ranked, offs, group + ["_b"])
-            .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-            .drop("_b", "_rn", "_off"))
+        offs = offs.withColumn(size, F.sum("__n").over(W.partitionBy(*group)))
+    offs = offs.drop("__n")
+    local = W.partitionBy(*group, "__b").orderBy(digest, *tie)
+    ranked = rows.withColumn("__rn", F.row_number().over(local))
+    return (_join_offsets(ranked, offs, group + ["__b"])
+            .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint"))
+            .drop("__b", "__rn", "__off"))
 
 
 def cumulate(df: DataFrame, group: Sequence[str], by: str, sums: dict[str, Column],
