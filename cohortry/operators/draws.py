@@ -42,6 +42,16 @@ def permute(rows: DataFrame, cell: Sequence[str], key: str, value: str, seed: in
     return takes.drop("_h").join(gives, [*cell, "_rn"]).drop("_rn")
 
 
+def permute_seeds(rows: DataFrame, cell: Sequence[str], key: str, value: str, seeds: int, out: str, salt: str = "permute") -> DataFrame:
+    """The same permutation for many seeds in one job (adds ``seed``)."""
+    many = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    c = ["seed", *cell]
+    takes = hash_rank(many.withColumn("_h", keyed_md5(F.col("seed"), salt, "to", F.col(key))), c, "_h", [key], "_rn")
+    gives = hash_rank(many.select(*c, key, F.col(value).alias(out), keyed_md5(F.col("seed"), salt, "from", F.col(key)).alias("_h")),
+                      c, "_h", [key], "_rn").select(*c, "_rn", out)
+    return takes.drop("_h").join(gives, [*c, "_rn"]).drop("_rn")
+
+
 def sample_rows(rows: DataFrame, stratum: Sequence[str], key: str, n: int, seed: int) -> DataFrame:
     """n rows per stratum without replacement, in hash order (map-side limited before the shuffle)."""
     h = rows.withColumn("_h", keyed_md5(seed, "sample", F.col(key)))

@@ -14,11 +14,12 @@ def collapse_tags(occurrences: DataFrame, event_keys: Sequence[str], tag: str, s
     """Tags of an event with score >= ``min_score``, first ``limit`` in stored order.
 
     Stored order is score descending, then the columns in ``stored``. A tag repeated inside an
-    event keeps its best place. Adds ``tag_pos`` (1-based).
+    event keeps its best place. Adds ``tag_pos`` (1-based) and ``tag_score``.
     """
     place = F.struct((-F.col(score)).alias("s"), *[F.col(c) for c in stored])
     tags = (occurrences.where(F.col(score) >= F.lit(min_score))
-            .groupBy(*event_keys, tag).agg(F.min(place).alias("_place")))
+            .groupBy(*event_keys, tag).agg(F.min(place).alias("_place"))
+            .withColumn("tag_score", -F.col("_place.s")))
     if limit is None:
         w = W.partitionBy(*event_keys).orderBy("_place", tag)
         return tags.withColumn("tag_pos", F.row_number().over(w)).drop("_place")
@@ -47,6 +48,14 @@ def profile(counts: DataFrame, keys: Sequence[str], k: int, out: str = "tags",
     return top.join(breadth, list(keys))
 
 
+def profile_grid(counts: DataFrame, keys: Sequence[str], ks: Sequence[int], out: str = "tags", tag: str = "tag") -> DataFrame:
+    """Top-k tags for several k at once: ranks are computed once, each k is a filter on them."""
+    order = [F.col("n").desc(), F.col("first").asc()]
+    ranked = top_k(counts, keys, order, max(ks), "_rank")
+    per_k = ranked.withColumn("k", F.explode(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("_rank"))))
+    return per_k.groupBy(*keys, "k").agg(F.sort_array(F.collect_list(tag)).alias(out))
+
+
 def windowed_profiles(tagged: DataFrame, anchors: DataFrame, key: str, windows: dict[str, tuple[Column, Column]],
                       k: int, ties: str = "first") -> DataFrame:
     """Profiles of each key inside windows given relative to its anchor row (one row per key and window)."""
