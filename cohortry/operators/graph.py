@@ -18,3 +18,166 @@ def fragmentation(edges: DataFrame, labels: DataFrame) -> DataFrame:
     j = a.select("*", k).join(e.select("*", k), "_k")
     return j.select("nodes", "edges", "components", "lcc_size", F.round(F.col("lcc_size").cast("double") / F.col("nodes"), 6).alias("lcc_coverage"),
                     (F.col("edges") < F.col("nodes")).alias("is_forest"))
+
+
+def weighted_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst, weight): 1/fan-out advising, +0.5 both ways for joint events, +0.3 for each reference
+    direction; equal (src, dst) add up and loops are dropped.
+
+    ``rows`` has source, subject, interacted, subject_refers, source_refers.
+    """
+    fan = rows.groupBy("source").agg(F.count_distinct("subject").alias("_n"))
+    r = rows.join(fan, "source").where(F.col("source") != F.col("subject"))
+    down, up = (F.col("source"), F.col("subject")), (F.col("subject"), F.col("source"))
+
+    def edge(ends, w):
+        return F.struct(ends[0].alias("src"), ends[1].alias("dst"), w.cast("double").alias("w"))
+    z = F.lit(0.0)
+    e = F.array(edge(down, 1.0 / F.col("_n")), edge(down, F.when(F.col("interacted"), 0.5).otherwise(z)), edge(up, F.when(F.col("interacted"), 0.5).otherwise(z)),
+                edge(up, F.when(F.col("subject_refers"), 0.3).otherwise(z)), edge(down, F.when(F.col("source_refers"), 0.3).otherwise(z)))
+    return r.select(F.explode(e).alias("e")).select("e.*").where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("weight"))
+
+
+def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, cut_every: int = 4) -> DataFrame:
+    """Weighted rank with the mass of sinks spread evenly. The lineage is cut every few rounds by a
+    stage table in the shared folder."""
+    from cohortry.session import materialise
+    out = edges.groupBy("src").agg(F.sum("weight").alias("_t"))
+    share = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("share")), "share")
+    names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    nodes = materialise(names.join(out.select(F.col("src").alias("node"), F.lit(False).alias("_has")), "node", "left").select("node", F.coalesce("_has", F.lit(True)).alias("sink")), "nodes")
+    n = nodes.count()
+    rank = nodes.select("node", "sink", F.lit(1.0 / n).alias("rank"))
+    k = F.lit(0).alias("_k")
+    for i in range(iterations):
+        came = rank.join(share, rank.node == share.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
+        lost = rank.agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost")).select("lost", k)
+        rank = (nodes.join(came, nodes.node == came.dst, "left").select("node", "sink", "came", k).join(lost, "_k")
+                .select("node", "sink", (F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)).alias("rank")))
+        if (i + 1) % cut_every == 0:
+            rank = materialise(rank, f"rank{i}")
+    return rank.select("node", "rank")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Connected components by alternating star contractions (each node joins the smallest neighbour,
+    first from larger nodes, then from smaller ones). Rounds grow with the logarithm of the graph.
+
+    A hub's neighbours are never gathered: a round is one min-aggregate and one join. Returns
+    (node, component), the component being its smallest node.
+    """
+    from cohortry.session import materialise
+    names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    e = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+
+    def state(df):
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        return r["n"], r["s"]
+    before = state(e)
+    for i in range(max_rounds):
+        both = e.union(e.select("v", "u")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
+                 .where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        e = materialise(small, f"stars{i}")
+        after = state(e)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("components did not settle")
+    return names.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
+
+
+def communities(edges: DataFrame, rounds: int = 8, seed: int = 0) -> DataFrame:
+    """Communities by rounds of simultaneous modularity-gain moves; a keyed coin lets half of the nodes
+    move per round, so neighbours do not swap for ever. Not claimed equal to any sequential method."""
+    from cohortry.session import materialise
+    both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")), "both")
+    m2 = float(both.count())
+    deg = both.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg")).withColumnRenamed("src", "node")
+    lab = materialise(deg.withColumn("community", F.col("node")), "labels")
+    for i in range(rounds):
+        tot = lab.groupBy("community").agg(F.sum("deg").alias("tot"))
+        near = both.join(lab.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.count(F.lit(1)).cast("double").alias("links"))
+        own = lab.select(F.col("node").alias("src"), F.col("community").alias("own"), "deg")
+        own = own.join(tot.withColumnRenamed("community", "own").withColumnRenamed("tot", "own_tot"), "own")
+        cand = near.join(tot, "community").join(own.select("src", "own", "deg", "own_tot"), "src")
+        gain = F.col("links") - F.col("deg") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("deg")).otherwise(0.0)) / m2
+        best = cand.withColumn("gain", gain).groupBy("src").agg(
+            F.max_by(F.struct("community"), F.struct(F.col("gain"), F.col("community"))).alias("b"), F.max("gain").alias("best_gain"),
+            F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("own_gain"))
+        stay = -F.col("deg") * (F.col("own_tot") - F.col("deg")) / m2
+        coin = F.pmod(hash_int(keyed_md5(seed, i, F.col("node"))), F.lit(2)) == 0
+        moved = (lab.join(own.select(F.col("src").alias("node"), "own_tot"), "node").join(best.select(F.col("src").alias("node"), "b", "best_gain", "own_gain"), "node", "left")
+                 .withColumn("community", F.when(coin & (F.col("best_gain") > F.coalesce("own_gain", stay)), F.col("b.community")).otherwise(F.col("community"))))
+        lab = materialise(moved.select("node", "deg", "community"), f"labels{i}")
+    return lab.select("node", "community")
+
+
+def neighbourhood(edges: DataFrame, start: DataFrame, n: int, max_levels: int = 50) -> DataFrame:
+    """The first n nodes around ``start`` (one row, ``node``) in (level, id) order."""
+    from cohortry.session import materialise
+    both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "both")
+    seen = materialise(start.select("node", F.lit(0).alias("level")), "seen")
+    for level in range(1, max_levels + 1):
+        front = seen.where(F.col("level") == level - 1)
+        nxt = (front.join(both, front.node == both.src).select(F.col("dst").alias("node")).distinct()
+               .join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
+        grown = materialise(seen.unionByName(nxt), f"seen{level}")
+        size = grown.count()
+        if size >= n or size == seen.count():
+            seen = grown
+            break
+        seen = grown
+    return seen.orderBy("level", "node").limit(n)
+
+
+def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0, cut_every: int = 4) -> DataFrame:
+    """(node, walk, path): each step goes to the neighbour at place ``hash mod degree``; repeated edges
+    act as weights.
+
+    Neighbour places are numbered once; a walker holds its current node only, and a step is an equi
+    join on (node, place), so a hub's adjacency is never gathered.
+    """
+    from cohortry.operators.ordering import hash_rank
+    from cohortry.session import materialise
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
+    places = hash_rank(both.withColumn("_h", F.md5(F.concat_ws("|", "a", "b"))), ["a"], "_h", ["b"], "place", size="deg")
+    places = materialise(places.select("a", "place", "b", "deg"), "places")
+    deg = places.groupBy("a").agg(F.max("deg").alias("deg"))
+    w = deg.select(F.col("a").alias("node"), F.col("a").alias("cur"), "deg", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).withColumn("path", F.array("node"))
+    nxt = places.join(deg.select(F.col("a").alias("b"), F.col("deg").alias("next_deg")), "b").select(F.col("a").alias("cur"), "place", "b", "next_deg")
+    nxt = materialise(nxt, "next")
+    for i in range(1, steps):
+        pick = F.pmod(hash_int(keyed_md5(seed, "walk", F.col("node"), F.col("walk"), F.lit(i))), F.col("deg")) + 1
+        w = w.withColumn("place", pick).join(nxt, ["cur", "place"]).select(
+            "node", F.col("b").alias("cur"), F.col("next_deg").alias("deg"), "walk", F.concat("path", F.array("b")).alias("path"))
+        if i % cut_every == 0:
+            w = materialise(w, f"walk{i}")
+    return w.select("node", "walk", "path")
+
+
+def mirror(edges: DataFrame) -> DataFrame:
+    """Typed edges (rel, src, dst) plus their reverse relations."""
+    return edges.unionByName(edges.select(F.concat(F.lit("rev_"), "rel").alias("rel"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def typed_edges(rows: DataFrame, by_cohort: bool) -> DataFrame:
+    """Five relations of the modelling rows in one pass. ``by_cohort`` makes a source one node per
+    cohort it supervised (source@t0) instead of one node."""
+    s = F.concat(F.lit("s:"), F.col("subject"))
+    a = F.concat(F.lit("a:"), F.col("source"), *([F.lit("@"), F.col("t0")] if by_cohort else []))
+
+    def many(rel, src, tags):
+        return F.transform(tags, lambda t: F.struct(F.lit(rel).alias("rel"), src.alias("src"), F.concat(F.lit("t:"), t).alias("dst")))
+
+    def one(rel, src, dst, when):
+        e = F.array(F.struct(F.lit(rel).alias("rel"), src.alias("src"), dst.alias("dst")))
+        return F.when(when, e).otherwise(F.slice(e, 1, 0))
+    all_ = F.concat(many("studies", s, F.col("early_tags")), many("source_studies", a, F.col("source_tags")), one("advises", a, s, F.lit(True)),
+                    one("at", s, F.concat(F.lit("i:"), F.col("institution")), F.col("institution").isNotNull()), one("coauth", s, a, F.col("interacted")))
+    return rows.select(F.explode(all_).alias("e")).select("e.*").distinct()
