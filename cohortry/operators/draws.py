@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry.functions.columns import hash_int, keyed_md5
-from cohortry.operators.ordering import _attach, cumulate, hash_rank, quantiles
+from cohortry.operators.ordering import attach, cumulate, hash_rank, quantiles
 
 
 def split_temporal(rows: DataFrame, group: Sequence[str], q=(0.6, 0.8), time: str = "t0") -> DataFrame:
@@ -19,7 +19,7 @@ def split_temporal(rows: DataFrame, group: Sequence[str], q=(0.6, 0.8), time: st
     cuts = quantiles(rows, group, time, {"q1": q[0], "q2": q[1]}).select(
         *group, F.col("q1").cast("int").alias("q1"), F.col("q2").cast("int").alias("q2"))
     fold = (F.when(F.col(time) <= F.col("q1"), "train").when(F.col(time) <= F.col("q2"), "val").otherwise("test"))
-    return _attach(rows, cuts, list(group)).withColumn("split", fold).drop("q1", "q2")
+    return attach(rows, cuts, list(group)).withColumn("split", fold).drop("q1", "q2")
 
 
 def split_group_disjoint(rows: DataFrame, group: Sequence[str], member: str, seed: int = 0,
@@ -135,7 +135,7 @@ def rolling_origins(rows: DataFrame, group: Sequence[str], time: str, n: int = 4
 
 def split_rolling(rows: DataFrame, origins: DataFrame, group: Sequence[str], time: str) -> DataFrame:
     """(origin, split) of every row per origin; rows later than the test window leave that origin."""
-    j = _attach(rows, origins, list(group))
+    j = attach(rows, origins, list(group))
     fold = (F.when(F.col(time) < F.col("val_lo"), "train").when(F.col(time) <= F.col("val_hi"), "val")
             .when(F.col(time) <= F.col("test_hi"), "test"))
     return j.withColumn("split", fold).where(F.col("split").isNotNull())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 import math
 
-from cohortry.operators.ordering import _attach, top_k
+from cohortry.operators.ordering import attach, top_k
 
 
 def documents(tags: str) -> Column:
@@ -29,7 +29,7 @@ def tfidf(docs: DataFrame, group: Sequence[str], key: str, tokens: str, fit: Col
     seen = tf.where("_fit").groupBy(*g, "token").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = top_k(seen, g, [F.col("total").desc(), F.col("token")], max_features).select(*g, "token", "df")
     n = docs.where(fit).groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    idf = _attach(vocab, n, g).select(*g, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = attach(vocab, n, g).select(*g, "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, [*g, "token"]).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = w.groupBy(*g, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
     return w.join(norm, [*g, key]).select(*g, key, "token", (F.col("_w") / F.col("_n")).alias("weight"))

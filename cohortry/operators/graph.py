@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortry.functions.columns import hash_int, keyed_md5
+from cohortry.operators.ordering import attach, hash_rank
+from cohortry.session import materialise
 
 
 def fragmentation(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Nodes, edges, components, share of the largest, and the forest test."""
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("sz"))
     a = sizes.agg(F.sum("sz").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("sz").alias("lcc_size"))
-    e = edges.agg(F.count(F.lit(1)).alias("edges"))
-    k = F.lit(0).alias("_k")
-    j = a.select("*", k).join(e.select("*", k), "_k")
+    j = attach(a, edges.agg(F.count(F.lit(1)).alias("edges")), [])
     return j.select("nodes", "edges", "components", "lcc_size", F.round(F.col("lcc_size").cast("double") / F.col("nodes"), 6).alias("lcc_coverage"),
                     (F.col("edges") < F.col("nodes")).alias("is_forest"))
 
@@ -41,18 +39,16 @@ def weighted_edges(rows: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, cut_every: int = 4) -> DataFrame:
     """Weighted rank with the mass of sinks spread evenly. The lineage is cut every few rounds by a
     stage table in the shared folder."""
-    from cohortry.session import materialise
     out = edges.groupBy("src").agg(F.sum("weight").alias("_t"))
     share = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("share")), "share")
     names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     nodes = materialise(names.join(out.select(F.col("src").alias("node"), F.lit(False).alias("_has")), "node", "left").select("node", F.coalesce("_has", F.lit(True)).alias("sink")), "nodes")
     n = nodes.count()
     rank = nodes.select("node", "sink", F.lit(1.0 / n).alias("rank"))
-    k = F.lit(0).alias("_k")
     for i in range(iterations):
         came = rank.join(share, rank.node == share.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        lost = rank.agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost")).select("lost", k)
-        rank = (nodes.join(came, nodes.node == came.dst, "left").select("node", "sink", "came", k).join(lost, "_k")
+        lost = rank.agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost"))
+        rank = (attach(nodes.join(came, nodes.node == came.dst, "left").select("node", "sink", "came"), lost, [])
                 .select("node", "sink", (F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)).alias("rank")))
         if (i + 1) % cut_every == 0:
             rank = materialise(rank, f"rank{i}")
@@ -66,7 +62,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     A hub's neighbours are never gathered: a round is one min-aggregate and one join. Returns
     (node, component), the component being its smallest node.
     """
-    from cohortry.session import materialise
     names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     e = materialise(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
 
@@ -95,7 +90,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 8, seed: int = 0) -> DataFrame:
     """Communities by rounds of simultaneous modularity-gain moves; a keyed coin lets half of the nodes
     move per round, so neighbours do not swap for ever. Not claimed equal to any sequential method."""
-    from cohortry.session import materialise
     both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")), "both")
     m2 = float(both.count())
     deg = both.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("deg")).withColumnRenamed("src", "node")
@@ -120,7 +114,6 @@ def communities(edges: DataFrame, rounds: int = 8, seed: int = 0) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, start: DataFrame, n: int, max_levels: int = 50) -> DataFrame:
     """The first n nodes around ``start`` (one row, ``node``) in (level, id) order."""
-    from cohortry.session import materialise
     both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "both")
     seen = materialise(start.select("node", F.lit(0).alias("level")), "seen")
     for level in range(1, max_levels + 1):
@@ -143,8 +136,6 @@ def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0, cut_ev
     Neighbour places are numbered once; a walker holds its current node only, and a step is an equi
     join on (node, place), so a hub's adjacency is never gathered.
     """
-    from cohortry.operators.ordering import hash_rank
-    from cohortry.session import materialise
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
     places = hash_rank(both.withColumn("_h", F.md5(F.concat_ws("|", "a", "b"))), ["a"], "_h", ["b"], "place", size="deg")
     places = materialise(places.select("a", "place", "b", "deg"), "places")
@@ -161,6 +152,20 @@ def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0, cut_ev
     return w.select("node", "walk", "path")
 
 
+def projected_vectors(walks: DataFrame, dims: int = 16, window: int = 4, seed: int = 0) -> DataFrame:
+    """(node, v): signed projection of the co-occurrence counts inside ``window`` steps of a walk.
+
+    A context node adds its count with a keyed sign to every dimension, so the vectors come from one
+    shuffle; no vocabulary or weight matrix passes the driver, whatever the number of nodes.
+    """
+    at = walks.select("path", F.posexplode("path").alias("p", "node"))
+    near = F.concat(F.slice("path", F.greatest(F.col("p") - window + 1, F.lit(1)), F.least(F.col("p"), F.lit(window))), F.slice("path", F.col("p") + 2, F.lit(window)))
+    pairs = at.select("node", F.explode(near).alias("context")).groupBy("node", "context").agg(F.count(F.lit(1)).alias("n"))
+    bits = pairs.withColumn("h", hash_int(keyed_md5(seed, "sign", F.col("context"))))
+    signs = [F.sum(F.when(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("n")).otherwise(-F.col("n"))).cast("double") for i in range(dims)]
+    return bits.groupBy("node").agg(F.array(*signs).alias("v"))
+
+
 def mirror(edges: DataFrame) -> DataFrame:
     """Typed edges (rel, src, dst) plus their reverse relations."""
     return edges.unionByName(edges.select(F.concat(F.lit("rev_"), "rel").alias("rel"), F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -13,16 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def _join_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(offsets, list(keys), "inner")
-
-
 def hash_rank(df: DataFrame, group: Sequence[str], digest: str, tie: Sequence[str] = (),
-              out: str = "rn", hex_digits: int = 2, size: str | None = None) -> DataFrame:
+              out: str = "rn", hex_digits: int = 3, size: str | None = None) -> DataFrame:
     """1-based rank of each row in the order of an md5 column, per group.
 
     The bucket is the leading ``hex_digits`` of the digest, so buckets are even by construction
-    however skewed the groups are; raise it with the data (3 digits = 4,096 buckets per group).
+    however skewed the groups are (3 digits = 4,096 buckets per group; raise it with the data).
     ``size`` also returns the group size.
     """
     group = list(group)
@@ -35,7 +31,7 @@ def hash_rank(df: DataFrame, group: Sequence[str], digest: str, tie: Sequence[st
     offs = offs.drop("__n")
     local = W.partitionBy(*group, "__b").orderBy(digest, *tie)
     ranked = rows.withColumn("__rn", F.row_number().over(local))
-    return (_join_offsets(ranked, offs, group + ["__b"])
+    return (ranked.join(offs, group + ["__b"])
             .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint"))
             .drop("__b", "__rn", "__off"))
 
@@ -53,7 +49,7 @@ def cumulate(df: DataFrame, group: Sequence[str], by: str, sums: dict[str, Colum
     span = agg.groupBy(*group).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.least(F.floor((F.col(by) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    agg = _attach(agg, span, group).withColumn("_b", slot.cast("int")).drop("_lo", "_hi")
+    agg = attach(agg, span, group).withColumn("_b", slot.cast("int")).drop("_lo", "_hi")
     per_bin = agg.groupBy(*group, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     key = F.col("_b").desc() if descending else F.col("_b").asc()
     before = _window(group).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
@@ -65,7 +61,7 @@ def cumulate(df: DataFrame, group: Sequence[str], by: str, sums: dict[str, Colum
     order = F.col(by).desc() if descending else F.col(by).asc()
     local = _window(group + ["_b"]).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     out = agg.select(*group, "_b", by, *sums, *[F.sum(n).over(local).alias(f"_l_{n}") for n in sums])
-    out = _join_offsets(out, offs, group + ["_b"])
+    out = out.join(offs, group + ["_b"])
     return out.select(
         *group, by, *sums,
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in sums],
@@ -76,12 +72,13 @@ def _window(keys: Sequence[str]):
     return W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
 
 
-def _attach(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Join one row per group; with no group the right side is a single row."""
+def attach(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Join one row per group. With no group the right side is one aggregate row: it becomes a scalar
+    subquery, so there is no join and the left side is not moved."""
     if group:
         return df.join(per_group, list(group), "inner")
-    one = F.lit(0).alias("_k")
-    return df.select("*", one).join(per_group.select("*", one), "_k").drop("_k")
+    row = per_group.select(F.struct(*per_group.columns).alias("_one")).scalar()
+    return df.withColumn("_one", row).select(*df.columns, "_one.*")
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float],
@@ -126,6 +123,12 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep:
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
-    """At most k rows per key. Spark limits each map partition to k rows per key before the shuffle."""
+    """At most k rows per key. Spark limits each map partition to k rows per key before the shuffle; it
+    does so up to 1000, so a larger k is first limited inside 32 salted slices of each key."""
+    rows = df
+    if k > 1000:
+        salt = F.pmod(F.xxhash64(*order), F.lit(32))
+        w = _window([*keys, "_salt"]).orderBy(*order)
+        rows = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_salt", "_r")
     w = _window(keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    return rows.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.operators.ordering import _attach, average_ranks, quantiles
+from cohortry.operators.ordering import attach, average_ranks, quantiles
 
 
 def corr(a: Column, b: Column) -> Column:
@@ -71,14 +71,13 @@ def nmi(df: DataFrame, a: str, b: str) -> DataFrame:
     pa = cell.groupBy(a).agg(F.sum("c").alias("ca"))
     pb = cell.groupBy(b).agg(F.sum("c").alias("cb"))
     n = cell.agg(F.sum("c").cast("double").alias("n"))
-    k = F.lit(0).alias("_k")
-    j = cell.join(pa, a).join(pb, b).select("*", k).join(n.select("*", k), "_k")
+    j = attach(cell.join(pa, a).join(pb, b), n, [])
     mi = j.agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb")))).alias("mi"))
 
     def entropy(t, c, name):
         p = F.col(c) / F.col("n")
-        return t.select("*", k).join(n.select("*", k), "_k").agg((-F.sum(p * F.log(p))).alias(name))
-    out = mi.select("*", k).join(entropy(pa, "ca", "ha").select("*", k), "_k").join(entropy(pb, "cb", "hb").select("*", k), "_k")
+        return attach(t, n, []).agg((-F.sum(p * F.log(p))).alias(name))
+    out = attach(attach(mi, entropy(pa, "ca", "ha"), []), entropy(pb, "cb", "hb"), [])
     mean = (F.col("ha") + F.col("hb")) / 2
     return out.select("mi", "ha", "hb", F.when(mean == 0, F.lit(1.0)).otherwise(F.col("mi") / mean).alias("nmi"))
 
@@ -109,7 +108,7 @@ def quantile_label(df: DataFrame, group: Sequence[str], value: str, cuts: Sequen
     label = F.lit(names[-1])
     for i in reversed(range(len(cuts))):
         label = F.when(F.col(value) <= F.col(f"_c{i}"), names[i]).otherwise(label)
-    return _attach(df, q, list(group)).withColumn(out, label)
+    return attach(df, q, list(group)).withColumn(out, label)
 
 
 def quantile_bin(df: DataFrame, group: Sequence[str], value: str, bins: int, out: str) -> DataFrame:
@@ -117,5 +116,5 @@ def quantile_bin(df: DataFrame, group: Sequence[str], value: str, bins: int, out
     probs = {f"_e{i}": i / bins for i in range(bins + 1)}
     q = quantiles(df, group, value, probs)
     edges = F.array_distinct(F.array(*probs))
-    j = _attach(df, q, list(group)).withColumn("_edges", edges)
+    j = attach(df, q, list(group)).withColumn("_edges", edges)
     return j.withColumn(out, F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < F.col(value))))).drop("_edges", *probs)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry.functions.columns import jaccard
-from cohortry.operators.ordering import _attach, top_k
+from cohortry.operators.ordering import attach, top_k
 
 
 def frequent_tags(rows: DataFrame, group: Sequence[str], tags: str, k: int = 10) -> DataFrame:
@@ -19,7 +19,7 @@ def frequent_tags(rows: DataFrame, group: Sequence[str], tags: str, k: int = 10)
 
 def typicality(rows: DataFrame, group: Sequence[str], tags: str, pool: str, out: str, k: int = 10) -> DataFrame:
     """Overlap of ``tags`` with the group's most frequent ``pool`` tags."""
-    return _attach(rows, frequent_tags(rows, group, pool, k), list(group)).withColumn(out, jaccard(F.col(tags), F.col("frequent"))).drop("frequent")
+    return attach(rows, frequent_tags(rows, group, pool, k), list(group)).withColumn(out, jaccard(F.col(tags), F.col("frequent"))).drop("frequent")
 
 
 def cohort_typicality(rows: DataFrame, group: Sequence[str], time: str, tags: str, out: str, band: int = 3, k: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cohortry.functions.columns import jaccard, r6, ratio, render
 from cohortry.operators import cohort as C, impact, peers, profiles, stats, typicality as Y
-from cohortry.operators.ordering import _attach, quantiles, top_k
+from cohortry.operators.ordering import attach, quantiles, top_k
 from cohortry.plans import joins as J, stages as S
 from cohortry.plans.joins import jac
 from cohortry.plans.registry import cte, query
@@ -123,11 +123,11 @@ SELECT i.subject, count(j.subject) FILTER (WHERE j.t0 <= i.t0) AS peer_n_prior,
 FROM t_cohort i LEFT JOIN t_cohort j ON j.source = i.source AND j.subject <> i.subject GROUP BY i.subject""")
 
 
-@query("peer_aggregates", """SELECT subject, peer_n_prior, round(peer_overlap_mean, 6) AS peer_overlap_mean, round(peer_prod_mean, 6) AS peer_prod_mean,
- round(peer_breadth_mean, 6) AS peer_breadth_mean, round(peer_track_record, 6) AS peer_track_record, peer_n_closed FROM t_peers""")
+@query("peer_aggregates", "SELECT * FROM t_peers")
 def peer_aggregates(spark, sf):
+    """Sums are exact decimals, so the means need no rounding to be the same on any layout."""
     p = peers.peer_aggregates(S.cohort(spark, sf).select("subject", "source", "t0", "early_overlap", "early_prod", "early_breadth", "y"))
-    return p.select("subject", "peer_n_prior", *[r6(F.col(c)).alias(c) for c in ("peer_overlap_mean", "peer_prod_mean", "peer_breadth_mean", "peer_track_record")], "peer_n_closed")
+    return p.select("subject", "peer_n_prior", "peer_overlap_mean", "peer_prod_mean", "peer_breadth_mean", "peer_track_record", "peer_n_closed")
 
 
 @query("source_fanout", "SELECT i.subject, count(j.subject) AS fanout FROM t_cohort i LEFT JOIN t_cohort j ON j.source = i.source AND j.t0 < i.t0 GROUP BY i.subject")
@@ -431,7 +431,7 @@ def kappa_reweighted(spark, sf):
     l = S.table(spark, sf, "labels")
     base = l.agg(F.avg("quality").alias("base"))
     d = S.table(spark, sf, "documents").select("doc_id", "lang")
-    s = _attach(l.join(d, "doc_id").select("lang", F.col("quality").alias("y"), (1 - F.col("toxic")).alias("j")), base, [])
+    s = attach(l.join(d, "doc_id").select("lang", F.col("quality").alias("y"), (1 - F.col("toxic")).alias("j")), base, [])
     k = stats.kappa_reweighted(s, ["lang"], "y", "j", "base")
     return k.select("lang", *[r6(F.col(c)).alias(c) for c in ("sample_rate", "cohort_rate", "kappa")])
 

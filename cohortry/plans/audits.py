@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import jaccard, keyed_md5, r6, uniform
 from cohortry.operators import audit as A, draws as D, profiles, stats
-from cohortry.operators.ordering import _attach, top_k
+from cohortry.operators.ordering import attach, top_k
 from cohortry.plans import aggregates as AG, draws as PD, evaluation as EV, stages as S
 from cohortry.plans.aggregates import n_rows
 from cohortry.plans.draws import UNI
@@ -85,7 +85,7 @@ def late_only_leak(spark, sf):
 
     def missing(col, name):
         return c.select("subject", F.explode(col).alias("tag")).join(seen, ["subject", "tag"], "left_anti").agg(n_rows(name))
-    return _attach(missing("early_tags", "leaked_early_tags"), missing("late_tags", "late_only_tags"), [])
+    return attach(missing("early_tags", "leaked_early_tags"), missing("late_tags", "late_only_tags"), [])
 
 
 @query("rebuild_variant", "SELECT min_score, k, count(*) AS n_rows, count(*) FILTER (WHERE late_overlap = 0) AS empty_overlap, round(avg(late_overlap), 6) AS mean_late FROM t_variants GROUP BY ALL")

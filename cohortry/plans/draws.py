@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import jaccard, keyed_md5, r6, uniform
 from cohortry.operators import draws as D
-from cohortry.operators.ordering import _attach, hash_rank, quantiles
+from cohortry.operators.ordering import attach, hash_rank, quantiles
 from cohortry.plans import stages as S
 from cohortry.plans.aggregates import n_rows, pair_graph
 from cohortry.plans.joins import jac

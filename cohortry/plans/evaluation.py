@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cohortry.functions.columns import jaccard, r6
 from cohortry.operators import draws as D, inference as I, metrics as M, profiles, stats
-from cohortry.operators.ordering import _attach, quantiles
+from cohortry.operators.ordering import attach, quantiles
 from cohortry.plans import draws as PD, stages as S
 from cohortry.plans.aggregates import THETA_SQL, n_rows, theta_array
 from cohortry.plans.joins import jac

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cohortry.functions.columns import r6
 from cohortry.operators import draws as D, graph as G, metrics as M, peers, stats
-from cohortry.operators.ordering import _attach, first_by
+from cohortry.operators.ordering import attach, first_by
 from cohortry.plans import joins as J, stages as S
 from cohortry.plans.aggregates import institution_labels, n_rows, pair_graph
 from cohortry.plans.evaluation import auc_sql
@@ -87,7 +87,7 @@ def null_z(spark, sf):
     many = lab.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     q = (stats.modularity(deal, many, ["draw"]).withColumn("null", F.lit("assignment")).unionByName(stats.modularity(conf, many, ["draw"]).withColumn("null", F.lit("configuration"))))
     z = q.groupBy("null").agg(F.avg("q").alias("mean"), F.stddev_samp("q").alias("sd"))
-    j = _attach(z, stats.modularity(e, lab).select(F.col("q").alias("observed")), [])
+    j = attach(z, stats.modularity(e, lab).select(F.col("q").alias("observed")), [])
     j = j.withColumn("z", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")))
     return j.withColumn("verdict", F.when(F.min(F.col("z")).over(W.partitionBy(F.lit(0))) > 2, "supported").otherwise("artifact"))  # two rows
 
@@ -161,7 +161,7 @@ def typed_edges_halves(spark, sf):
     def arm(name, by_cohort, prior):
         e = G.typed_edges(c, by_cohort).where(F.col("rel").isin("advises", "coauth", "source_studies")).agg(n_rows("source_edges"))
         b = peers.sibling_blocks(c, prior_only=prior).agg(F.sum("n_edges").alias("sibling_edges"))
-        return _attach(e, b, []).select(F.lit(name).alias("contract"), "source_edges", "sibling_edges")
+        return attach(e, b, []).select(F.lit(name).alias("contract"), "source_edges", "sibling_edges")
     return arm("f1a", True, False).unionByName(arm("f1b", False, True))
 
 
@@ -195,7 +195,7 @@ def typed_edges_lineage_stats(spark, sf):
     a = e.agg(F.count_if(F.col("rel") == "mentored_by").alias("ancestry_edges"), F.count_if(F.col("rel") == "studies_lineage").alias("lineage_tag_edges"))
     b = r.agg(F.count_if(F.col("ak") == F.col("gk")).alias("self_rows_dropped"), n_rows("rows_with_ancestry"))
     c = r.select("gk").distinct().join(direct, "gk", "left_anti").agg(n_rows("grand_only_nodes"))
-    return _attach(_attach(a, b, []), c, [])
+    return attach(attach(a, b, []), c, [])
 
 
 ABLATIONS = {"none": (), "social": ("advises", "at", "coauth"), "advising": ("advises",), "institution": ("at",), "coauth": ("coauth",), "subject_tag": ("studies",), "source_tag": ("source_studies",)}
@@ -265,5 +265,5 @@ def node_feature_table(spark, sf):
     s = d.agg(F.avg("p").alias("m"), F.greatest(F.stddev_pop("p"), F.lit(1e-9)).alias("sd"), F.min("t0").alias("lo"), F.max("t0").alias("hi"))
     g = (J.lineage(spark, sf).where(F.col("grand").isNotNull()).groupBy(F.col("grand").alias("source"), "t0").agg(F.avg("grand_prod").alias("p"))
          .join(d.select("source", "t0"), ["source", "t0"], "left_anti").withColumn("block", F.lit("grand")))
-    j = _attach(d.unionByName(g), s, [])
+    j = attach(d.unionByName(g), s, [])
     return j.select("source", "t0", "block", F.round((F.col("p") - F.col("m")) / F.col("sd"), 5).alias("z"), r6((F.col("t0") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).alias("t0_norm"))

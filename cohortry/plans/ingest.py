@@ -133,7 +133,7 @@ def sink_frozen_table(spark, sf):
     folder = scratch(spark, "frozen")
     cols = ["subject", "source", "t0", "y", "early_tags", "source_tags"]
     K.frozen_table(S.cohort(spark, sf).select(*cols), folder)
-    back = spark.read.schema("subject long, source long, t0 int, y int, early_tags string, source_tags string").option("header", True).csv(f"{folder}/csv")
+    back = spark.read.schema("subject long, source long, t0 int, y int, early_tags string, source_tags string").option("header", True).option("nullValue", "\\N").csv(f"{folder}/csv")
     return back.select(*cols)
 
 

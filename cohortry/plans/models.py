@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.columns import keyed_md5, r6, uniform
 from cohortry.functions.numeric import cosine_divergence
 from cohortry.operators import draws as D, features as X, graph as G, metrics as M, models as L, peers, regression as R, stats, typicality as Y
-from cohortry.operators.ordering import _attach
+from cohortry.operators.ordering import attach
 from cohortry.plans import aggregates as AG, graphs as GR, joins as J, stages as S
 from cohortry.plans.aggregates import n_rows
 from cohortry.plans.evaluation import ap_sql
@@ -221,8 +221,8 @@ def permutation_importance(spark, sf):
     moved = D.permute_seeds(many.select("subject", "y", "field_vec", "feature", "own"), ["feature"], "subject", "own", 3, "donor", salt="importance")
     swapped = moved.select("subject", "y", "field_vec", "feature", "seed", *[F.when(F.col("feature") == c, F.col(f"donor.{c}")).otherwise(F.col(f"own.{c}")).alias(c) for c in BASE])
     ap = M.average_precision(L.scored(m, X.assemble(swapped, [*BASE, "field_vec"]), ["feature", "seed", "y"]), ["feature", "seed"])
-    base = M.average_precision(L.scored(m, X.assemble(te, [*BASE, "field_vec"]), ["y"]).withColumn("k", F.lit(0)), ["k"]).select(F.col("ap").alias("full"))
-    d = _attach(ap, base, []).withColumn("drop", F.col("full") - F.col("ap"))
+    base = M.average_precision(L.scored(m, X.assemble(te, [*BASE, "field_vec"]), ["y"]), []).select(F.col("ap").alias("full"))
+    d = attach(ap, base, []).withColumn("drop", F.col("full") - F.col("ap"))
     return d.groupBy("feature").agg(r6(F.avg("drop")).alias("mean_drop"), r6(F.stddev_samp("drop")).alias("sd_drop"), n_rows("repeats"))
 
 
@@ -306,15 +306,20 @@ def embedding_arm(spark, sf):
     out = []
     for arm, cols in (("vectors", ["vec"]), ("vectors+tabular", ["vec", "log_chars"])):
         a = X.assemble(rows, cols)
-        s = L.scored(L.fit_logit(a.where("u < 0.7")), a.where("u >= 0.7"), ["y"]).withColumn("field", F.lit("all"))
-        out.append(judged(s, arm))
+        s = L.scored(L.fit_logit(a.where("u < 0.7")), a.where("u >= 0.7"), ["y"])
+        out.append(M.average_precision(s, []).select(F.lit(arm).alias("arm"), r6(F.col("ap")).alias("ap"), "rows"))
     return stack(out)
 
 
+SKIPGRAM_NODES = 5_000_000  # the learner keeps one vector per node on the driver; beyond this use the projection
+
+
 @query("walk_embedding")
 def walk_embedding(spark, sf):
     """Skip-gram vectors of walks; divergence of each subject from its parent, mean and spread over seeds."""
     g = GR.tree(spark, sf)
+    if g.count() > SKIPGRAM_NODES:
+        return walk_embedding_projected(spark, sf)
     per = []
     for seed in (0, 1):
         w = G.random_walks(g, walks=3, steps=8, seed=seed).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
@@ -322,3 +327,15 @@ def walk_embedding(spark, sf):
         a, b = v.select(F.col("node").alias("src"), F.col("v").alias("a")), v.select(F.col("node").alias("dst"), F.col("v").alias("b"))
         per.append(g.join(a, "src").join(b, "dst").select("src", "dst", F.lit(seed).alias("seed"), cosine_divergence(F.col("a"), F.col("b")).alias("d")))
     return stack(per).groupBy("src", "dst").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd"))
+
+
+@query("walk_embedding_projected")
+def walk_embedding_projected(spark, sf):
+    """The same report from projected co-occurrence counts, for graphs of any size."""
+    g = GR.tree(spark, sf)
+    per = []
+    for seed in (0, 1):
+        v = G.projected_vectors(G.random_walks(g, walks=3, steps=8, seed=seed), seed=seed)
+        a, b = v.select(F.col("node").alias("src"), F.col("v").alias("a")), v.select(F.col("node").alias("dst"), F.col("v").alias("b"))
+        per.append(g.join(a, "src").join(b, "dst").select("src", "dst", F.lit(seed).alias("seed"), cosine_divergence(F.col("a"), F.col("b")).alias("d")))
+    return stack(per).groupBy("src", "dst").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd"))

@@ -8,6 +8,7 @@ re-running the whole job), keeps column pruning and gives the optimizer file siz
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -50,7 +51,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,11 +67,18 @@ def input_signature(spark: SparkSession, folder: str) -> str:
 
 
 _STAGES: dict[tuple, DataFrame] = {}
+_SIGNATURES: dict[tuple, tuple[float, str]] = {}
+_FRESH_SECONDS = 30.0
 
 
 def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Build a stage table once per application and input state."""
-    key = (spark.sparkContext.applicationId, folder, input_signature(spark, folder), name)
+    app = spark.sparkContext.applicationId
+    seen = _SIGNATURES.get((app, folder))
+    if seen is None or time.monotonic() - seen[0] > _FRESH_SECONDS:  # one listing for a burst of queries
+        seen = (time.monotonic(), input_signature(spark, folder))
+        _SIGNATURES[(app, folder)] = seen
+    key = (app, folder, seen[1], name)
     if key not in _STAGES:
         _STAGES[key] = materialise(build(), name)
     return _STAGES[key]
@@ -79,3 +87,15 @@ def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataF
 def forget_stages() -> None:
     """Drop the memo (used when timing a cold build)."""
     _STAGES.clear()
+    _SIGNATURES.clear()
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables from the checkpoint folder."""
+    forget_stages()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{_folder(spark)}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"stages-{spark.sparkContext.applicationId}"

@@ -11,10 +11,10 @@ def flatten_lists(df: DataFrame, sep: str = "; ") -> DataFrame:
 
 
 def frozen_table(df: DataFrame, folder: str, by: str | None = None) -> None:
-    """Parquet plus a flattened CSV twin."""
+    """Parquet plus a flattened CSV twin, where a null is ``\\N`` and an empty list is empty."""
     w = df.write.mode("overwrite")
     (w.partitionBy(by) if by else w).parquet(f"{folder}/parquet")
-    flatten_lists(df).write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    flatten_lists(df).write.mode("overwrite").option("header", True).option("nullValue", "\\N").csv(f"{folder}/csv")
 
 
 def event_table(df: DataFrame, folder: str, rows_per_file: int = 2_000_000) -> None:
