@@ -127,7 +127,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
     does so up to 1000, so a larger k is first limited inside 32 salted slices of each key."""
     rows = df
     if k > 1000:
-        salt = F.pmod(F.xxhash64(*order), F.lit(32))
+        salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(32))
         w = _window([*keys, "_salt"]).orderBy(*order)
         rows = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_salt", "_r")
     w = _window(keys).orderBy(*order)
