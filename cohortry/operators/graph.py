@@ -36,9 +36,10 @@ def weighted_edges(rows: DataFrame) -> DataFrame:
     return r.select(F.explode(e).alias("e")).select("e.*").where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("weight"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, cut_every: int = 4) -> DataFrame:
-    """Weighted rank with the mass of sinks spread evenly. The lineage is cut every few rounds by a
-    stage table in the shared folder."""
+def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
+    """Weighted rank with the mass of sinks spread evenly. Each round reads the ranks three times
+    (along edges, at sinks, as they were), so it is written to the shared folder: a round then costs
+    one pass and no round before it. Stops when the total change is below n * tol."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("_t"))
     share = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("share")), "share")
     names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -48,10 +49,11 @@ def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, cut_ev
     for i in range(iterations):
         came = rank.join(share, rank.node == share.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
         lost = rank.agg(F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        rank = (attach(nodes.join(came, nodes.node == came.dst, "left").select("node", "sink", "came"), lost, [])
-                .select("node", "sink", (F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)).alias("rank")))
-        if (i + 1) % cut_every == 0:
-            rank = materialise(rank, f"rank{i}")
+        rank = (attach(rank.join(came, rank.node == came.dst, "left").select("node", "sink", F.col("rank").alias("before"), "came"), lost, [])
+                .select("before", "node", "sink", (F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)).alias("rank")))
+        rank = materialise(rank, f"rank{i}")
+        if rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tol:
+            break
     return rank.select("node", "rank")
 
 
@@ -112,20 +114,21 @@ def communities(edges: DataFrame, rounds: int = 8, seed: int = 0) -> DataFrame:
     return lab.select("node", "community")
 
 
-def neighbourhood(edges: DataFrame, start: DataFrame, n: int, max_levels: int = 50) -> DataFrame:
-    """The first n nodes around ``start`` (one row, ``node``) in (level, id) order."""
+def neighbourhood(edges: DataFrame, start: DataFrame, n: int) -> DataFrame:
+    """The first n nodes around ``start`` (one row, ``node``) in (level, id) order. Levels are added until
+    n nodes are seen or none is new."""
     both = materialise(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "both")
     seen = materialise(start.select("node", F.lit(0).alias("level")), "seen")
-    for level in range(1, max_levels + 1):
+    size, level = 1, 0
+    while size < n:
+        level += 1
         front = seen.where(F.col("level") == level - 1)
         nxt = (front.join(both, front.node == both.src).select(F.col("dst").alias("node")).distinct()
                .join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
-        grown = materialise(seen.unionByName(nxt), f"seen{level}")
-        size = grown.count()
-        if size >= n or size == seen.count():
-            seen = grown
+        seen = materialise(seen.unionByName(nxt), f"seen{level}")
+        before, size = size, seen.count()
+        if size == before:
             break
-        seen = grown
     return seen.orderBy("level", "node").limit(n)
 
 

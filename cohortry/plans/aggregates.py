@@ -2,15 +2,13 @@
 
 from pyspark.sql import Window as W, functions as F
 
-from cohortry.functions.columns import jaccard, r6, ratio, render
+from cohortry.functions.columns import jaccard, r6, render
 from cohortry.operators import cohort as C, impact, peers, profiles, stats, typicality as Y
 from cohortry.operators.ordering import attach, quantiles, top_k
 from cohortry.plans import joins as J, stages as S
 from cohortry.plans.joins import jac
 from cohortry.plans.registry import cte, query
 
-ONE = F.lit
-
 
 def n_rows(name="n"):
     return F.count(F.lit(1)).alias(name)

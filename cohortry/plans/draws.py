@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import jaccard, keyed_md5, r6, uniform
 from cohortry.operators import draws as D
-from cohortry.operators.ordering import attach, hash_rank, quantiles
+from cohortry.operators.ordering import cumulate, hash_rank
 from cohortry.plans import stages as S
 from cohortry.plans.aggregates import n_rows, pair_graph
 from cohortry.plans.joins import jac
@@ -236,7 +236,6 @@ p AS (SELECT n.*, (1 - target) * (n - 1) AS pos FROM n JOIN t_target USING (fiel
 SELECT field, seed, round(max(lo) FILTER (WHERE i = floor(pos)) + (max(lo) FILTER (WHERE i = ceil(pos)) - max(lo) FILTER (WHERE i = floor(pos))) * (max(pos) - floor(max(pos))), 6) AS theta FROM p GROUP BY ALL""")
 def theta_calibrate_quantile(spark, sf):
     """theta = quantile(1 - base rate) of the training overlaps; the probability differs per field."""
-    from cohortry.operators.ordering import cumulate
     c = cumulate(train_overlaps(spark, sf), ["field", "seed"], "lo", {"n": F.lit(1)}, descending=False).join(target(spark, sf), "field")
     pos = (1 - F.col("target")) * (F.col("tot_n") - 1)
     lo, hi, first, last = F.floor(pos), F.ceil(pos), F.col("cum_n") - F.col("n"), F.col("cum_n") - 1

@@ -38,7 +38,7 @@ def pr_sql(rounds):
 
 @query("pagerank_weighted", pr_sql(12))
 def pagerank_weighted(spark, sf):
-    return G.pagerank(weighted(spark, sf), iterations=12).select("node", r6(F.col("rank")).alias("rank"))
+    return G.pagerank(weighted(spark, sf), iterations=12, tol=0.0).select("node", r6(F.col("rank")).alias("rank"))
 
 
 cte("t_tree", "SELECT DISTINCT least(pid, parent) AS a, greatest(pid, parent) AS b FROM t_parent JOIN t_cohort ON subject = pid WHERE pid <> parent")
@@ -100,7 +100,7 @@ def bfs_neighbourhood(spark, sf):
     """150 nodes around the hub (the cut is the feature)."""
     g = tree(spark, sf)
     hub = g.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").count().orderBy(F.col("count").desc(), "node").limit(1).select("node")
-    return G.neighbourhood(g, hub, 150, 12)
+    return G.neighbourhood(g, hub, 150)
 
 
 @query("random_walks", """

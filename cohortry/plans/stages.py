@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.functions.columns import jaccard, keyed_md5, uniform
 from cohortry.operators import cohort as C, profiles as P
-from cohortry.operators.ordering import quantiles
 from cohortry.session import stage
 from cohortry.specs import CohortSpec
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import r6
 from cohortry.plans import stages as S
 from cohortry.plans.ingest import scratch
 from cohortry.plans.registry import query

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from cohortry.functions.columns import r6
-from cohortry.operators import impact, peers, stats
+from cohortry.operators import impact, stats
 from cohortry.operators.ordering import cumulate, first_by
 from cohortry.plans import stages as S
 from cohortry.plans.aggregates import n_rows, terciles
