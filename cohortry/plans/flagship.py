@@ -8,12 +8,13 @@ from cohortry.plans.registry import query
 
 
 @query("cohort_base_rate", """
-SELECT field, count(*) AS n, round(avg(y::DOUBLE), 6) AS base_rate, round(avg(late_overlap), 6) AS mean_late_overlap
+SELECT field, count(*) AS n, round(avg(y::DOUBLE), 6) AS base_rate, sum(late_overlap::DECIMAL(18,6))::DOUBLE / count(*) AS mean_late_overlap
 FROM t_cohort GROUP BY field""")
 def cohort_base_rate(spark, sf):
     return S.cohort(spark, sf).groupBy("field").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("y")).alias("base_rate"),
-        r6(F.avg("late_overlap")).alias("mean_late_overlap"))
+        # exact sum: the mean is the same on any layout, so it is not rounded
+        (F.sum(F.col("late_overlap").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))).alias("mean_late_overlap"))
 
 
 @query("cohort_table", """
