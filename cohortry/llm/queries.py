@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cohortry.llm import bpe, simhash
-from cohortry.llm.common import DataFrame, F, SparkSession, table
+from cohortry.llm import bpe, decontaminate, quality, simhash, warc
+from cohortry.llm.common import DataFrame, F, SparkSession, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +26,30 @@ def op2_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op5_warc_index_merge"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     q AS (SELECT page_id, html, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY html) AS low FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND low < page_id THEN low END AS refers_to
+FROM q
+"""
+
+
+@query
+def op8_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialise(quality.statistics(table(spark, sf_dir, "documents")), "quality")
+    judged = quality.judge(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_decontaminate_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
