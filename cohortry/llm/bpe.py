@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 
-from cohortry.llm.common import DataFrame, F, T, materialise, per_slice, plain
+from cohortry.llm.common import DataFrame, F, Marks, T, bit_map, materialise, per_slice, plain
 
 # The split pattern of the vocabulary, as its library states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -20,7 +20,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW = 16          # bytes the rolling hash sees
 LEAST, MOST = 64, 2048  # bytes of a chunk
 MASK = 0xFF          # one place in 256 is a cut
-MARK_BITS = 26       # the map of shared chunks is 2 ** 26 bits, 8 MB, whatever the input
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 65536, dtype=np.uint64)
 
@@ -194,10 +193,6 @@ def _chunk_keys(data: bytes, ends: list[int]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(data[s:e]) for s, e in zip([0, *ends], ends)]
 
 
-def _place(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little") & ((1 << MARK_BITS) - 1)
-
-
 _PIECE = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 _SCAN = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()),
@@ -205,12 +200,9 @@ _SCAN = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("chunk", T.StringType())])
 
 
-def shared_marks(docs: DataFrame) -> bytes:
-    """Bit map of the chunks that occur more than once: bit ``low bits of the key``.
-
-    The map has a fixed size. A chunk may be marked by chance; it then takes the longer way for nothing.
-    A shared chunk is always marked.
-    """
+def shared_marks(docs: DataFrame) -> Marks:
+    """Marks of the chunks that occur more than once. A chunk marked by chance takes the longer way for
+    nothing."""
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def make():
@@ -220,14 +212,7 @@ def shared_marks(docs: DataFrame) -> bytes:
             return [pa.array(a[:, 0]), pa.array(a[:, 1])]
         return work
     keys = per_slice(plain(docs, "text"), "text", out, make)
-    shared = keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    low = F.col("a").bitwiseAND(F.lit((1 << MARK_BITS) - 1).cast("long"))
-    rows = (shared.select(F.shiftright(low, 15).alias("page"), low.bitwiseAND(F.lit(32767).cast("long")).alias("bit"))
-            .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map")).collect())  # at most 2 ** 11 pages of 4 kB
-    marks = bytearray(1 << (MARK_BITS - 3))
-    for r in rows:
-        marks[r["page"] * 4096:(r["page"] + 1) * 4096] = r["map"]
-    return bytes(marks)
+    return bit_map(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("a"))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -254,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                 data = text.encode()
                 ends = cuts(data)
                 keys = _chunk_keys(data, ends)
-                hit = [held[(p := _place(k)) >> 3] >> (p & 7) & 1 for k in keys]
+                hit = held.have(np.frombuffer(b"".join(keys), np.int64)[::2]).tolist()
                 state["row"] += 1
                 row = state["row"]
                 if not any(hit):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -68,4 +69,32 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-__all__ = ["F", "T", "DataFrame", "SparkSession", "materialise", "table", "whole", "per_slice", "sized_slices", "plain", "row_key", "SLICE_CHARS"]
+MARK_BITS = 26
+
+
+class Marks:
+    """A bit map of 2 ** 26 places (8 MB, whatever the input). A marked value is always found; another may
+    be found by chance, so a join decides behind it."""
+
+    def __init__(self, pages: dict[int, bytes]):
+        self.bits = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+        for page, held in pages.items():
+            self.bits[page * 4096:(page + 1) * 4096] = np.frombuffer(held, np.uint8)
+
+    def has(self, value: int) -> bool:
+        return bool(self.bits[(value & ((1 << MARK_BITS) - 1)) >> 3] >> (value & 7) & 1)
+
+    def have(self, values: np.ndarray) -> np.ndarray:
+        low = values.astype(np.int64) & ((1 << MARK_BITS) - 1)
+        return (self.bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_map(df: DataFrame, value: Column) -> Marks:
+    """Marks of the low bits of a long column, built as bit map pages on the executors."""
+    low = value.bitwiseAND(F.lit((1 << MARK_BITS) - 1).cast("long"))
+    rows = (df.select(F.shiftright(low, 15).alias("page"), low.bitwiseAND(F.lit(32767).cast("long")).alias("bit"))
+            .groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map")).collect())  # at most 2 ** 11 pages of 4 kB
+    return Marks({r["page"]: bytes(r["map"]) for r in rows})
+
+
+__all__ = ["Marks", "bit_map", "F", "T", "DataFrame", "SparkSession", "materialise", "table", "whole", "per_slice", "sized_slices", "plain", "row_key", "SLICE_CHARS"]

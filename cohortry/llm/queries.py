@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cohortry.llm import bpe, decontaminate, quality, simhash, warc
+from cohortry.llm import bpe, decontaminate, linedup, paragraphs, quality, simhash, warc
 from cohortry.llm.common import DataFrame, F, SparkSession, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,17 @@ def op8_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "n_words", "cluster_id", "cluster_size", "kept")
+
+
+@query
+def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_line_suffix_array"] = linedup.REPORT_SQL
