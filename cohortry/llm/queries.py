@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cohortry.llm import bpe, decontaminate, linedup, paragraphs, quality, simhash, warc
+from cohortry.llm import bpe, decontaminate, html, linedup, paragraphs, quality, simhash, toxicity, warc
 from cohortry.llm.common import DataFrame, F, SparkSession, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,14 @@ def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_line_suffix_array"] = linedup.REPORT_SQL
+
+
+@query
+def op4_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
