@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from cohortry.llm import bpe, decontaminate, html, linedup, paragraphs, quality, simhash, toxicity, warc
+from cohortry.llm import bpe, decontaminate, html, linedup, paragraphs, pii, quality, simhash, toxicity, warc
 from cohortry.llm.common import DataFrame, F, SparkSession, materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op4_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
