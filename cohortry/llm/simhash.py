@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-from cohortry.llm.common import DataFrame, F, T, materialise, per_slice, plain
+from cohortry.llm.common import DataFrame, F, T, materialise, per_slice, plain, row_key
 from cohortry.operators.graph import components
 
 BITS = 64
@@ -138,9 +139,128 @@ def hexed(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, distance: int = 3, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` without later members of near-duplicate groups: the smallest id stays, once."""
-    found = near_duplicates(docs, distance, shingle)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    by_id = docs.join(stays.withColumnRenamed("doc_id", "_stays"), F.col("doc_id") == F.col("_stays"), "left_semi")
-    return by_id.dropDuplicates(["doc_id"])
+LONG = 4          # 64-bit words of a long fingerprint
+RECALL = 0.98     # chance that a pair at the wanted similarity shares a block
+MOST = 4096       # fingerprints one task compares with each other at a time
+
+
+def long_fingerprint(text: str, shingle: int = 5) -> bytes:
+    """A SimHash of 64 * LONG bits over word shingles; all zeros for a text without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * LONG)
+    runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+    n = max(1, len(words) - shingle + 1)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, n)
+    ones = np.zeros(BITS * LONG, np.int64)
+    for i in range(0, n, 16384):
+        part = h[i:i + 16384]
+        wide = np.column_stack([_mix(part, k) for k in range(LONG)])
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+
+
+def _mix(h: np.ndarray, k: int) -> np.ndarray:
+    h = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << BITS))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def differing(similarity: float) -> float:
+    """Expected share of differing bits of two texts with this Jaccard similarity of their shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _choices(n: int, similarity: float) -> tuple[np.ndarray, int]:
+    """Bit places of the blocks, and the distance up to which fingerprints link. A block has log2(n) bits,
+    so chance meetings grow with the input and not with its square; there are as many blocks as the recall
+    asks. The distance is one deviation above what the similarity lets expect."""
+    width = max(8, math.ceil(math.log2(max(2, n))))
+    p = differing(similarity)
+    blocks = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** width))
+    rng = np.random.default_rng(17)
+    bits = BITS * LONG
+    return np.array([rng.permutation(bits)[:width] for _ in range(blocks)]), round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def long_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
+    """(src, dst): links that join each group of long fingerprints near enough for ``similarity``.
+
+    Close pairs share a block of chosen bits and meet there; their Hamming distance over all bits decides. A
+    block value shared by more than ``most`` fingerprints is cut into slices, and each two slices meet in a
+    part of their own.
+    """
+    spots, distance = _choices(fps.count(), similarity)
+    powers = (1 << np.arange(spots.shape[1], dtype=np.int64))
+
+    def blocks(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.column(0).slice(at, 4096)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.to_pylist()), np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+                keys = np.column_stack([bits[:, s].astype(np.int64) @ powers + (np.int64(i) << np.int64(40)) for i, s in enumerate(spots)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), part.take(pa.array(np.repeat(np.arange(len(part)), len(spots))))], names=["key", "fp"])
+    rows = fps.select("fp").mapInArrow(blocks, "key long, fp binary")
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    slices = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), slices).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda o: F.struct(F.least(o, mine).alias("p"), F.greatest(o, mine).alias("q")))
+    parts = rows.join(large, "key", "left").select("key", F.explode(pairs).alias("s"), "fp").select("key", "s.p", "s.q", "fp")
+    dealt = parts.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def run(batches):
+        held_keys, held = None, None
+        for batch in batches:
+            k = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            f = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LONG)
+            if held is not None:
+                k, f = np.concatenate([held_keys, k]), np.concatenate([held, f])
+            ends = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
+            out: list[tuple[bytes, bytes]] = []
+            for s, e in zip([0, *ends], ends):
+                if e - s > 1:
+                    out += _long_forest(f[s:e], distance)
+            last = ends[-1] if ends else 0
+            held_keys, held = k[last:], f[last:]
+            yield _pairs(out)
+        if held is not None and len(held) > 1:
+            yield _pairs(_long_forest(held, distance))
+    return dealt.mapInArrow(run, "src binary, dst binary").distinct()
+
+
+def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["src", "dst"])
+
+
+def _long_forest(fps: np.ndarray, distance: int) -> list[tuple[bytes, bytes]]:
+    left, out = np.arange(len(fps)), []
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            near = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1) <= distance
+            if near.any():
+                out += [(fps[at].tobytes(), fps[x].tobytes()) for x in left[near]]
+                todo += left[near].tolist()
+                left = left[~near]
+    return out
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near-equal texts: the one with the smallest id (no id last),
+    then the smallest content key. Of repeated rows one stays. Null and empty texts are one group."""
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": row_key()})
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.BinaryType())])
+
+    def make():
+        return lambda part, texts: [part.column(0), part.column(1), [long_fingerprint(t, shingle) for t in texts]]
+    marks = materialise(per_slice(rows.select("__id", "__key", "text"), "text", out, make), "long")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    folded = materialise(marks.groupBy("fp").agg(F.min(place).alias("first")), "folded")
+    near = materialise(components(long_links(folded, similarity)), "near")
+    low = near.join(folded, near.node == folded.fp).groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("low"))
+    named = near.join(low, near.component == low["_c"]).select(F.col("node").alias("fp"), "low")
+    stays = folded.join(named, "fp", "left").select(F.coalesce("low", "first").alias("s")).distinct().select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
+    kept = rows.join(stays, F.col("__id").eqNullSafe(F.col("_id")) & (F.col("__key") == F.col("_key")), "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

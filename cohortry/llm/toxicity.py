@@ -11,11 +11,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
-from cohortry.llm.common import DataFrame, F, T, per_slice, plain
+from cohortry.llm.common import DataFrame, F, T, per_slice, plain, sized_slices
 
 SAMPLE = 10_000          # labelled documents a model is fitted on, at most
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 112_640
@@ -141,7 +143,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     return train([r["text"] for r in rows], [r["_toxic"] for r in rows])
 
 
-_METERS: dict[int, Meter] = {}  # of this worker, by the models' broadcast id
+@lru_cache(maxsize=2)
+def _meter(m: Model) -> Meter:
+    """One meter per worker process and model."""
+    return Meter(m.toxic, m.ordinary)
+
+
+def _logits(m: Model, meter: Meter, texts: list[str]) -> np.ndarray:
+    x = (np.array([meter.figures(t) for t in texts]).reshape(len(texts), len(m.mean)) - m.mean) / m.scale
+    return x @ np.array(m.weights[:-1]) + m.weights[-1]
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -154,12 +164,10 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         m = sent.value
         if m is None:
             return lambda part, texts: [part.column(0), [0.0] * len(texts)]
-        meter = _METERS.setdefault(hash(m), Meter(m.toxic, m.ordinary))
+        meter = _meter(m)
 
         def work(part, texts):
-            x = (np.array([meter.figures(t) for t in texts]).reshape(len(texts), -1) - m.mean) / m.scale
-            z = np.clip(x @ np.array(m.weights[:-1]) + m.weights[-1], -30, 30)
-            return [part.column(0), 1 / (1 + np.exp(-z))]
+            return [part.column(0), 1 / (1 + np.exp(-np.clip(_logits(m, meter, texts), -30, 30)))]
         return work
     rows = per_slice(plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), "text", out, make)
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -171,13 +179,11 @@ def keep_ordinary(docs: DataFrame, model: Model | None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        import pyarrow as pa
         m = sent.value
-        meter = m and _METERS.setdefault(hash(m), Meter(m.toxic, m.ordinary))
+        meter = m and _meter(m)
         for batch in batches:
-            if m is None:
-                yield batch
-                continue
-            x = (np.array([meter.figures(t or "") for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, -1) - m.mean) / m.scale
-            yield batch.filter(pa.array(x @ np.array(m.weights[:-1]) + m.weights[-1] < 0))
+            for part in [batch] if m is None else sized_slices(batch, at):
+                if m is not None:
+                    part = part.filter(pa.array(_logits(m, meter, [t or "" for t in part.column(at).to_pylist()]) < 0))
+                yield part
     return docs.mapInArrow(run, docs.schema)
