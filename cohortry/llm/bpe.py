@@ -18,8 +18,8 @@ from cohortry.llm.common import DataFrame, F, Marks, T, bit_map, materialise, pe
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 WINDOW = 16          # bytes the rolling hash sees
-LEAST, MOST = 64, 2048  # bytes of a chunk
-MASK = 0xFF          # one place in 256 is a cut
+LEAST, MOST = 128, 4096  # bytes of a chunk
+MASK = 0x1FF         # one place in 512 is a cut
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 65536, dtype=np.uint64)
 
