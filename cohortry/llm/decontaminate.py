@@ -70,7 +70,8 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, block: int = BLO
     """``docs`` with __n_words, __n_hit and __items (ids of items with an occurring window).
 
     The benchmark is taken in blocks of about ``block`` windows, each broadcast on its own; the documents
-    stream past each block and gather their hits, so nothing is shuffled and no side is unbounded. Words
+    stream past each block and gather their hits, so nothing is shuffled and no side is unbounded. With more
+    than one block the rows are written between blocks, so a task never runs more than one. Words
     are joined on a window's rarest word (counted over all documents), the place of that word and the
     window's length give the only possible span, and the span is compared word by word. Repeated rows
     and repeated items give the same result for each row; null and empty texts have no words.
@@ -88,6 +89,8 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, block: int = BLO
         counts = word_counts(texts, spark.sparkContext.broadcast({w: i for i, w in enumerate(names)}))
         index = spark.sparkContext.broadcast(_index(held, {w: counts.get(i, 0) for i, w in enumerate(names)}))
         out = out.mapInArrow(_probe(index, kept.index("text"), len(kept)), out.schema)
+        if b + 1 < blocks:
+            out = materialise(out, "hits")
     covered = F.size("__spans")
     return out.select(*[F.col(f"`{c}`") for c in kept], "__n_words", covered.cast("long").alias("__n_hit"), F.array_sort(F.array_distinct("__items")).alias("__items"))
 

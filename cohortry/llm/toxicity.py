@@ -98,14 +98,14 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
     """Fit on whole texts. Copies count once. None without both classes."""
     rows = list({t: y for t, y in zip(texts, toxic)}.items())
     rng = random.Random(0)
-    fit, rest = [r for i, r in enumerate(rows) if i % 2], [r for i, r in enumerate(rows) if not i % 2]
+    fit, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
     if len({y for _, y in fit}) < 2 or len({y for _, y in rest}) < 2:
         return None
     in_docs = {True: Counter(), False: Counter()}
     for t, y in fit:
         in_docs[y].update(set(windows(t)))
     n = Counter(y for _, y in fit)
-    own = {w for w, k in in_docs[True].items() if k >= 3 and (k / n[True]) / ((in_docs[False][w] + 1) / n[False]) >= min(CONTRAST, n[False] * 3 / n[True] / 2)}
+    own = {w for w, k in in_docs[True].items() if k >= 2 and (k / n[True]) / ((in_docs[False][w] + 1) / n[False]) >= min(CONTRAST, n[False] * 3 / n[True] / 2)}
     toxic_words = [w for t, y in fit if y for w in windows(t) if w in own]
     ordinary_words = [w for t, y in fit if not y for w in windows(t)]
     rng.shuffle(ordinary_words)
