@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 # fixed values: resolver prefixes stripped from a DOI, in this order
 DOI_PREFIXES = ("https://doi.org/", "http://dx.doi.org/", "http://doi.org/", "doi.org/")
-# fixed values: accented letters and the plain letters they fold to
-ACCENTED = "àáâäçèéêëìíîïñòóôöùúûü"
-PLAIN = "aaaaceeeeiiiinoooouuuu"
+_FOLDED = [(c, f) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()
+           and len(f := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()) == 1]
+# lower-case Latin letters whose compatibility decomposition holds one plain letter, and that letter
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_FOLDED))
 # fixed values: phrases that say nothing about which institution is meant
 INSTITUTION_NOISE = ("university of", "the ", "college", "school", "institute", ",", ".")
 ORCID = r"^(?:https?://orcid\.org/)?(\d{4}-\d{4}-\d{4}-\d{3}[\dX])$"
@@ -36,9 +39,9 @@ def norm_orcid(raw: Column) -> Column:
 
 
 def fold_name(raw: Column) -> Column:
-    """Lower case, accents folded by table, spaces collapsed."""
+    """Lower case, Latin accents folded, what has no plain letter dropped, spaces collapsed."""
     low = F.translate(F.lower(F.coalesce(raw, F.lit(""))), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(low, r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\x00-\x7F]", ""), r"\s+", " "))
 
 
 def letters_only(raw: Column) -> Column:

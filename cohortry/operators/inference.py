@@ -1,7 +1,7 @@
 """Paired tests, multiplicity, resampling intervals and decision gates on metric tables.
 
-Tests here compare a handful of seeds (ten in the study design); the arrays below hold one entry per
-seed of one comparison and nothing else.
+Tests here compare the seeds of one comparison; the arrays below hold one entry per seed, or per rank sum
+of the seeds, and nothing else.
 """
 
 from __future__ import annotations
@@ -36,18 +36,23 @@ def signed_ranks(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def wilcoxon(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Two-sided signed-rank test with the exact null over all sign patterns; p = 1 when nothing differs."""
+    """Two-sided signed-rank test with the exact null; p = 1 when nothing differs.
+
+    The null counts the sign patterns of every rank sum without listing them: ranks are doubled, so that
+    shared ranks are whole too, and added one by one to an array of counts per sum (n * n(n+1) cells).
+    """
     r = signed_ranks(diffs, keys).groupBy(*keys).agg(
         F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"),
         F.sort_array(F.collect_list("rank")).alias("_r"))
-    m = F.size("_r")
-    masks = F.sequence(F.lit(0), F.pow(F.lit(2.0), m).cast("int") - 1)
-    positions = F.transform("_r", lambda x, i: F.struct(x.alias("x"), F.pow(F.lit(2.0), i).cast("int").alias("b")))
-    sums = F.transform(masks, lambda k: F.aggregate(positions, F.lit(0.0), lambda acc, e: acc + F.when(k.bitwiseAND(e["b"]) > 0, e["x"]).otherwise(0.0)))
-    r = r.withColumn("_s", sums)
-    n = F.size("_s").cast("double")
-    le = F.size(F.filter("_s", lambda v: v <= F.col("w_plus"))) / n
-    ge = F.size(F.filter("_s", lambda v: v >= F.col("w_plus"))) / n
+    twice = F.transform("_r", lambda x: F.round(2 * x).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.aggregate(twice, F.lit(0), lambda a, x: a + x)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(twice, cells, lambda c, x: F.transform(c, lambda v, i: v + F.when(i >= x, F.get(c, i - x)).otherwise(0.0)))
+    r = r.withColumn("_s", F.transform(counts, lambda v, i: F.struct(i.alias("w"), v.alias("n"))))
+
+    def share(keep):
+        return F.aggregate(F.filter("_s", keep), F.lit(0.0), lambda a, e: a + e["n"]) / F.pow(F.lit(2.0), F.size("_r"))
+    at = F.round(2 * F.col("w_plus")).cast("int")
+    le, ge = share(lambda e: e["w"] <= at), share(lambda e: e["w"] >= at)
     r = r.withColumn("p", F.least(F.lit(1.0), 2 * F.least(le, ge))).select(*keys, "w_plus", "w_minus", "p")
     base = diffs.groupBy(*keys).agg(F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"), F.count("d").alias("n"),
                                     F.count_if(F.col("d") > 0).alias("n_pos"), F.count_if(F.col("d") < 0).alias("n_neg"), F.var_pop("vb").alias("var_b"))
@@ -69,8 +74,12 @@ def cohens_d(mean: Column, sd: Column) -> Column:
 
 
 def t_critical(n: Column) -> Column:
+    """Two-sided 95 % point of Student's t for n - 1 degrees of freedom: tabled up to 30, beyond by its
+    expansion around the normal point, which is right to five digits there."""
     table = F.array(*[F.lit(v) for v in T95])
-    return F.coalesce(F.get(table, (n - 2).cast("int")), F.lit(1.96))
+    z, v = 1.959963984540054, (n - 1).cast("double")
+    beyond = (z + (z**3 + z) / 4 / v + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / v**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / v**3)
+    return F.coalesce(F.get(table, (n - 2).cast("int")), beyond)
 
 
 def seed_bootstrap(diffs: DataFrame, keys: Sequence[str], draws: int, salt: str = "seedboot") -> DataFrame:

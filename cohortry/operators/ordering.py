@@ -41,15 +41,15 @@ def cumulate(df: DataFrame, group: Sequence[str], by: str, sums: dict[str, Colum
     """One row per (group, distinct ``by``) with sums and their running totals in ``by`` order.
 
     Rows are first aggregated per distinct value (map-side combine), so a hot group costs its
-    distinct values only; those are then accumulated in ``bins`` equal-width slices.
+    distinct values only; those are then accumulated in ``bins`` slices. The slices end at quantiles of the
+    distinct values, so they are even whatever the values; raise ``bins`` with the data.
     Adds ``cum_<name>`` (inclusive) and ``tot_<name>`` for every name in ``sums``.
     """
     group = list(group)
     agg = df.groupBy(*group, by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    span = agg.groupBy(*group).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.least(F.floor((F.col(by) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    agg = attach(agg, span, group).withColumn("_b", slot.cast("int")).drop("_lo", "_hi")
+    ends = agg.groupBy(*group).agg(F.percentile_approx(by, [i / bins for i in range(1, bins)], 100 * bins).alias("_ends"))
+    slot = F.aggregate("_ends", F.lit(0), lambda n, e: n + (e < F.col(by)).cast("int"))
+    agg = attach(agg, ends, group).withColumn("_b", slot).drop("_ends")
     per_bin = agg.groupBy(*group, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     key = F.col("_b").desc() if descending else F.col("_b").asc()
     before = _window(group).orderBy(key).rowsBetween(W.unboundedPreceding, -1)

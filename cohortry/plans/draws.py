@@ -90,7 +90,7 @@ def label_scramble_cell(spark, sf):
     return scrambled(spark, sf, ["field", "split", "t0"]).select("subject", "y", "y_perm")
 
 
-SEEDS = 5
+SEEDS = 10
 
 
 def draw_sql(band):

@@ -12,6 +12,8 @@ from cohortry.plans.registry import cte, query
 
 # ---- SQL twins -------------------------------------------------------------------------------
 
+SCRAMBLES, SEED_DRAWS = 30, 2000
+
 
 def ap_sql(src, keys, y="y", score="score", where="TRUE", w="1"):
     k = ", ".join(keys)
@@ -188,7 +190,7 @@ def seedboot_sql(src, keys):
     k = ", ".join(keys)
     eq = " AND ".join(f"s.{c} = d.{c}" for c in keys)
     return f"""SELECT {k}, avg_d AS mean_diff, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg_d - 2.262::DOUBLE * sd / sqrt(n) AS t_lo, avg_d + 2.262::DOUBLE * sd / sqrt(n) AS t_hi FROM (
- SELECT {', '.join('s.' + c for c in keys)}, s.draw, round(avg(d.d), 9) AS m FROM (SELECT DISTINCT {k}, seed AS slot, draw, {PD.HINT.format(k="concat_ws('|', draw, 'seedboot', seed)")} % 10 AS seed FROM {src}, range(200) r(draw)) s JOIN {src} d ON {eq} AND d.seed = s.seed GROUP BY ALL) x
+ SELECT {', '.join('s.' + c for c in keys)}, s.draw, round(avg(d.d), 9) AS m FROM (SELECT DISTINCT {k}, seed AS slot, draw, {PD.HINT.format(k="concat_ws('|', draw, 'seedboot', seed)")} % 10 AS seed FROM {src}, range({SEED_DRAWS}) r(draw)) s JOIN {src} d ON {eq} AND d.seed = s.seed GROUP BY ALL) x
  JOIN (SELECT {k}, avg(d) AS avg_d, stddev_samp(d) AS sd, count(*) AS n FROM {src} GROUP BY {k}) y USING ({k}) GROUP BY {k}, avg_d, sd, n"""
 
 
@@ -197,14 +199,14 @@ cte("t_sboot", seedboot_sql("t_diff", ["field", "a", "b"]))
 
 @query("bootstrap_seed_level", "SELECT field, a, b, round(mean_diff, 6) AS mean_diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(t_lo, 6) AS t_lo, round(t_hi, 6) AS t_hi FROM t_sboot")
 def bootstrap_seed_level(spark, sf):
-    return rounded(I.seed_bootstrap(diffs(spark, sf), ["field", "a", "b"], 200), ["field", "a", "b"], ["mean_diff", "lo", "hi", "t_lo", "t_hi"])
+    return rounded(I.seed_bootstrap(diffs(spark, sf), ["field", "a", "b"], SEED_DRAWS), ["field", "a", "b"], ["mean_diff", "lo", "hi", "t_lo", "t_hi"])
 
 
 def scr_sql(cell):
     c = ", ".join(cell)
     on = " AND ".join(f"a.{x} = b.{x}" for x in ["seed", *cell])
-    return f"""SELECT a.field, a.seed, a.early_overlap AS score, b.y FROM (SELECT s AS seed, *, row_number() OVER (PARTITION BY s, {c} ORDER BY md5(concat_ws('|', s, 'permute', 'to', subject)), subject) AS rn FROM t_split, range(10) r(s)) a
- JOIN (SELECT s AS seed, *, row_number() OVER (PARTITION BY s, {c} ORDER BY md5(concat_ws('|', s, 'permute', 'from', subject)), subject) AS rn FROM t_split, range(10) r(s)) b ON {on} AND a.rn = b.rn"""
+    return f"""SELECT a.field, a.seed, a.early_overlap AS score, b.y FROM (SELECT s AS seed, *, row_number() OVER (PARTITION BY s, {c} ORDER BY md5(concat_ws('|', s, 'permute', 'to', subject)), subject) AS rn FROM t_split, range({SCRAMBLES}) r(s)) a
+ JOIN (SELECT s AS seed, *, row_number() OVER (PARTITION BY s, {c} ORDER BY md5(concat_ws('|', s, 'permute', 'from', subject)), subject) AS rn FROM t_split, range({SCRAMBLES}) r(s)) b ON {on} AND a.rn = b.rn"""
 
 
 cte("t_scr", f"SELECT 'global' AS variant, * FROM ({scr_sql(['field'])}) x UNION ALL SELECT 'cell', * FROM ({scr_sql(['field', 'split', 't0'])}) y")
@@ -213,11 +215,11 @@ cte("t_scrap", ap_sql("t_scr", ["variant", "field", "seed"]))
 
 
 def scrambles(spark, sf):
-    """Raw overlap against labels permuted over the field and inside (split, t0) cells, ten seeds."""
+    """Raw overlap against labels permuted over the field and inside (split, t0) cells, thirty seeds."""
     def build():
         c = S.split(spark, sf).select("field", "split", "t0", "subject", "y", F.col("early_overlap").alias("score"))
-        a = D.permute_seeds(c, ["field"], "subject", "y", 10, "y_perm").withColumn("variant", F.lit("global"))
-        b = D.permute_seeds(c, ["field", "split", "t0"], "subject", "y", 10, "y_perm").withColumn("variant", F.lit("cell"))
+        a = D.permute_seeds(c, ["field"], "subject", "y", SCRAMBLES, "y_perm").withColumn("variant", F.lit("global"))
+        b = D.permute_seeds(c, ["field", "split", "t0"], "subject", "y", SCRAMBLES, "y_perm").withColumn("variant", F.lit("cell"))
         cols = ["variant", "field", "seed", F.col("y_perm").alias("y"), "score"]
         return a.select(*cols).unionByName(b.select(*cols))
     return S.stage(spark, sf, "scrambles", build)
@@ -325,20 +327,20 @@ def branch_stability(spark, sf):
     return t.join(ref, "field").groupBy("field").agg((F.count_distinct("branch") == 1).alias("stable_all"), F.bool_and(F.when(F.col("theta").isin(0.15, 0.25), same)).alias("stable_adjacent"), F.count_if(~same).alias("cells_moved"))
 
 
-KS, FLOORS = (5, 10), (0.3, 0.6)
+KS, FLOORS = (5, 10, 15, 20), (0.3, 0.6)
 cte("t_sscore", """SELECT subject, event_id, period, tag, score, CAST(row_number() OVER (PARTITION BY event_id ORDER BY score DESC, line, part, source) AS INTEGER) AS tag_pos
 FROM (SELECT *, row_number() OVER (PARTITION BY event_id, tag ORDER BY score DESC, line, part, source) AS rn FROM t_lines WHERE score >= 0.3::DOUBLE) x WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, line, part, source) <= 3""")
 cte("t_ascore", """SELECT source, event_id, period, tag, score, CAST(row_number() OVER (PARTITION BY source, event_id ORDER BY score DESC, line, part) AS INTEGER) AS tag_pos
 FROM (SELECT *, row_number() OVER (PARTITION BY source, event_id, tag ORDER BY score DESC, line, part) AS rn FROM t_lines WHERE score >= 0.3::DOUBLE) x WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY source, event_id ORDER BY score DESC, line, part) <= 3""")
 cte("t_vs", """SELECT subject, fl, k, win, list_sort(list(tag)) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY subject, fl, win ORDER BY n DESC, p, e, i) AS rn FROM (
  SELECT c.subject, fl, CASE WHEN t.period <= c.t0+5 THEN 'early' ELSE 'late' END AS win, tag, count(*) AS n, min(period) AS p, arg_min(event_id, (period::HUGEINT*1000000000000 + event_id)*10 + tag_pos) AS e, arg_min(tag_pos, (period::HUGEINT*1000000000000 + event_id)*10 + tag_pos) AS i
- FROM t_cohort c JOIN t_sscore t ON t.subject = c.subject AND t.period <= c.t0+15, (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) f(fl) WHERE t.score >= fl GROUP BY ALL) z) y, (VALUES (5), (10)) g(k) WHERE rn <= k GROUP BY ALL""")
+ FROM t_cohort c JOIN t_sscore t ON t.subject = c.subject AND t.period <= c.t0+15, (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) f(fl) WHERE t.score >= fl GROUP BY ALL) z) y, (VALUES (5), (10), (15), (20)) g(k) WHERE rn <= k GROUP BY ALL""")
 cte("t_va", """SELECT source, cut, fl, k, list_sort(list(tag)) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY source, cut, fl ORDER BY n DESC, p, e, i) AS rn FROM (
  SELECT c.source, c.cut, fl, tag, count(*) AS n, min(period) AS p, arg_min(event_id, (period::HUGEINT*1000000000000 + event_id)*10 + tag_pos) AS e, arg_min(tag_pos, (period::HUGEINT*1000000000000 + event_id)*10 + tag_pos) AS i
- FROM (SELECT DISTINCT source, t0+5 AS cut FROM t_cohort) c JOIN t_ascore t ON t.source = c.source AND t.period <= c.cut, (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) f(fl) WHERE t.score >= fl GROUP BY ALL) z) y, (VALUES (5), (10)) g(k) WHERE rn <= k GROUP BY ALL""")
+ FROM (SELECT DISTINCT source, t0+5 AS cut FROM t_cohort) c JOIN t_ascore t ON t.source = c.source AND t.period <= c.cut, (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) f(fl) WHERE t.score >= fl GROUP BY ALL) z) y, (VALUES (5), (10), (15), (20)) g(k) WHERE rn <= k GROUP BY ALL""")
 VJ = "CASE WHEN len(coalesce({a}, []))=0 OR len(coalesce({b}, []))=0 THEN 0.0::DOUBLE ELSE len(list_intersect({a},{b}))::DOUBLE/len(list_distinct({a} || {b})) END"
 cte("t_variants", f"""SELECT c.field, c.subject, fl AS min_score, k, {VJ.format(a='e.tags', b='a.tags')} AS early_overlap, {VJ.format(a='l.tags', b='a.tags')} AS late_overlap
-FROM t_cohort c CROSS JOIN (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) f(fl) CROSS JOIN (VALUES (5), (10)) g(k)
+FROM t_cohort c CROSS JOIN (VALUES (0.3::DOUBLE), (0.6::DOUBLE)) f(fl) CROSS JOIN (VALUES (5), (10), (15), (20)) g(k)
 LEFT JOIN t_vs e ON e.subject = c.subject AND e.fl = f.fl AND e.k = g.k AND e.win = 'early' LEFT JOIN t_vs l ON l.subject = c.subject AND l.fl = f.fl AND l.k = g.k AND l.win = 'late'
 LEFT JOIN t_va a ON a.source = c.source AND a.cut = c.t0+5 AND a.fl = f.fl AND a.k = g.k""".replace("fl AS min_score", "f.fl AS min_score").replace("k, CASE", "g.k AS k, CASE", 1))
 
@@ -539,7 +541,7 @@ def ablation_tests(spark, sf):
     """Each ablation against the full model."""
     d = I.paired_differences(aps(spark, sf), ["field"], "model", ABL)
     t = I.bh(I.wilcoxon(d, ["field", "a", "b"]), ["field"], ["a"])
-    c = I.seed_bootstrap(d, ["field", "a", "b"], 200).select("field", "a", "lo", "hi")
+    c = I.seed_bootstrap(d, ["field", "a", "b"], SEED_DRAWS).select("field", "a", "lo", "hi")
     ok = (F.col("p_adj") <= 0.05) & ((F.col("lo") > 0) | (F.col("hi") < 0))
     return t.join(c, ["field", "a"]).select("field", F.col("a").alias("ablation"), *[r6(F.col(x)).alias(x) for x in ("mean_diff", "lo", "hi", "p_adj")], F.round(I.cohens_d(F.col("mean_diff"), F.col("sd_diff")), 5).alias("d"), F.when(ok, "supported").otherwise("not significant").alias("verdict"))
 

@@ -56,10 +56,10 @@ def work_cap(spark, sf):
 
 
 @query("capped_author_drop", """
-SELECT subject, source, t0, y FROM t_cohort WHERE subject NOT IN (SELECT subject FROM t_ev GROUP BY subject HAVING count(*) >= 12)""")
+SELECT subject, source, t0, y FROM t_cohort WHERE subject NOT IN (SELECT subject FROM t_ev GROUP BY subject HAVING count(*) >= 400)""")
 def capped_author_drop(spark, sf):
-    """Drop subjects whose history hit the cap (12 events here)."""
-    capped = S.events(spark, sf).groupBy("subject").count().where(F.col("count") >= 12).select("subject")
+    """Drop subjects whose history hit the cap of 400 events."""
+    capped = S.events(spark, sf).groupBy("subject").count().where(F.col("count") >= 400).select("subject")
     return S.cohort(spark, sf).join(capped, "subject", "left_anti").select("subject", "source", "t0", "y")
 
 

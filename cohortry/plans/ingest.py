@@ -250,10 +250,10 @@ def metric_sink_nested(spark, sf):
 @query("table_catalog_by_field", "SELECT field, count(*) AS n, sum(subject)::BIGINT AS key_sum FROM t_cohort GROUP BY field")
 def table_catalog_by_field(spark, sf):
     root = scratch(spark, "catalog")
-    fields = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     S.cohort(spark, sf).select("field", "subject", "t0", "y").write.partitionBy("field").parquet(f"{root}/cohort")
+    fields = spark.read.parquet(f"{root}/cohort").select("field").distinct().orderBy("field").collect()  # one row per dataset
     out = None
-    for name in fields:  # one reader per dataset switch, one job over all of them
+    for (name,) in fields:  # one reader per dataset switch, one job over all of them
         spec = DatasetSpec(name, root)
         one = spark.read.schema("subject long, t0 int, y int").parquet(spec.table("cohort")).select(F.lit(name).alias("field"), "subject")
         out = one if out is None else out.unionByName(one)

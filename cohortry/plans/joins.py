@@ -63,7 +63,7 @@ cte("t_anchor", """
 SELECT CAST(subject AS VARCHAR) AS pid, CAST(event_id AS VARCHAR) AS pubid, '10.1/' || CAST(event_id AS VARCHAR) AS doi,
        CASE WHEN cites % 3 > 0 AND event_id <> 0 THEN CAST(event_id AS VARCHAR) ELSE '' END AS pmid
 FROM t_ev WHERE cites/50.0::DOUBLE >= 0.3::DOUBLE
-QUALIFY row_number() OVER (PARTITION BY subject ORDER BY cites DESC, CAST(event_id AS VARCHAR)) <= 8""")
+QUALIFY row_number() OVER (PARTITION BY subject ORDER BY cites DESC, CAST(event_id AS VARCHAR)) <= 25""")
 cte("t_akeys", """
 SELECT DISTINCT pid, pubid, k FROM (SELECT pid, pubid, 'doi:' || doi AS k FROM t_anchor UNION ALL SELECT pid, pubid, 'pmid:' || pmid FROM t_anchor WHERE pmid <> '') x""")
 cte("t_tally", """
@@ -78,7 +78,7 @@ FROM customer LEFT JOIN (SELECT pid, arg_min(aid, (-hits * 1000000000 + aid)) AS
 
 
 def anchor_rows(spark, sf):
-    return V.anchors(link_rows(spark, sf), 0.3, 8)
+    return V.anchors(link_rows(spark, sf), 0.3, 25)
 
 
 def work_authors(spark, sf):

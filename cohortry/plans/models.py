@@ -241,7 +241,7 @@ def fractional_logit(spark, sf):
 
 def outcome_rows(spark, sf):
     w = AG.with_outcomes(spark, sf)
-    top = w.groupBy("institution").agg(n_rows("k")).orderBy(F.col("k").desc(), "institution").limit(10).select("institution", F.lit(1).alias("top"))
+    top = w.groupBy("institution").agg(n_rows("k")).orderBy(F.col("k").desc(), "institution").limit(30).select("institution", F.lit(1).alias("top"))
     j = w.join(top, "institution", "left").withColumn("inst", F.when(F.col("top") == 1, F.col("institution")).otherwise("OTHER"))
     return j.withColumn("bin", F.expr("t0 div 5 * 5"))
 

@@ -32,7 +32,7 @@ def norm_orcid(spark, sf):
     return S.table(spark, sf, "customer").select("c_custkey", X.norm_orcid(F.concat(prefix, F.lit("0000-0001-"), k, F.lit("-123X "))).alias("orcid"))
 
 
-FOLD_SQL = f"trim(regexp_replace(translate(lower({{c}}), '{X.ACCENTED}', '{X.PLAIN}'), '\\s+', ' ', 'g'))"
+FOLD_SQL = "trim(regexp_replace(regexp_replace(strip_accents(lower({c})), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("norm_name", f"SELECT doc_id, md5(trim(regexp_replace({FOLD_SQL.format(c='text')}, '[^a-z ]', '', 'g'))) AS folded FROM documents")
@@ -95,24 +95,29 @@ def name_similarity_blocks(spark, sf):
 
 
 def inverted(spark, sf):
-    """(doc, token, positions) of whole texts."""
-    t = S.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
-    return t.groupBy("doc_id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(doc_id, index): entries (token, positions) of a whole text, inside its row: (token, position) pairs are
+    sorted and each run of one token becomes an entry."""
+    at = F.array_sort(F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+    rows = S.table(spark, sf, "documents").select("doc_id", at.alias("at"))
+    starts = F.filter(F.transform("at", lambda x, i: F.when((i == 0) | (F.get("at", i - 1)["token"] != x["token"]), i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "at", F.concat(starts, F.array(F.size("at"))).alias("cut"))
+    entry = F.transform(F.slice("cut", F.lit(1), F.size("cut") - 1), lambda s, k: F.struct(
+        F.get("at", s)["token"].alias("token"), F.transform(F.slice("at", s + 1, F.get("cut", k + 1) - s), lambda x: x["pos"]).alias("positions")))
+    return rows.select("doc_id", entry.alias("index"))
 
 
 @query("text_to_inverted_index", """
 SELECT doc_id, count(*) AS n_tokens, md5(string_agg(e, '|' ORDER BY e)) AS digest FROM (
  SELECT doc_id, token || ':' || string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS e FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents) x GROUP BY doc_id, token) y GROUP BY doc_id""")
 def text_to_inverted_index(spark, sf):
-    """A group is one document, whose text is one value already."""
-    e = F.concat(F.col("token"), F.lit(":"), F.array_join(F.transform("positions", lambda p: p.cast("string")), ","))
-    return inverted(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.md5(F.array_join(F.sort_array(F.collect_list(e)), "|")).alias("digest"))
+    e = F.transform("index", lambda x: F.concat(x["token"], F.lit(":"), F.array_join(F.transform(x["positions"], lambda p: p.cast("string")), ",")))
+    return inverted(spark, sf).select("doc_id", F.size("index").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.sort_array(e), "|")).alias("digest"))
 
 
 @query("inverted_index_to_text", "SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents")
 def inverted_index_to_text(spark, sf):
     """Index map back to the text: entries -> (position, word) pairs -> sorted -> joined."""
-    index = inverted(spark, sf).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("index"))
+    index = inverted(spark, sf).select("doc_id", F.map_from_entries("index").alias("index"))
     pairs = F.flatten(F.transform(F.map_entries("index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     text = F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")
     return index.select("doc_id", text.alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))

@@ -73,12 +73,12 @@ def topn_by_score(spark, sf):
 
 
 @query("topn_other_pool", """
-WITH t AS (SELECT institution FROM t_cohort GROUP BY institution ORDER BY count(*) DESC, institution LIMIT 10)
+WITH t AS (SELECT institution FROM t_cohort GROUP BY institution ORDER BY count(*) DESC, institution LIMIT 30)
 SELECT CASE WHEN institution IN (SELECT institution FROM t) THEN institution ELSE 'OTHER' END AS pool, count(*) AS n, round(avg(y::DOUBLE), 6) AS base_rate FROM t_cohort GROUP BY ALL""")
 def topn_other_pool(spark, sf):
     c = S.cohort(spark, sf).groupBy("institution").agg(n_rows(), F.sum("y").alias("pos"))
     r = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "institution"))  # one row per institution
-    pooled = c.withColumn("pool", F.when(r <= 10, F.col("institution")).otherwise("OTHER"))
+    pooled = c.withColumn("pool", F.when(r <= 30, F.col("institution")).otherwise("OTHER"))
     return pooled.groupBy("pool").agg(F.sum("n").alias("n"), r6(F.sum("pos") / F.sum("n")).alias("base_rate"))
 
 

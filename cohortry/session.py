@@ -8,7 +8,6 @@ re-running the whole job), keeps column pruning and gives the optimizer file siz
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 
@@ -57,28 +56,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_signature(spark: SparkSession, folder: str) -> str:
-    """Names, sizes and times of the files under ``folder``: a stale stage is never served."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return "|".join(
-        sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(path))
-    )
+    """Paths, sizes and times of all files under ``folder``, part files of tables too: a stale stage is
+    never served."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return "|".join(sorted(found))
 
 
 _STAGES: dict[tuple, DataFrame] = {}
-_SIGNATURES: dict[tuple, tuple[float, str]] = {}
-_FRESH_SECONDS = 30.0
-
-
-def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build a stage table once per application and input state."""
-    app = spark.sparkContext.applicationId
-    seen = _SIGNATURES.get((app, folder))
-    if seen is None or time.monotonic() - seen[0] > _FRESH_SECONDS:  # one listing for a burst of queries
-        seen = (time.monotonic(), input_signature(spark, folder))
-        _SIGNATURES[(app, folder)] = seen
-    key = (app, folder, seen[1], name)
+
+
+def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], spec: object = None) -> DataFrame:
+    """Build a stage table once per application, input state and ``spec`` (the parameters it is built with)."""
+    key = (spark.sparkContext.applicationId, folder, input_signature(spark, folder), name, repr(spec))
     if key not in _STAGES:
         _STAGES[key] = materialise(build(), name)
     return _STAGES[key]
@@ -87,7 +81,6 @@ def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataF
 def forget_stages() -> None:
     """Drop the memo (used when timing a cold build)."""
     _STAGES.clear()
-    _SIGNATURES.clear()
 
 
 def release_stages(spark: SparkSession) -> None:
