@@ -31,7 +31,7 @@ def write_archives(pages: DataFrame, least: int = 100) -> str:
     """Write one WARC record per page and return the archives' folder.
 
     Records with equal payloads of ``least`` bytes or more: the smallest id carries the payload, the
-    others are revisits of it. Spark's text writer makes the files, with the blank lines that end a record
+    others are revisits of it; a page without an id always carries its payload. Spark's text writer makes the files, with the blank lines that end a record
     as line separator, so a lost task is written again and the files land in the shared folder.
     """
     spark = pages.sparkSession
@@ -40,11 +40,11 @@ def write_archives(pages: DataFrame, least: int = 100) -> str:
     first = (light.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
              .where("n > 1 and first is not null").select("digest", "first"))
     files = max(1, -(-(light.agg(F.sum("payload_bytes")).first()[0] or 0) // ARCHIVE_BYTES))
-    files = max(files, spark.sparkContext.defaultParallelism)
-    again = light.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
-    rows = (seen.repartition(files, "page_id")
-            .join(again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first").repartition(files, "_p").hint("shuffle_hash"),
-                  F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left"))
+    files = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, Spark would deal the pages out again
+    again = (light.join(first, "digest").where(F.col("page_id") > F.col("first")).groupBy(F.col("page_id").alias("_p"))
+             .agg(F.collect_set(F.struct("digest", "first")).alias("_again")))  # one entry but for ids with several payloads
+    rows = (seen.repartition(files, "page_id").join(again.repartition(files, "_p").hint("shuffle_hash"), F.col("page_id") == F.col("_p"), "left")
+            .withColumn("first", F.get(F.filter("_again", lambda x: x["digest"] == F.col("digest")), 0)["first"]))
     old = F.col("first").isNotNull()
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.0"), F.concat(F.lit("WARC-Type: "), F.when(old, "revisit").otherwise("response")),
