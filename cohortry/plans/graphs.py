@@ -8,6 +8,7 @@ from cohortry.operators.ordering import attach, first_by
 from cohortry.plans import joins as J, stages as S
 from cohortry.plans.aggregates import institution_labels, n_rows, pair_graph
 from cohortry.plans.evaluation import auc_sql
+from cohortry.session import materialise
 from cohortry.plans.registry import cte, query
 
 cte("t_wedges", """
@@ -65,29 +66,45 @@ def largest_component(spark, sf):
     return G.components(tree(spark, sf)).groupBy("component").agg(n_rows("size")).orderBy(F.col("size").desc(), "component").limit(1)
 
 
-@query("communities")
+COMMUNITY_SEEDS, NULL_DRAWS = 10, 100
+
+
+@query("communities", COMP_SQL + f", g AS (SELECT count(*) AS nodes FROM n) SELECT CAST(s AS INTEGER) AS seed, nodes, true AS whole, true AS settled FROM g, range({COMMUNITY_SEEDS}) r(s)")
 def communities(spark, sf):
-    """Community sizes and modularity per seed."""
-    g = tree(spark, sf)
-    out = None
-    for seed in (0, 1):
-        lab = G.communities(g, rounds=6, seed=seed)
-        one = stats.modularity(g, lab).withColumn("seed", F.lit(seed))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Invariants of the search per seed: every node has one community, and the modularity beats that of one
+    community per component, the start of any search that may not cut a component."""
+    g = tree(spark, sf).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(COMMUNITY_SEEDS - 1))))
+    lab = G.communities(g, ["seed"])
+    comp = G.components(tree(spark, sf)).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(COMMUNITY_SEEDS - 1)))).withColumnRenamed("component", "community")
+    q = stats.modularity(g, lab, ["seed"]).select("seed", "q", "n_communities").join(stats.modularity(g, comp, ["seed"]).select("seed", F.col("q").alias("q0"), F.col("n_communities").alias("c0")), "seed")
+    per = lab.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node").alias("nodes"))
+    return per.join(q, "seed").select("seed", "nodes", (F.col("n") == F.col("nodes")).alias("whole"), ((F.col("q") >= F.col("q0")) & (F.col("n_communities") >= F.col("c0"))).alias("settled"))
+
+
+@query("community_modularity")
+def community_modularity(spark, sf):
+    """Number of communities and modularity per seed, on the parent graph."""
+    g = tree(spark, sf).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(COMMUNITY_SEEDS - 1))))
+    return stats.modularity(g, G.communities(g, ["seed"]), ["seed"])
 
 
 @query("null_z")
 def null_z(spark, sf):
-    """Modularity of the partition by region against random assignment and degree-preserving graphs."""
-    e, lab, c = pair_graph(spark, sf), institution_labels(spark, sf), S.cohort(spark, sf)
-    n = 5
-    deal = D.random_assignment_null(c, "subject", "source", n).select("draw", F.concat(F.lit("c"), "subject").alias("src"), F.concat(F.lit("s"), "source").alias("dst")).distinct()
-    conf = D.configuration_null(e, n)
-    many = lab.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    q = (stats.modularity(deal, many, ["draw"]).withColumn("null", F.lit("assignment")).unionByName(stats.modularity(conf, many, ["draw"]).withColumn("null", F.lit("configuration"))))
-    z = q.groupBy("null").agg(F.avg("q").alias("mean"), F.stddev_samp("q").alias("sd"))
-    j = attach(z, stats.modularity(e, lab).select(F.col("q").alias("observed")), [])
+    """Modularity found by the search on the largest component of the pair graph, against the modularity the
+    same search finds on random assignments and on graphs with the same degrees. All graphs are searched in
+    one job per round."""
+    e = pair_graph(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    comp = G.components(e)
+    largest = comp.groupBy("component").agg(n_rows("size")).orderBy(F.col("size").desc(), "component").limit(1)
+    inside = comp.join(largest, "component").select(F.col("node").alias("src"))
+    e = materialise(e.join(inside, "src", "left_semi"), "largest")
+    deal = D.random_assignment_null(e, "src", "dst", NULL_DRAWS).select(F.lit("assignment").alias("null"), "draw", "src", "dst").distinct()
+    conf = D.configuration_null(e, NULL_DRAWS).select(F.lit("configuration").alias("null"), "draw", "src", "dst")
+    graphs = materialise(e.select(F.lit("observed").alias("null"), F.lit(0).alias("draw"), "src", "dst").unionByName(deal).unionByName(conf), "nulls")
+    keys = ["null", "draw"]
+    q = materialise(stats.modularity(graphs, G.communities(graphs, keys), keys), "null-q")
+    z = q.where(F.col("null") != "observed").groupBy("null").agg(F.avg("q").alias("mean"), F.stddev_samp("q").alias("sd"))
+    j = attach(z, q.where(F.col("null") == "observed").agg(F.max("q").alias("observed")), [])
     j = j.withColumn("z", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")))
     return j.withColumn("verdict", F.when(F.min(F.col("z")).over(W.partitionBy(F.lit(0))) > 2, "supported").otherwise("artifact"))  # two rows
 

@@ -49,5 +49,5 @@ def test_pagerank_sums_to_one_and_modularity_of_two_cliques(spark):
     tri = [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6)]
     lab = spark.createDataFrame([(i, 0 if i < 4 else 1) for i in range(1, 7)], "node long, community int")
     assert stats.modularity(spark.createDataFrame(tri, "src long, dst long"), lab).first()["q"] == 0.5
-    q = stats.modularity(spark.createDataFrame(tri + [(3, 4)], "src long, dst long"), G.communities(spark.createDataFrame(tri + [(3, 4)], "src long, dst long"), 8))
-    assert q.first()["q"] > 0.2
+    q = stats.modularity(spark.createDataFrame(tri + [(3, 4)], "src long, dst long"), G.communities(spark.createDataFrame(tri + [(3, 4)], "src long, dst long")))
+    assert abs(q.first()["q"] - (6 / 7 - 0.5)) < 1e-9  # the two triangles
