@@ -84,3 +84,6 @@ def op6_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.detect(docs, pii.fit(docs))
+
+
+SQL["op10_decontaminate_prefix_join"] = decontaminate.REPORT_SQL
