@@ -69,6 +69,15 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
+def hash_sample(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of ``by``. The rows are counted first and cut to
+    little more than that many by their hash, so what the tasks send together is bounded as well."""
+    space = 1 << 40
+    share = min(1.0, 1.2 * most / max(1, df.count()))
+    at = F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(space))
+    return df.where(at < F.lit(round(share * space))).orderBy(at, *by).limit(most)
+
+
 MARK_BITS = 26
 
 
@@ -97,4 +106,4 @@ def bit_map(df: DataFrame, value: Column) -> Marks:
     return Marks({r["page"]: bytes(r["map"]) for r in rows})
 
 
-__all__ = ["Marks", "bit_map", "F", "T", "DataFrame", "SparkSession", "materialise", "table", "whole", "per_slice", "sized_slices", "plain", "row_key", "SLICE_CHARS"]
+__all__ = ["Marks", "hash_sample", "bit_map", "F", "T", "DataFrame", "SparkSession", "materialise", "table", "whole", "per_slice", "sized_slices", "plain", "row_key", "SLICE_CHARS"]

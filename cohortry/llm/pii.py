@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cohortry.llm.common import DataFrame, F, T, per_slice, plain
+from cohortry.llm.common import DataFrame, F, T, hash_sample, per_slice, plain
 
 # The kinds in the order of the result, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -262,8 +262,8 @@ def find(texts: list[str], field: Field | None) -> list[tuple[list, list]]:
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Field | None:
     """The field, from at most ``most`` documents with a digit or an at sign: those with the smallest hash."""
-    rows = plain(docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text")).limit(most).select("text").collect()
-    return train([r["text"] for r in rows])
+    marked = plain(docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    return train([r["text"] for r in hash_sample(marked, ["doc_id", "text"], most).collect()])
 
 
 def detect(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-from cohortry.llm.common import DataFrame, F, T, per_slice, plain
+from cohortry.llm.common import DataFrame, F, T, hash_sample, per_slice, plain
 
 # Characters that count as symbols, and the blanks between words.
 SYMBOLS = "#*$%&|<>"
@@ -162,8 +162,8 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
     """Learn from at most ``most`` labelled documents, those with the smallest hash of their id. Rows with a
     null id or label are not used; without both classes the list is empty and keeps everything."""
     named = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_low"))
-    rows = (stats.join(named, F.col("doc_id") == F.col("_id")).select("_low", F.xxhash64("doc_id").alias("_h"), *[feature(f).alias(f) for f in FEATURES])
-            .orderBy("_h").limit(most).toPandas())
+    joined = stats.join(named, F.col("doc_id") == F.col("_id")).select("_id", "_low", *[feature(f).alias(f) for f in FEATURES])
+    rows = hash_sample(joined, ["_id"], most).toPandas()
     if rows["_low"].nunique() < 2:
         return []
     return learn({f: rows[f].to_numpy(float) for f in FEATURES}, rows["_low"].to_numpy(bool), (np.arange(len(rows)) % 3).astype(int))

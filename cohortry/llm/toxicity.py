@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from cohortry.llm.common import DataFrame, F, T, per_slice, plain, sized_slices
+from cohortry.llm.common import DataFrame, F, T, hash_sample, per_slice, plain, sized_slices
 
 SAMPLE = 10_000          # labelled documents a model is fitted on, at most
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 112_640
@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """A model from at most ``most`` labelled documents, those with the smallest hash of their id, none of
     them held out. Rows with a null id, label or text are not used."""
     named = (labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("_toxic"))
-             .where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_toxic").limit(most))
+             .where(~held_out(F.col("_id"))))
+    named = hash_sample(named, ["_id"], most)
     rows = plain(docs, "doc_id", "text").join(F.broadcast(named), F.col("doc_id") == F.col("_id")).where("text is not null").orderBy("_id").select("text", "_toxic").collect()
     return train([r["text"] for r in rows], [r["_toxic"] for r in rows])
 
