@@ -173,10 +173,10 @@ def differing(similarity: float) -> float:
 
 
 def _choices(n: int, similarity: float) -> tuple[np.ndarray, int]:
-    """Bit places of the blocks, and the distance up to which fingerprints link. A block has log2(n) bits,
-    so chance meetings grow with the input and not with its square; there are as many blocks as the recall
-    asks. The distance is one deviation above what the similarity lets expect."""
-    width = max(8, math.ceil(math.log2(max(2, n))))
+    """Bit places of the blocks, and the distance up to which fingerprints link. A block has two bits less
+    than log2(n), so chance meetings grow with the input and not with its square; there are as many blocks
+    as the recall asks. The distance is one deviation above what the similarity lets expect."""
+    width = max(8, math.ceil(math.log2(max(2, n))) - 2)
     p = differing(similarity)
     blocks = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** width))
     rng = np.random.default_rng(17)
@@ -216,19 +216,33 @@ def long_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame
             f = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, LONG)
             if held is not None:
                 k, f = np.concatenate([held_keys, k]), np.concatenate([held, f])
-            ends = (np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()
-            out: list[tuple[bytes, bytes]] = []
-            for s, e in zip([0, *ends], ends):
-                if e - s > 1:
-                    out += _long_forest(f[s:e], distance)
-            last = ends[-1] if ends else 0
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            last = int(cut[-1]) if len(cut) else 0
+            yield _pairs(_bucket_links(f[:last], np.concatenate([[0], cut]) if last else np.zeros(1, np.int64), distance))
             held_keys, held = k[last:], f[last:]
-            yield _pairs(out)
-        if held is not None and len(held) > 1:
-            yield _pairs(_long_forest(held, distance))
+        if held is not None:
+            yield _pairs(_bucket_links(held, np.array([0, len(held)]), distance))
     return dealt.mapInArrow(run, "src binary, dst binary").distinct()
 
 
+FEW = 16  # buckets up to this size are compared all together
+
+
+def _bucket_links(fps: np.ndarray, ends: np.ndarray, distance: int) -> list[tuple[bytes, bytes]]:
+    """Links inside each bucket; ``ends`` has the bounds of the buckets. Small buckets are compared at
+    once, row against row one, two, ... places on."""
+    size = np.diff(ends)
+    left = np.repeat(np.where(size <= FEW, ends[1:], 0), size) - np.arange(len(fps))  # rows from here to the end of a small bucket
+    out: list[tuple[bytes, bytes]] = []
+    for step in range(1, FEW):
+        at = np.flatnonzero(left > step)
+        at = at[np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1) <= distance]
+        out += zip(*[fps[x].view(f"V{8 * LONG}").ravel().tolist() for x in (at, at + step)])
+    for s, e in zip(ends[:-1][size > FEW].tolist(), ends[1:][size > FEW].tolist()):
+        out += _long_forest(fps[s:e], distance)
+    return out
+
+
 def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["src", "dst"])
 
