@@ -107,7 +107,8 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
     n = Counter(y for _, y in fit)
     own = {w for w, k in in_docs[True].items() if k >= 2 and (k / n[True]) / ((in_docs[False][w] + 1) / n[False]) >= min(CONTRAST, n[False] * 3 / n[True] / 2)}
     toxic_words = [w for t, y in fit if y for w in windows(t) if w in own]
-    ordinary_words = [w for t, y in fit if not y for w in windows(t)]
+    share = 220_000 / max(1, sum(len(windows(t)) for t, y in fit if not y))
+    ordinary_words = [w for t, y in fit if not y for w in windows(t) if rng.random() < share]
     rng.shuffle(ordinary_words)
     first, second = _dictionary(toxic_words, TOXIC_BYTES, rng), _dictionary(ordinary_words[:200_000], ORDINARY_BYTES, rng)
     meter = Meter(first, second)
