@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from cohortry.llm.common import DataFrame, F, T, materialise, per_slice, plain, row_key
+from cohortry.llm.common import DataFrame, F, T, bit_map, materialise, per_slice, plain, row_key
 from cohortry.operators.graph import components
 
 BITS = 64
@@ -140,18 +140,30 @@ def hexed(fp):
 
 
 LONG = 4          # 64-bit words of a long fingerprint
-RECALL = 0.98     # chance that a pair at the wanted similarity shares a block
+RECALL = 0.99     # chance that a pair at the wanted similarity becomes a candidate
+WIDE = 4          # deviations above the expected distance up to which a pair is a candidate
 MOST = 4096       # fingerprints one task compares with each other at a time
+MOST_WORDS = 4_000_000  # words of texts one task compares with each other at a time
 
 
-def long_fingerprint(text: str, shingle: int = 5) -> bytes:
-    """A SimHash of 64 * LONG bits over word shingles; all zeros for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The set of shingles, as sorted distinct 64-bit hashes; none for a text without words."""
     if not words:
-        return bytes(8 * LONG)
+        return np.zeros(0, np.uint64)
     runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
-    n = max(1, len(words) - shingle + 1)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, n)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def long_fingerprint(words: list[bytes], shingle: int = 5) -> bytes:
+    """A SimHash of 64 * LONG bits over the set of word shingles; all zeros without words."""
+    h = _shingle_hashes(words, shingle)
+    n = len(h)
+    if not n:
+        return bytes(8 * LONG)
     ones = np.zeros(BITS * LONG, np.int64)
     for i in range(0, n, 16384):
         part = h[i:i + 16384]
@@ -172,22 +184,32 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def candidate_recall(similarity: float, width: int, blocks: int, distance: int) -> float:
+    """Chance that a pair at this similarity shares one of the blocks and is not farther than ``distance``:
+    the blocks are chosen from the same bits, so the chance is taken at each distance and then averaged."""
+    bits, p = BITS * LONG, differing(similarity)
+    return sum(math.comb(bits, d) * p ** d * (1 - p) ** (bits - d) * (1 - (1 - math.comb(bits - d, width) / math.comb(bits, width)) ** blocks) for d in range(distance + 1))
+
+
 def _choices(n: int, similarity: float) -> tuple[np.ndarray, int]:
-    """Bit places of the blocks, and the distance up to which fingerprints link. A block has two bits less
-    than log2(n), so chance meetings grow with the input and not with its square; there are as many blocks
-    as the recall asks. The distance is one deviation above what the similarity lets expect."""
-    width = max(8, math.ceil(math.log2(max(2, n))) - 2)
-    p = differing(similarity)
-    blocks = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** width))
+    """Bit places of the blocks, and the distance up to which fingerprints are candidates. A block has six
+    bits less than log2(n), so chance meetings grow with the input and not with its square; there are as
+    many blocks as the recall asks, and the distance is WIDE deviations above what the similarity lets expect."""
+    width = max(8, math.ceil(math.log2(max(2, n))) - 6)
+    bits, p = BITS * LONG, differing(similarity)
+    distance = math.ceil(bits * p + WIDE * math.sqrt(bits * p * (1 - p)))
+    blocks = 1
+    while candidate_recall(similarity, width, blocks, distance) < RECALL:
+        blocks += 1
     rng = np.random.default_rng(17)
-    bits = BITS * LONG
-    return np.array([rng.permutation(bits)[:width] for _ in range(blocks)]), round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return np.array([rng.permutation(bits)[:width] for _ in range(blocks)]), distance
 
 
 def long_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
-    """(src, dst): links that join each group of long fingerprints near enough for ``similarity``.
+    """(src, dst): links that join each group of long fingerprints that may be as near as ``similarity``.
 
-    Close pairs share a block of chosen bits and meet there; their Hamming distance over all bits decides. A
+    Close pairs share a block of chosen bits and meet there; their Hamming distance over all bits makes them
+    candidates, wide enough to lose next to none. A
     block value shared by more than ``most`` fingerprints is cut into slices, and each two slices meet in a
     part of their own.
     """
@@ -225,19 +247,31 @@ def long_links(fps: DataFrame, similarity: float, most: int = MOST) -> DataFrame
     return dealt.mapInArrow(run, "src binary, dst binary").distinct()
 
 
-FEW = 16  # buckets up to this size are compared all together
+FEW = 128  # buckets up to this size are compared all together
 
 
 def _bucket_links(fps: np.ndarray, ends: np.ndarray, distance: int) -> list[tuple[bytes, bytes]]:
-    """Links inside each bucket; ``ends`` has the bounds of the buckets. Small buckets are compared at
-    once, row against row one, two, ... places on."""
+    """Links that join what is near inside each bucket; ``ends`` has the bounds of the buckets. Small buckets
+    are compared at once, row against row one, two, ... places on."""
     size = np.diff(ends)
     left = np.repeat(np.where(size <= FEW, ends[1:], 0), size) - np.arange(len(fps))  # rows from here to the end of a small bucket
     out: list[tuple[bytes, bytes]] = []
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := group.get(x, x)) != x:
+            group[x] = x = group.get(up, up)
+        return x
+    at = np.arange(len(fps))
     for step in range(1, FEW):
-        at = np.flatnonzero(left > step)
-        at = at[np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1) <= distance]
-        out += zip(*[fps[x].view(f"V{8 * LONG}").ravel().tolist() for x in (at, at + step)])
+        at = at[left[at] > step]
+        if not len(at):
+            break
+        for x in at[np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1) <= distance].tolist():
+            a, b = root(x), root(x + step)
+            if a != b:
+                group[b] = a
+                out.append((fps[x].tobytes(), fps[x + step].tobytes()))
     for s, e in zip(ends[:-1][size > FEW].tolist(), ends[1:][size > FEW].tolist()):
         out += _long_forest(fps[s:e], distance)
     return out
@@ -261,20 +295,90 @@ def _long_forest(fps: np.ndarray, distance: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def verified_links(candidates: DataFrame, similarity: float, shingle: int, most: int = MOST, most_words: int = MOST_WORDS) -> DataFrame:
+    """(src, dst): links between the names of texts whose shingle sets have this Jaccard similarity or more,
+    which join all of each such group.
+
+    ``candidates`` has grp, name, text, and the group's count n and words. A large group is cut into slices,
+    and each two slices meet in a part of their own.
+    """
+    slices = F.ceil(F.greatest(F.col("n") / most, F.col("words") / most_words, F.lit(1))).cast("int")
+    mine = F.pmod(F.xxhash64("name"), slices).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda o: F.struct(F.least(o, mine).alias("p"), F.greatest(o, mine).alias("q")))
+    parts = candidates.select("grp", F.explode(pairs).alias("s"), "name", "text").select("grp", "s.p", "s.q", "name", "text")
+    dealt = parts.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "name")
+
+    def run(batches):
+        now, names, sets = None, [], []
+        for batch in batches:
+            for grp, p, q, name, text in zip(*[batch.column(i) for i in range(5)]):
+                key = grp.as_py(), p.as_py(), q.as_py()
+                if key != now:
+                    yield _pairs(_text_forest(names, sets, similarity))
+                    now, names, sets = key, [], []
+                names.append(name.as_py())
+                sets.append(_shingle_hashes(_words(text.as_py() or ""), shingle))
+        yield _pairs(_text_forest(names, sets, similarity))
+    return dealt.mapInArrow(run, "src binary, dst binary").distinct()
+
+
+def _text_forest(names: list[bytes], sets: list[np.ndarray], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that join each group of texts whose sets are similar; two empty sets are alike."""
+    size = np.array([len(x) for x in sets], np.int64)
+    left, out = np.arange(len(sets)), []
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            low, high = np.minimum(size[left], size[at]), np.maximum(size[left], size[at])
+            fit = low >= similarity * high
+            near = fit.copy()
+            for i in np.flatnonzero(fit & (high > 0)).tolist():
+                x = sets[left[i]]
+                both = int((sets[at][np.minimum(np.searchsorted(sets[at], x), size[at] - 1)] == x).sum())
+                near[i] = both >= similarity * (len(x) + int(size[at]) - both)
+            if near.any():
+                new = left[near].tolist()
+                out += [(names[at], names[x]) for x in new]
+                todo += new
+                left = left[~near]
+    return out
+
+
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-equal texts: the one with the smallest id (no id last),
-    then the smallest content key. Of repeated rows one stays. Null and empty texts are one group."""
+    then the smallest content key. Of repeated rows one stays. Null and empty texts are one group.
+
+    Texts with equal words are folded. Near fingerprints make groups of candidates; inside a group the exact
+    Jaccard similarity of the texts decides, so each text is read again once and not once for each block.
+    """
     rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": row_key()})
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.BinaryType())])
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("name", T.BinaryType()), T.StructField("words", T.LongType()), T.StructField("fp", T.BinaryType())])
 
     def make():
-        return lambda part, texts: [part.column(0), part.column(1), [long_fingerprint(t, shingle) for t in texts]]
+        def work(part, texts):
+            words = [_words(t) for t in texts]
+            return [part.column(0), part.column(1), [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [len(w) for w in words], [long_fingerprint(w, shingle) for w in words]]
+        return work
     marks = materialise(per_slice(rows.select("__id", "__key", "text"), "text", out, make), "long")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    folded = materialise(marks.groupBy("fp").agg(F.min(place).alias("first")), "folded")
-    near = materialise(components(long_links(folded, similarity)), "near")
-    low = near.join(folded, near.node == folded.fp).groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("low"))
-    named = near.join(low, near.component == low["_c"]).select(F.col("node").alias("fp"), "low")
-    stays = folded.join(named, "fp", "left").select(F.coalesce("low", "first").alias("s")).distinct().select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
+    folded = materialise(marks.groupBy("name").agg(F.min(place).alias("first"), F.first("words").alias("words"), F.first("fp").alias("fp")), "folded")
+    grouped = materialise(components(long_links(folded.select("fp").distinct(), similarity)), "candidates")
+    tested = folded.join(grouped, folded.fp == grouped.node, "left").select("name", "words", "first", F.coalesce("component", "fp").alias("grp"))
+    sizes = tested.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("total")).where("n > 1").withColumnRenamed("grp", "_g")
+    tested = tested.join(sizes, F.col("grp") == F.col("_g")).select("grp", "name", "n", F.col("total").alias("words"), F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+    tested = materialise(tested, "tested")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(tested, F.col("key")))
+
+    def marked(batches):
+        held = wanted.value
+        for batch in batches:
+            yield batch.filter(pa.array(held.have(batch.column(1).to_numpy())))
+    texts = rows.select("__id", "__key", "text").mapInArrow(marked, "__id long, __key long, text string")
+    bodies = tested.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("grp", "name", "n", "words", "text")
+    near = materialise(components(verified_links(bodies, similarity, shingle)), "near")
+    low = near.join(folded, near.node == folded.name).groupBy(F.col("component").alias("_c")).agg(F.min("first").alias("low"))
+    named = near.join(low, near.component == low["_c"]).select(F.col("node").alias("name"), "low")
+    stays = folded.join(named, "name", "left").select(F.coalesce("low", "first").alias("s")).distinct().select(F.col("s.id").alias("_id"), F.col("s.key").alias("_key"))
     kept = rows.join(stays, F.col("__id").eqNullSafe(F.col("_id")) & (F.col("__key") == F.col("_key")), "left_semi")
     return kept.dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

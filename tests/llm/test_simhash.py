@@ -117,3 +117,53 @@ def test_slices_lose_no_link(spark):
     for e in edges:
         group[root(bytes(e.src))] = root(bytes(e.dst))
     assert len({root(x) for x in group}) == 1
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(t.split()[i:i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_first_decides_by_exact_similarity(spark):
+    """300 pairs just above the bound and 300 pairs well below it."""
+    rng = random.Random(8)
+    rows, above, below = [], set(), set()
+    for d in range(600):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        v = list(w)
+        for at in range(12, 204, 25 if d < 300 else 12)[:4 if d < 300 else 6]:
+            v[at] = "other"
+        a, b = " ".join(w), " ".join(v)
+        (above if jaccard(a, b) >= 0.8 else below).add(d + 1000)
+        rows += [(d, a), (d + 1000, b)]
+    assert len(above) == len(below) == 300
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(600)) <= got and below <= got
+    assert len(above & got) <= 9
+
+
+def test_candidates_reach_the_recall():
+    for n in (10_000, 1_000_000, 100_000_000):
+        spots, distance = simhash._choices(n, 0.8)
+        assert simhash.candidate_recall(0.8, spots.shape[1], len(spots), distance) >= simhash.RECALL
+
+
+def test_text_slices_lose_no_link(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(30):
+        v = list(base)
+        v[rng.randrange(100)] = f"n{i}"
+        rows.append((b"g", i.to_bytes(1, "big"), " ".join(v), 30, 3000))
+    df = spark.createDataFrame(rows, "grp binary, name binary, text string, n long, words long")
+    for kw in ({}, {"most": 7}, {"most_words": 400}):
+        group = list(range(30))
+
+        def root(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+        for e in simhash.verified_links(df, 0.8, 5, **kw).collect():
+            group[root(e.src[0])] = root(e.dst[0])
+        assert len({root(x) for x in group}) == 1
