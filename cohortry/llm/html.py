@@ -13,8 +13,8 @@ BLOCK = 3    # lines of a window
 SURGE = 60   # characters of a window where the text begins
 
 # Elements of HTML, by what they mean for the text.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "title", "head"}
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "figcaption"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "title"}
+DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span",
           "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -102,6 +102,8 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
+        if tag == "head":  # what it may hold is raw or void; anything else ends it, with or without </head>
+            continue
         if tag == "br":
             take(" ")
         if tag in VOID:
@@ -124,10 +126,11 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
 def main_text(html: str) -> str:
     """Blocks of the main text, with a blank line between them.
 
-    The lengths of the lines are summed over windows of three lines. The text begins where a window surges
-    over a threshold and ends where the windows dive to nothing; every such stretch is kept whole, so short
-    lines inside it stay. A page whose windows never surge keeps its fullest stretch. Lines that are mostly
-    links have no length. On a page that marks its article, lines outside it have no length, and any text
+    The lengths of the lines are summed over windows of three lines. The text begins with the first stretch
+    whose windows surge over a threshold and ends where the windows dive to nothing for the last time; every
+    line between is kept, however short. A page whose windows never surge begins with its first stretch. Lines
+    that are mostly links have no length: they neither begin nor end the text, but stay inside it. On a page
+    that marks its article, the article element decides alone: lines outside it do not count, and any text
     inside it is a surge.
     """
     rows = lines_of(html)
@@ -139,8 +142,8 @@ def main_text(html: str) -> str:
     edge = np.diff(np.concatenate([[0], (size > 0).astype(int), [0]]))
     stretches = list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
     surge = 1 if article else SURGE
-    chosen = [(s, e) for s, e in stretches if total[s:e].max() >= surge] or [max(stretches, key=lambda x: size[x[0]:x[1]].sum())]
-    return "\n\n".join(rows[i][0] for s, e in chosen for i in range(s, e))
+    begin = next((s for s, e in stretches if total[s:e].max() >= surge), stretches[0][0])
+    return "\n\n".join(text for text, _, marked in rows[begin:stretches[-1][1]] if text and (marked or not article))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -71,3 +71,19 @@ def test_extract_cases(spark):
     got = html.extract(pages(spark))
     assert got.count() == 8 and {r.page_id for r in got.where("n_chars = 0").collect()} == {5, 6}
     assert html.extract(pages(spark).limit(0)).count() == 0
+
+
+def test_head_without_its_end():
+    for head in ("<head>", "<head class='nav'>", "<head hidden>"):
+        assert html.main_text(f"<html>{head}<meta charset=utf-8><title>No</title><style>p</style><body><p>Some text</p>") == "Some text"
+        assert html.main_text(f"<html>{head}<title>No</title><p>Some text</p>") == "Some text"
+    assert html.main_text("<html><head><title>No</title><script>x()</script></head><body><p>Some text</p></body>") == "Some text"
+
+
+def test_short_stretches_stay_inside_the_text():
+    text = "A paragraph that is long enough to be the body of this page, as bodies go, and then some more."
+    page = (f"<div>Skip</div><div class='ad'>buy</div><p>{text}</p><p><a href=/x>All of it a link</a></p><div class='notice'>no</div><p>Short.</p><aside>no</aside>"
+            f"<p>{text}</p><figure><figcaption>A caption</figcaption></figure><div class='ad'>buy</div><p>The end.</p><ul class='menu'><li>no</ul><p><a href=/y>More</a></p>")
+    assert html.main_text(page) == "\n\n".join([text, "All of it a link", "Short.", text, "A caption", "The end."])
+    assert html.main_text("<p>One.</p><aside>no</aside><p>Two words.</p>") == "One.\n\nTwo words."
+    assert html.main_text("<article><p>a<figure><figcaption>b</figcaption></figure></article><p>no") == "a\n\nb"
