@@ -113,62 +113,69 @@ def _marked_texts(docs: DataFrame, marks) -> DataFrame:
     return plain(docs, "doc_id", "text").select(row_key().alias("key"), "text").mapInArrow(run, "key long, text string")
 
 
-def _entries(texts: DataFrame, classes, shingle: int, percent: int) -> DataFrame:
-    """(name, n, h): the prefix shingles of each text."""
-    out = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())])
+def _heads(texts: DataFrame, classes, shingle: int, percent: int) -> DataFrame:
+    """(name, n, heads, sig): size, prefix shingles and bitmap of each text."""
+    out = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
     def make():
         def work(part, texts):
             words = [words_of(t) for t in texts]
             sets = [shingle_set(w, shingle) for w in words]
             heads = [prefix(s, classes.value, percent) for s in sets]
-            at = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
-            names = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
-            return [names.take(pa.array(at)), pa.array(np.array([len(s) for s in sets], np.int32)).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64))]
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)))
+            return [[xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [len(s) for s in sets], flat, [signature(s) for s in sets]]
         return work
     return per_slice(texts, "text", out, make)
 
 
 def _bodies(texts: DataFrame, shingle: int) -> DataFrame:
-    """(name, body, sig): the sorted shingle hashes and the bitmap of each text."""
-    out = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("body", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    """(name, body): the sorted shingle hashes of each text."""
+    out = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("body", T.BinaryType())])
 
     def make():
         def work(part, texts):
             words = [words_of(t) for t in texts]
-            sets = [shingle_set(w, shingle) for w in words]
-            return [[xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [s.tobytes() for s in sets], [signature(s) for s in sets]]
+            return [[xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [shingle_set(w, shingle).tobytes() for w in words]]
         return work
-    return per_slice(texts, "text", out, make).groupBy("name").agg(F.first("body").alias("body"), F.first("sig").alias("sig"))
+    return per_slice(texts, "text", out, make).groupBy("name").agg(F.first("body").alias("body"))
 
 
 def banded(entries: DataFrame, percent: int) -> DataFrame:
-    """Each entry in the tile of its own size band, and as a visitor in the next: sizes that may be similar lie in one
-    band or in neighbours."""
+    """Each entry (h, name, n) in the tile of its own size band, and as a visitor in the next: sizes that may be similar
+    lie in one band or in neighbours."""
     width = -math.log((percent - 1) / 100)
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    return entries.select("h", F.explode(F.array(F.struct(own.alias("band"), F.lit(True).alias("own")), F.struct((own + 1).alias("band"), F.lit(False).alias("own")))).alias("b"), "name", "n", "comp").select("h", "b.band", "b.own", "name", "n", "comp")
+    return entries.select("h", F.explode(F.array(F.struct(own.alias("band"), F.lit(True).alias("own")), F.struct((own + 1).alias("band"), F.lit(False).alias("own")))).alias("b"), "name", "n").select("h", "b.band", "b.own", "name", "n")
+
+
+def tiles_of(entries: DataFrame, percent: int) -> DataFrame:
+    """(h, band, own, name, n) of the tiles with something to compare; of tiles with the same texts one is kept."""
+    rows = banded(entries, percent)
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "name", "own")).alias(f"x{k}") for k in (1, 2)]
+    alike = rows.groupBy("h", "band").agg(F.count(F.lit(1)).alias("c"), F.count_if("own").alias("o"), *mark).where("c > 1 and o > 0")
+    return rows.join(alike.groupBy("band", "c", "o", "x1", "x2").agg(F.min("h").alias("h")).select("h", "band"), ["h", "band"])
 
 
-def _cells(entries: DataFrame, comp: DataFrame | None, first: bool, percent: int, most: int) -> DataFrame:
+def _cells(tiles: DataFrame, comp: DataFrame | None, first: bool, most: int) -> DataFrame:
     """(h, band, slice, own, name, n, comp): what is to be compared. Tiles whose texts are all of one component are
     left out. A tile of more than ``most`` texts is cut into slices by hash; the texts outside its largest component visit
     all slices, those inside stay at home: among them nothing is left to find. The first round has no visits."""
-    rows = entries if comp is None else entries.join(comp.select(F.col("node").alias("name"), "component"), "name", "left")
-    rows = banded(rows.withColumn("comp", F.coalesce("component", "name") if comp is not None else F.col("name")), percent)
+    rows = tiles if comp is None else tiles.join(comp.select(F.col("node").alias("name"), "component"), "name", "left")
+    rows = rows.withColumn("comp", F.coalesce("component", "name") if comp is not None else F.col("name"))
     sizes = rows.groupBy("h", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o"))
-    tiles = (sizes.groupBy("h", "band").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("any_own"), F.max_by("comp", F.struct("c", "comp")).alias("large"))
-             .where("parts > 1 and any_own").select("h", "band", F.ceil(F.col("total") / most).cast("int").alias("slices"), "large"))
+    cut = (sizes.groupBy("h", "band").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("any_own"), F.max_by("comp", F.struct("c", "comp")).alias("large"))
+           .where("parts > 1 and any_own").select("h", "band", F.ceil(F.col("total") / most).cast("int").alias("slices"), "large"))
     home = F.pmod(F.xxhash64("name"), F.col("slices")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("slices") - 1)
     where = F.array(home) if first else F.when(F.col("comp") == F.col("large"), F.array(home)).otherwise(everywhere)
-    return rows.join(tiles, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), "own", "name", "n", "comp")
+    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), "own", "name", "n", "comp")
 
 
-def _candidates(cells: DataFrame, bodies: DataFrame, limit: int | None, percent: int) -> DataFrame:
+def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: int) -> DataFrame:
     """(a, b): pairs of different components whose bitmaps allow the wanted overlap, for each text at most ``limit`` in
     a slice of a tile, those nearest in size first."""
-    rows = cells.join(bodies.select("name", "sig"), "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig")
+    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig")
     dealt = rows.repartition("h", "band", "slice").sortWithinPartitions("h", "band", "slice", "n", "name")
 
     def cell(part: pa.Table, out: set):
@@ -268,24 +275,33 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
     rows = scan.where("page is null").select("doc_id", "key", "name", "n")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     texts = materialise(rows.where("n > 0").groupBy("name").agg(F.min(place).alias("p")).select("name", F.col("p.doc_id").alias("first"), F.col("p.key").alias("key")), "texts")
-    entries = materialise(_entries(_marked_texts(docs, spark.sparkContext.broadcast(bit_map(texts, F.col("key")))), classes, shingle, percent), "entries")
-    shared = spark.sparkContext.broadcast(bit_map(entries.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), F.col("h")))
+    heads = materialise(_heads(_marked_texts(docs, spark.sparkContext.broadcast(bit_map(texts, F.col("key")))), classes, shingle, percent), "heads")
+    shared = spark.sparkContext.broadcast(bit_map(heads.select(F.explode("heads").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), F.col("h")))
 
     def common(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.have(batch.column(2).to_numpy())))
-    met = materialise(entries.mapInArrow(common, "name binary, n int, h long").groupBy("h", "name").agg(F.first("n").alias("n")), "met")
-    alike = met.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "name")).alias("y")).where("c > 1")
-    tiles = materialise(met.join(alike.groupBy("c", "x", "y").agg(F.min("h").alias("h")).select("h"), "h"), "tiles")
-    needed = tiles.select("name").distinct().join(texts, "name")
-    bodies = materialise(_bodies(_marked_texts(docs, spark.sparkContext.broadcast(bit_map(needed, F.col("key")))), shingle), "bodies")
-    links = tested = near = None
+            h = batch.column(2).flatten().to_numpy()
+            hit = shared.value.have(h)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h[hit])], names=["name", "n", "h"])
+    met = heads.select("name", "n", "heads").mapInArrow(common, "name binary, n int, h long").groupBy("h", "name").agg(F.first("n").alias("n"))
+    tiles = materialise(tiles_of(materialise(met, "met"), percent), "tiles")
+    sigs = materialise(heads.select("name", "sig").join(tiles.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("sig").alias("sig")), "signatures")
+    links = tested = near = bodies = None
     for i, limit in enumerate(LIMITS):
-        pairs = _candidates(_cells(tiles, near, i == 0, percent, most), bodies, limit, percent)
+        pairs = _candidates(_cells(tiles, near, i == 0, most), sigs, limit, percent)
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        if bodies is not None:
+            asked = asked.join(bodies.select("name"), "name", "left_anti")
+        asked = materialise(asked.join(texts, "name").select("name", "key"), "asked")
+        if not asked.isEmpty():
+            more = _bodies(_marked_texts(docs, spark.sparkContext.broadcast(bit_map(asked, F.col("key")))), shingle)
+            more = materialise(more.join(asked.select("name"), "name", "left_semi"), "bodies")
+            bodies = more if bodies is None else bodies.unionByName(more)
         new = materialise(_verified(pairs, bodies, percent), "links")
         links = new if links is None else links.unionByName(new)
         near = materialise(components(links), "near")
