@@ -1,8 +1,10 @@
 import random
 import re
+import time
 from html import unescape
 
 import duckdb
+import pytest
 
 from cohortry.llm import html, queries, warc
 from cohortry.llm.common import F, T
@@ -87,3 +89,23 @@ def test_short_stretches_stay_inside_the_text():
     assert html.main_text(page) == "\n\n".join([text, "All of it a link", "Short.", text, "A caption", "The end."])
     assert html.main_text("<p>One.</p><aside>no</aside><p>Two words.</p>") == "One.\n\nTwo words."
     assert html.main_text("<article><p>a<figure><figcaption>b</figcaption></figure></article><p>no") == "a\n\nb"
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><p class=notice>Ad<p>Real text here</article>", "Real text here"), ("<ul><li class='share'>Share<li>Real text</ul>", "Real text"),
+    ("<article><section class=\"related-work\">One</section><div id='notice-of-intent'>Two</div></article>", "One\n\nTwo"),
+    ("<main><article>Main</article></main><article>Teaser</article>", "Main"), ("<article>Body<article class='comment'>reader</article></article>", "Body"),
+    ("<article><p>before <span class=ad>buy</span> after</p></article>", "before after"), ("<article><p title=it's>one</p><p>it's</p></article>", "one\n\nit's"),
+    ("<article><table><tr><td>a<td>b<tr><td>c</table><dl><dt>x<dd>y</dl></article>", "a\n\nb\n\nc\n\nx\n\ny"), ("a < b and <a <a", "a < b and <a <a"), ("<p>a</i></b>b", "ab"), ("<script>x", ""), ("<!-- <p>never", "")])
+def test_markup_as_browsers_take_it(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a b="', "<li>", "<!--", "<", "<script>", "</b>", "<x y='", "<p><div>", "<td><li>"])
+def test_unclosed_markup_costs_no_more_than_its_length(unit):
+    def seconds(n):
+        page = unit * (n // len(unit))
+        start = time.perf_counter()
+        html.main_text(page)
+        return time.perf_counter() - start
+    assert seconds(1_000_000) < 30 * max(seconds(100_000), 0.02)
