@@ -15,15 +15,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 from cohortry.llm.common import DataFrame, F, T, hash_sample, per_slice, plain, sized_slices
 
-SAMPLE = 10_000          # labelled documents a model is fitted on, at most
+SAMPLE = 5_000           # labelled documents a model is fitted on, at most
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 112_640
 LEVEL = 6
 CONTRAST = 20.0          # how much likelier in toxic than in ordinary documents what the toxic dictionary is trained on
-HELD = 1_000_000          # windows whose difference a worker remembers
+HELD = 400_000            # windows whose difference a worker remembers
+FOLDS = 3                # pairs of dictionaries: each is calibrated on the third of the documents that it has not seen
 
 # Padding that both dictionaries hold: the compressor leaves short inputs and the last bytes of any input alone.
 _HEAD = bytes(random.Random(5).choices(range(33, 127), k=48))
@@ -35,7 +37,7 @@ def windows(text: str) -> list[str]:
 
 
 @dataclass(frozen=True)
-class Model:
+class Part:
     toxic: bytes
     ordinary: bytes
     mean: tuple
@@ -43,6 +45,11 @@ class Model:
     weights: tuple  # the last is the constant
 
 
+@dataclass(frozen=True)
+class Model:
+    parts: tuple  # one for each fold; a text's log odds are their mean
+
+
 class Meter:
     """Length with the ordinary dictionary less length with the toxic one, per window, and 0 where that is
     negative. A window that the toxic dictionary cannot shorten is at most as long with the other one, so
@@ -94,11 +101,23 @@ def _dictionary(pieces: list[str], size: int, rng: random.Random) -> bytes:
         return b"".join(samples)[:size]
 
 
+def fold_of(text: str) -> int:
+    """The fold of a text depends on the text alone, so the order of the rows changes nothing."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=FOLDS) % FOLDS
+
+
 def train(texts: list[str], toxic: list[bool]) -> Model | None:
-    """Fit on whole texts. Copies count once. None without both classes."""
-    rows = list({t: y for t, y in zip(texts, toxic)}.items())
+    """Fit on whole texts. Copies count once. Every fold's dictionaries are trained on the other folds and calibrated
+    on it, so all documents serve for both. None without both classes."""
+    rows = sorted({t: y for t, y in sorted(zip(texts, toxic))}.items())
+    folds = [fold_of(t) for t, _ in rows]
+    parts = [_part([r for r, f in zip(rows, folds) if f != k], [r for r, f in zip(rows, folds) if f == k]) for k in range(FOLDS)]
+    parts = [p for p in parts if p is not None]
+    return Model(tuple(parts)) if parts else None
+
+
+def _part(fit: list[tuple[str, bool]], rest: list[tuple[str, bool]]) -> Part | None:
     rng = random.Random(0)
-    fit, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
     if len({y for _, y in fit}) < 2 or len({y for _, y in rest}) < 2:
         return None
     in_docs = {True: Counter(), False: Counter()}
@@ -115,7 +134,7 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
     x = np.array([meter.figures(t) for t, _ in rest])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     w = _logistic(np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.array([y for _, y in rest], float))
-    return Model(first, second, tuple(mean), tuple(scale), tuple(w))
+    return Part(first, second, tuple(mean), tuple(scale), tuple(w))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 50) -> np.ndarray:
@@ -146,14 +165,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
 
 
 @lru_cache(maxsize=2)
-def _meter(m: Model) -> Meter:
-    """One meter per worker process and model."""
-    return Meter(m.toxic, m.ordinary)
+def _meters(m: Model) -> list[Meter]:
+    """The meters of a model, once per worker process."""
+    return [Meter(p.toxic, p.ordinary) for p in m.parts]
 
 
-def _logits(m: Model, meter: Meter, texts: list[str]) -> np.ndarray:
-    x = (np.array([meter.figures(t) for t in texts]).reshape(len(texts), len(m.mean)) - m.mean) / m.scale
-    return x @ np.array(m.weights[:-1]) + m.weights[-1]
+def _logits(m: Model, meters: list[Meter], texts: list[str]) -> np.ndarray:
+    total = np.zeros(len(texts))
+    for part, meter in zip(m.parts, meters):
+        x = (np.array([meter.figures(t) for t in texts]).reshape(len(texts), len(part.mean)) - part.mean) / part.scale
+        total += x @ np.array(part.weights[:-1]) + part.weights[-1]
+    return total / len(m.parts)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -166,10 +188,10 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         m = sent.value
         if m is None:
             return lambda part, texts: [part.column(0), [0.0] * len(texts)]
-        meter = _meter(m)
+        meters = _meters(m)
 
         def work(part, texts):
-            return [part.column(0), 1 / (1 + np.exp(-np.clip(_logits(m, meter, texts), -30, 30)))]
+            return [part.column(0), 1 / (1 + np.exp(-np.clip(_logits(m, meters, texts), -30, 30)))]
         return work
     rows = per_slice(plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), "text", out, make)
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
@@ -182,10 +204,10 @@ def keep_ordinary(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        meter = m and _meter(m)
+        meters = m and _meters(m)
         for batch in batches:
             for part in [batch] if m is None else sized_slices(batch, at):
                 if m is not None:
-                    part = part.filter(pa.array(_logits(m, meter, [t or "" for t in part.column(at).to_pylist()]) < 0))
+                    part = part.filter(pa.array(_logits(m, meters, [t or "" for t in part.column(at).to_pylist()]) < 0))
                 yield part
     return docs.mapInArrow(run, docs.schema)
