@@ -6,8 +6,11 @@ any retry.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortry.functions.columns import hash_int, keyed_md5
@@ -141,18 +144,28 @@ def split_rolling(rows: DataFrame, origins: DataFrame, group: Sequence[str], tim
     return j.withColumn("split", fold).where(F.col("split").isNotNull())
 
 
-def bootstrap_weights(rows: DataFrame, group: Sequence[str], key: str, draws: int, salt: str = "boot") -> DataFrame:
-    """(group, draw, key, weight): n picks with replacement per draw, as counts.
+#: Bounds of the Poisson(1) distribution in 32 bits: a draw's weight is the number of them that its key reaches.
+POISSON = [round(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
-    Every row stands for one pick slot of each draw and names the row at place ``hash mod n``. The
-    weights depend on the key only, so all models and seeds share one resample.
+
+def resample_weights(key: Column, draws: int, salt: str = "boot") -> Column:
+    """Weights of a row in ``draws`` resamples, as an array: independent Poisson(1) counts from the row's key alone.
+
+    In place of n picks with replacement every row says by itself how often it is picked, so no draw has to
+    bring rows together; sizes vary around n, and a weighted metric divides by them. One digest serves four
+    draws (eight hex digits each). All models and seeds share the resamples.
     """
-    g = list(group)
-    r = hash_rank(rows.select(*g, key).distinct().withColumn("_h", keyed_md5(salt, F.col(key))), g, "_h", [key], "_pos", size="_n")
-    slots = r.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = slots.select(*g, "draw", (F.pmod(hash_int(keyed_md5(F.col("draw"), salt, F.col(key))), F.col("_n")) + 1).alias("_pos"))
-    return (picks.groupBy(*g, "draw", "_pos").agg(F.count(F.lit(1)).alias("weight"))
-            .join(r.select(*g, "_pos", key), [*g, "_pos"]).select(*g, "draw", key, "weight"))
+    def lane(block, at):
+        h = F.conv(F.substring(keyed_md5(block, salt, key), at * 8 + 1, 8), 16, 10).cast("bigint")
+        return F.aggregate(F.array(*[F.lit(t).cast("bigint") for t in POISSON]), F.lit(0), lambda n, t: n + (h >= t).cast("int"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(draws // 4 - 1)), lambda b: F.array(*[lane(b, i) for i in range(4)])))
+
+
+def resample_matrix(keys: list, draws: int, salt: str = "boot") -> np.ndarray:
+    """The same weights for a list of keys, a row each."""
+    blocks = [f"{b}|{salt}|".encode() for b in range(draws // 4)]
+    held = b"".join(hashlib.md5(b + k).digest() for k in (str(k).encode() for k in keys) for b in blocks)
+    return np.searchsorted(np.array(POISSON), np.frombuffer(held, ">u4").astype(np.int64), side="right").astype(np.uint8).reshape(len(keys), draws)
 
 
 def configuration_null(edges: DataFrame, draws: int = 1) -> DataFrame:

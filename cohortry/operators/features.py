@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-import math
-
 from cohortry.operators.ordering import attach, top_k
 
 
@@ -35,17 +32,6 @@ def tfidf(docs: DataFrame, group: Sequence[str], key: str, tokens: str, fit: Col
     return w.join(norm, [*g, key]).select(*g, key, "token", (F.col("_w") / F.col("_n")).alias("weight"))
 
 
-def text_vectors(train: DataFrame, rows: DataFrame, tokens: str, out: str, max_features: int = 2000) -> DataFrame:
-    """The same weighting as a sparse vector column. Only the document frequencies of the bounded
-    vocabulary come to the driver."""
-    counts = CountVectorizer(inputCol=tokens, outputCol=f"_c_{out}", vocabSize=max_features, minDF=1.0).fit(train)
-    idf = IDF(inputCol=f"_c_{out}", outputCol="_unused").fit(counts.transform(train))
-    n = idf.numDocs
-    scale = Vectors.dense([math.log((1 + n) / (1 + d)) + 1 for d in idf.docFreq])
-    x = ElementwiseProduct(scalingVec=scale, inputCol=f"_c_{out}", outputCol=f"_w_{out}").transform(counts.transform(rows))
-    return Normalizer(p=2.0, inputCol=f"_w_{out}", outputCol=out).transform(x).drop(f"_c_{out}", f"_w_{out}")
-
-
 def assemble(rows: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """One vector column, booleans as doubles."""
     kinds = dict(rows.dtypes)

@@ -91,36 +91,90 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "node", F.coalesce("component", "node").alias("component"))
 
 
-def communities(edges: DataFrame, keys: Sequence[str] = (), most_rounds: int = 200) -> DataFrame:
-    """(keys, node, community, m2): communities by rounds of simultaneous modularity-gain moves, until no
-    node gains by moving; it raises if that does not come about. A keyed coin lets some of the nodes move
-    per round (half, later a quarter), so neighbours do not swap for ever. ``keys`` run many graphs, such as
-    seeds or null draws, in one job per round. Not claimed equal to any sequential method."""
+def communities(edges: DataFrame, keys: Sequence[str] = (), coin_rounds: int = 8, most_rounds: int = 500) -> DataFrame:
+    """(keys, node, community, m2): communities by multi-level modularity search. Nodes move between
+    communities until none gains, each community becomes one weighted node (its inner links a loop), and the
+    search goes on there, until a level merges nothing. A component whose parts score less than the whole is
+    taken whole in the end. ``keys`` run many graphs, such as seeds or null draws, in one job per round;
+    graphs that have settled leave it. Not claimed equal to any sequential method."""
     k = list(keys)
-    both = materialise(edges.select(*k, "src", "dst").union(edges.select(*k, "dst", "src")), "both")
-    deg = both.groupBy(*k, "src").agg(F.count(F.lit(1)).cast("double").alias("deg")).withColumnRenamed("src", "node")
-    total = deg.groupBy(*k).agg(F.sum("deg").alias("m2"))
+    pairs = edges.select(*k, "src", "dst").union(edges.select(*k, "dst", "src"))
+    graph = materialise(pairs.groupBy(*k, "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w")), "level0")
+    total = materialise(graph.groupBy(*k).agg(F.sum("w").alias("m2")), "total")
+    member = graph.select(*k, F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    for level in range(1, 64):
+        lab = materialise(_moved(graph, total, k, level, coin_rounds, most_rounds), "moved")
+        n = lab.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct(F.struct(*k, "community")).alias("groups")).first()
+        if n["nodes"] == n["groups"]:
+            break
+        up = lab.select(*k, F.col("node").alias("community"), F.col("community").alias("_up"))
+        member = materialise(member.join(up, [*k, "community"]).select(*k, "node", F.col("_up").alias("community")), "member")
+        ends = graph.join(lab.select(*k, F.col("node").alias("src"), F.col("community").alias("_s")), [*k, "src"]).join(lab.select(*k, F.col("node").alias("dst"), F.col("community").alias("_d")), [*k, "dst"])
+        graph = materialise(ends.groupBy(*k, F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("w").alias("w")), f"level{level}")
+    else:
+        raise RuntimeError("communities did not settle")
+    return attach(_wholes(member, graph, total, k), total, k).select(*k, "node", "community", "m2")
+
+
+def _moved(graph: DataFrame, total: DataFrame, k: list[str], level: int, coin_rounds: int, most_rounds: int) -> DataFrame:
+    """(keys, node, community) once no node of ``graph`` gains by moving. First rounds: a keyed coin lets half of the
+    nodes that gain move. Then a move is made only if it is the best one of both communities it touches: its
+    gain is exact, the modularity rises, so the rounds come to an end."""
+    deg = graph.groupBy(*k, F.col("src").alias("node")).agg(F.sum("w").alias("deg"))
     lab = materialise(attach(deg, total, k).withColumn("community", F.col("node")), "labels")
+    near_by = graph.where("src <> dst")
+    done = []
     for i in range(most_rounds):
         tot = lab.groupBy(*k, "community").agg(F.sum("deg").alias("tot"))
-        near = (both.join(lab.select(*k, F.col("node").alias("dst"), "community"), [*k, "dst"])
-                .groupBy(*k, "src", "community").agg(F.count(F.lit(1)).cast("double").alias("links")))
+        links = near_by.join(lab.select(*k, F.col("node").alias("dst"), "community"), [*k, "dst"]).groupBy(*k, "src", "community").agg(F.sum("w").alias("links"))
         own = lab.select(*k, F.col("node").alias("src"), F.col("community").alias("own"), "deg", "m2")
-        own = own.join(tot.withColumnRenamed("community", "own").withColumnRenamed("tot", "own_tot"), [*k, "own"])
-        cand = near.join(tot, [*k, "community"]).join(own, [*k, "src"])
-        gain = F.col("links") - F.col("deg") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("deg")).otherwise(0.0)) / F.col("m2")
+        own = own.join(tot.select(*k, F.col("community").alias("own"), F.col("tot").alias("own_tot")), [*k, "own"])
+        cand = links.join(tot, [*k, "community"]).join(own, [*k, "src"])
+        same = F.col("community") == F.col("own")
+        gain = F.round(F.col("links") - F.col("deg") * (F.col("tot") - F.when(same, F.col("deg")).otherwise(0.0)) / F.col("m2"), 9)
         best = cand.withColumn("gain", gain).groupBy(*k, "src").agg(
-            F.max_by("community", F.struct("gain", "community")).alias("to"), F.max("gain").alias("best_gain"),
-            F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("own_gain"),
+            F.max_by("community", F.struct("gain", "community")).alias("to"), F.max("gain").alias("best_gain"), F.max(F.when(same, F.col("gain"))).alias("own_gain"),
             F.max(-F.col("deg") * (F.col("own_tot") - F.col("deg")) / F.col("m2")).alias("stay"))
-        wants = F.col("best_gain") > F.coalesce("own_gain", "stay") + 1e-9
-        coin = F.pmod(hash_int(keyed_md5(i, *[F.col(c) for c in k], F.col("node"))), F.lit(2 if i < 30 else 4)) == 0
-        moved = (lab.drop("wants").join(best.withColumnRenamed("src", "node"), [*k, "node"])
-                 .select(*k, "node", "deg", "m2", F.when(wants & coin, F.col("to")).otherwise(F.col("community")).alias("community"), wants.alias("wants")))
-        lab = materialise(moved, f"labels{i}")
-        if lab.where("wants").isEmpty():
-            return lab.select(*k, "node", "community", "m2")
-    raise RuntimeError("communities did not settle")
+        rise = F.col("best_gain") - F.coalesce("own_gain", "stay")
+        wants = best.withColumn("rise", rise).where("rise > 1e-8").select(*k, F.col("src").alias("node"), "to", "rise")
+        wants = materialise(wants.join(lab.select(*k, "node", F.col("community").alias("own")), [*k, "node"]), f"wants{i}")
+        if wants.isEmpty():
+            break
+        if i < coin_rounds:
+            go = wants.where(F.pmod(hash_int(keyed_md5(level, i, *[F.col(c) for c in k], F.col("node"))), F.lit(2)) == 0)
+        else:
+            rank = F.struct("rise", "node")
+            touched = wants.select(*k, F.explode(F.array("own", "to")).alias("community"), "rise", "node")
+            first = touched.groupBy(*k, "community").agg(F.max(rank).alias("first"))
+            go = (wants.join(first.select(*k, F.col("community").alias("own"), F.col("first.node").alias("_a")), [*k, "own"])
+                  .join(first.select(*k, F.col("community").alias("to"), F.col("first.node").alias("_b")), [*k, "to"]).where("node = _a and node = _b"))
+        if k:
+            busy = wants.select(*k).distinct()
+            done.append(lab.join(busy, k, "left_anti").select(*k, "node", "community"))
+            lab, near_by = lab.join(busy, k, "left_semi"), near_by.join(busy, k, "left_semi")
+        lab = lab.join(go.select(*k, "node", "to"), [*k, "node"], "left").select(*k, "node", "deg", "m2", F.coalesce("to", "community").alias("community"))
+        lab = materialise(lab, f"labels{i}")
+        if k and i % 4 == 3:
+            near_by = materialise(near_by, "busy")
+    else:
+        raise RuntimeError("moves did not settle")
+    out = lab.select(*k, "node", "community")
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def _wholes(member: DataFrame, graph: DataFrame, total: DataFrame, k: list[str]) -> DataFrame:
+    """``member`` with the components whole whose communities score less than they do together."""
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in k], F.col("node").cast("string"))
+    named = graph.select(*k, "src", "dst", "w", *[F.concat_ws("|", *[F.col(c).cast("string") for c in k], F.col(e).cast("string")).alias(f"_{e}") for e in ("src", "dst")])
+    parts = components(named.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))
+    each = attach(named.groupBy(*k, F.col("src").alias("node")).agg(F.sum("w").alias("d"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("inner")), total, k)
+    each = each.withColumn("_n", name).join(parts.select(F.col("node").alias("_n"), F.col("component").alias("_c")), "_n")
+    whole = each.groupBy(*k, "_c").agg(F.sum(F.col("inner") / F.col("m2") - F.pow(F.col("d") / F.col("m2"), 2)).alias("apart"), F.sum("d").alias("d"), F.max("m2").alias("m2"), F.min("node").alias("whole"))
+    whole = whole.where(F.col("d") / F.col("m2") - F.pow(F.col("d") / F.col("m2"), 2) > F.col("apart") + 1e-12).select(*k, "_c", "whole")
+    up = each.join(whole, [*k, "_c"]).select(*k, F.col("node").alias("community"), "whole")
+    return member.join(up, [*k, "community"], "left").select(*k, "node", F.coalesce("whole", "community").alias("community"))
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, n: int) -> DataFrame:

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cohortry.operators.draws import resample_matrix
 from cohortry.operators.ordering import cumulate
+from cohortry.session import materialise
 
 
 def _curve(scores: DataFrame, group: Sequence[str], y: str, score: str, weight: str | None, descending=True) -> DataFrame:
@@ -47,3 +51,148 @@ def f1_at(scores: DataFrame, group: Sequence[str], threshold: Column, y: str = "
     hit = F.col(score) >= threshold
     tp, fp, fn = F.count_if(hit & (F.col(y) == 1)), F.count_if(hit & (F.col(y) == 0)), F.count_if(~hit & (F.col(y) == 1))
     return scores.groupBy(*group).agg(F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0)).alias("f1"))
+
+
+HELD = 256  # rows whose weights of all draws a task holds at a time
+
+
+def resampled_precision(scores: DataFrame, group: Sequence[str], key: str, draws: int, y: str = "y", score: str = "score") -> DataFrame:
+    """(group, draw, ap, positives, rows): average precision of each group under each resample (``resample_weights``).
+
+    Rows are dealt by range of (group, falling score), so a group may lie in many parts. Each part adds up the weights
+    of all draws; the totals of the parts before it are where its running sums begin; then one pass in score order
+    carries the sums of all draws as arrays. What is shuffled is rows and one array per part and group, never rows
+    times draws. Equal scores always share a part, so ties are exact.
+    """
+    g = list(group)
+    name = F.to_json(F.struct(*g))
+    flat = scores.select(name.alias("g"), F.col(key).cast("string").alias("k"), F.col(y).cast("long").alias("y"), F.col(score).cast("double").alias("s"))
+    dealt = materialise(flat.repartitionByRange("g", F.desc("s")).withColumn("part", F.spark_partition_id()), "ranked")
+
+    def totals(batches):
+        held: dict = {}
+        for batch in batches:
+            for g_, part, y_, w in _weighted(batch, draws):
+                t = held.setdefault((g_, part), np.zeros(2 * draws))
+                t += np.concatenate([y_ @ w, w.sum(axis=0)])
+        if held:
+            yield _sums(held)
+    sums = dealt.select("g", "part", "k", "y", "s").mapInArrow(totals, "g string, part int, held binary")
+
+    def before(batches):
+        now, parts = None, []
+        for batch in batches:
+            for g_, part, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if g_ != now:
+                    yield from _offsets(now, parts)
+                    now, parts = g_, []
+                got = np.frombuffer(held.as_py())
+                if parts and parts[-1][0] == part:
+                    parts[-1] = (part, parts[-1][1] + got)
+                else:
+                    parts.append((part, got))
+        yield from _offsets(now, parts)
+    starts = sums.repartition("g").sortWithinPartitions("g", "part").mapInArrow(before, "g string, part int, held binary")
+    both = (dealt.select("g", "part", F.lit(1).alias("kind"), "k", "y", "s", F.lit(None).cast("binary").alias("held"))
+            .unionByName(starts.select("g", "part", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("k"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("double").alias("s"), "held")))
+
+    def curve(batches):
+        state = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                b = batch.slice(at, HELD)
+                ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+                kind = b.column(2).to_numpy()
+                cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1] or kind[i] != kind[i - 1]], len(ids)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if kind[lo] == 0:
+                        if state is not None:
+                            yield state.done()
+                        state = _Curve(ids[lo][0], np.frombuffer(b.column(6)[lo].as_py()), draws)
+                    else:
+                        part = b.slice(lo, hi - lo)
+                        state.take(part.column(5).to_numpy(), part.column(4).to_numpy().astype(float), resample_matrix(part.column(3).to_pylist(), draws))
+        if state is not None:
+            yield state.done()
+    partial = both.repartition("part", "g").sortWithinPartitions("part", "g", "kind", F.desc("s")).mapInArrow(curve, "g string, held binary")
+
+    def whole(batches):
+        now, total = None, None
+        for batch in batches:
+            for g_, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got = np.frombuffer(held.as_py()).reshape(3, draws)
+                if g_ == now:
+                    total = np.stack([total[0] + got[0], got[1], got[2]])
+                else:
+                    if now is not None:
+                        yield _draw_rows(now, total)
+                    now, total = g_, got
+        if now is not None:
+            yield _draw_rows(now, total)
+    out = partial.repartition("g").sortWithinPartitions("g").mapInArrow(whole, "g string, draw int, ap double, positives long, rows long")
+    shape = T.StructType([scores.schema[c] for c in g])
+    return out.select(F.from_json("g", shape).alias("g"), "draw", "ap", "positives", "rows").select("g.*", "draw", "ap", "positives", "rows")
+
+
+def _weighted(batch: pa.RecordBatch, draws: int):
+    """(group, part, labels, weights) of the rows of one group and part in a slice."""
+    for at in range(0, batch.num_rows, HELD):
+        b = batch.slice(at, HELD)
+        ids = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        w, labels = resample_matrix(b.column(2).to_pylist(), draws).astype(float), b.column(3).to_numpy().astype(float)
+        for one in dict.fromkeys(ids):
+            own = np.array([i == one for i in ids])
+            yield *one, labels[own], w[own]
+
+
+def _sums(held: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"g": pa.array([k[0] for k in held]), "part": pa.array([k[1] for k in held], pa.int32()), "held": pa.array([v.tobytes() for v in held.values()], pa.binary())})
+
+
+def _offsets(name, parts: list):
+    """For each part of a group: sums of the parts before it, then the totals of the group."""
+    if parts:
+        total, run, out = sum(p for _, p in parts), np.zeros(len(parts[0][1])), {}
+        for part, own in parts:
+            out[name, part] = np.concatenate([run, total])
+            run = run + own
+        yield _sums(out)
+
+
+class _Curve:
+    """Running sums of all draws down the ranking of one group and part. A score's rows count together, so the last
+    score of a slice waits for the next."""
+
+    def __init__(self, name: str, held: np.ndarray, draws: int):
+        self.name, self.pos, self.n, self.all_pos, self.all_n = name, *[a.copy() for a in held.reshape(4, draws)]
+        self.ap, self.wait, self.add = np.zeros(draws), None, np.zeros((2, draws))
+
+    def take(self, scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        start = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+        w = weights.astype(float)
+        pos, n = np.add.reduceat(w * labels[:, None], start, axis=0), np.add.reduceat(w, start, axis=0)
+        if self.wait is not None:
+            if self.wait == scores[0]:
+                pos[0] += self.add[0]
+                n[0] += self.add[1]
+            else:
+                pos, n = np.vstack([self.add[:1], pos]), np.vstack([self.add[1:], n])
+        self.wait, self.add = scores[-1], np.stack([pos[-1], n[-1]])
+        self._count(pos[:-1], n[:-1])
+
+    def _count(self, pos: np.ndarray, n: np.ndarray) -> None:
+        if len(pos):
+            run_pos, run_n = self.pos + np.cumsum(pos, axis=0), self.n + np.cumsum(n, axis=0)
+            self.ap += (pos * run_pos / np.maximum(run_n, 1)).sum(axis=0)
+            self.pos, self.n = run_pos[-1], run_n[-1]
+
+    def done(self) -> pa.RecordBatch:
+        if self.wait is not None:
+            self._count(self.add[:1], self.add[1:])
+        return pa.RecordBatch.from_pydict({"g": [self.name], "held": pa.array([np.stack([self.ap, self.all_pos, self.all_n]).tobytes()], pa.binary())})
+
+
+def _draw_rows(name: str, total: np.ndarray) -> pa.RecordBatch:
+    k = total.shape[1]
+    ap = np.where(total[1] > 0, total[0] / np.maximum(total[1], 1), 0.0)
+    return pa.RecordBatch.from_pydict({"g": pa.array([name] * k), "draw": pa.array(np.arange(k, dtype=np.int32)), "ap": ap, "positives": total[1].astype(np.int64), "rows": total[2].astype(np.int64)})

@@ -276,16 +276,16 @@ def quintile_outcome(spark, sf):
 
 cte("t_links", """
 SELECT c.field, c.subject, c.source, coalesce(s.n, 0) AS sl, coalesce(a.n, 0) AS al, coalesce(b.n, 0) AS joint FROM t_cohort c
-LEFT JOIN (SELECT subject, count(DISTINCT event_id) AS n FROM t_lines WHERE score >= 0.9::DOUBLE GROUP BY ALL) s ON s.subject = c.subject
-LEFT JOIN (SELECT source, count(DISTINCT event_id) AS n FROM t_lines WHERE score >= 0.9::DOUBLE GROUP BY ALL) a ON a.source = c.source
-LEFT JOIN (SELECT subject, source, count(DISTINCT event_id) AS n FROM t_lines WHERE score >= 0.9::DOUBLE GROUP BY ALL) b ON b.subject = c.subject AND b.source = c.source""")
+LEFT JOIN (SELECT subject, count(DISTINCT event_id) AS n FROM t_lines GROUP BY ALL) s ON s.subject = c.subject
+LEFT JOIN (SELECT source, count(DISTINCT event_id) AS n FROM t_lines GROUP BY ALL) a ON a.source = c.source
+LEFT JOIN (SELECT subject, source, count(DISTINCT event_id) AS n FROM t_lines GROUP BY ALL) b ON b.subject = c.subject AND b.source = c.source""")
 
 
 @query("link_coverage_stats", """
 SELECT field, round(avg(sl::DOUBLE), 6) AS subject_mean, quantile_cont(sl::DOUBLE, 0.5) AS subject_median, round(avg(al::DOUBLE), 6) AS source_mean, quantile_cont(al::DOUBLE, 0.5) AS source_median,
  round(avg((sl > 0 AND al > 0)::INT::DOUBLE), 6) AS both_linkable, round(avg((joint > 0)::INT::DOUBLE), 6) AS raw_rate, round(avg((joint > 0)::INT::DOUBLE) FILTER (WHERE sl > 0 AND al > 0), 6) AS conditioned_rate FROM t_links GROUP BY field""")
 def link_coverage_stats(spark, sf):
-    ok = S.lines(spark, sf).where(F.col("score") >= 0.9)
+    ok = S.lines(spark, sf)
 
     def links(keys, name):
         return ok.groupBy(*keys).agg(F.count_distinct("event_id").alias(name))
@@ -450,10 +450,12 @@ def r2_score(spark, sf):
 
 
 @query("seed_summary", """
-SELECT field, model, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS sd, count(*) AS n_seeds FROM (SELECT field, model, seed, avg(score) AS v FROM t_scores WHERE split = 'test' GROUP BY ALL) x GROUP BY ALL""")
+SELECT field, model, round(avg(v) + 1e-9::DOUBLE, 6) AS mean, round(coalesce(stddev_samp(v), 0) + 1e-9::DOUBLE, 6) AS sd, count(*) AS n_seeds FROM (SELECT field, model, seed, sum(CAST(score AS DECIMAL(18, 4)))::DOUBLE / count(*) AS v FROM t_scores WHERE split = 'test' GROUP BY ALL) x GROUP BY ALL""")
 def seed_summary(spark, sf):
-    m = S.scores(spark, sf).where("split = 'test'").groupBy("field", "model", "seed").agg(F.avg("score").alias("value"))
-    return stats.seed_summary(m, ["field", "model"]).select("field", "model", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"), "n_seeds")
+    """Exact decimal sums per seed; halves of the last place go up on both sides."""
+    exact = F.sum(F.col("score").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))
+    m = S.scores(spark, sf).where("split = 'test'").groupBy("field", "model", "seed").agg(exact.alias("value"))
+    return stats.seed_summary(m, ["field", "model"]).select("field", "model", r6(F.col("mean") + 1e-9).alias("mean"), r6(F.col("sd") + 1e-9).alias("sd"), "n_seeds")
 
 
 @query("nmi_two_labelings", """

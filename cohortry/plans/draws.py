@@ -261,32 +261,30 @@ def context_subsample(spark, sf):
     return hash_rank(t, ["field"], "_h", ["subject"], "_rn").where("_rn <= 60").select("field", "subject")
 
 
+DRAWS = 2000
+LANE = "('0x' || substr(md5(concat_ws('|', b, 'boot', subject)), (l * 8 + 1)::BIGINT, 8))::BIGINT"
 cte("t_boot", f"""
-WITH r AS (SELECT field, subject, row_number() OVER (PARTITION BY field ORDER BY md5(concat_ws('|', 'boot', subject)), subject) AS pos, count(*) OVER (PARTITION BY field) AS n FROM t_split WHERE split = 'test'),
-p AS (SELECT field, b AS draw, {HINT.format(k="concat_ws('|', b, 'boot', subject)")} % n + 1 AS pos FROM r, range(50) d(b))
-SELECT p.field, CAST(draw AS INTEGER) AS draw, r.subject, count(*) AS weight FROM p JOIN r ON r.field = p.field AND r.pos = p.pos GROUP BY ALL""")
-DRAWS = 50
-
-
-def boot(spark, sf):
-    return S.stage(spark, sf, "boot", lambda: D.bootstrap_weights(S.split(spark, sf).where("split = 'test'"), ["field"], "subject", DRAWS))
+SELECT field, CAST(b * 4 + l AS INTEGER) AS draw, subject, {' + '.join(f'(h >= {t})::BIGINT' for t in D.POISSON)} AS weight
+FROM (SELECT field, subject, b, l, {LANE} AS h FROM t_split, range({DRAWS // 4}) x(b), range(4) y(l) WHERE split = 'test') q WHERE h >= {D.POISSON[0]}""")
 
 
 @query("bootstrap_index", "SELECT field, draw, subject, weight FROM t_boot")
 def bootstrap_index(spark, sf):
-    return boot(spark, sf)
+    """Weights of the rows in every draw, where a row has any."""
+    rows = S.split(spark, sf).where("split = 'test'").select("field", "subject", D.resample_weights(F.col("subject"), DRAWS).alias("w"))
+    return rows.select("field", F.posexplode("w").alias("draw", "weight"), "subject").where("weight > 0").select("field", "draw", "subject", F.col("weight").cast("bigint").alias("weight"))
 
 
 @query("null_random_assignment", """
-SELECT CAST(d AS INTEGER) AS draw, a.subject, b.source FROM (SELECT d, subject, row_number() OVER (PARTITION BY d ORDER BY md5(concat_ws('|', d, 'deal', 'to', subject)), subject) AS rn FROM t_cohort, range(2) r(d)) a
-JOIN (SELECT d AS e, source, row_number() OVER (PARTITION BY d ORDER BY md5(concat_ws('|', d, 'deal', 'from', subject)), subject) AS rn FROM t_cohort, range(2) r(d)) b ON a.d = b.e AND a.rn = b.rn""")
+SELECT CAST(d AS INTEGER) AS draw, a.subject, b.source FROM (SELECT d, subject, row_number() OVER (PARTITION BY d ORDER BY md5(concat_ws('|', d, 'deal', 'to', subject)), subject) AS rn FROM t_cohort, range(100) r(d)) a
+JOIN (SELECT d AS e, source, row_number() OVER (PARTITION BY d ORDER BY md5(concat_ws('|', d, 'deal', 'from', subject)), subject) AS rn FROM t_cohort, range(100) r(d)) b ON a.d = b.e AND a.rn = b.rn""")
 def null_random_assignment(spark, sf):
-    return D.random_assignment_null(S.cohort(spark, sf), "subject", "source", 2)
+    return D.random_assignment_null(S.cohort(spark, sf), "subject", "source", 100)
 
 
 @query("null_configuration", """
 WITH deg AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM t_pedges UNION ALL SELECT dst FROM t_pedges) x GROUP BY node),
-s AS (SELECT node, i, dr, row_number() OVER (PARTITION BY dr ORDER BY md5(concat_ws('|', dr, 'stub', node, i)), node, i) AS rn FROM (SELECT node, unnest(range(1, d + 1)) AS i FROM deg) z, range(2) r(dr))
+s AS (SELECT node, i, dr, row_number() OVER (PARTITION BY dr ORDER BY md5(concat_ws('|', dr, 'stub', node, i)), node, i) AS rn FROM (SELECT node, unnest(range(1, d + 1)) AS i FROM deg) z, range(100) r(dr))
 SELECT DISTINCT CAST(dr AS INTEGER) AS draw, src, dst FROM (SELECT dr, (rn-1)//2 AS p, min(node) AS src, max(node) AS dst, count(*) AS n FROM s GROUP BY ALL) y WHERE n = 2 AND src <> dst""")
 def null_configuration(spark, sf):
-    return D.configuration_null(pair_graph(spark, sf), 2)
+    return D.configuration_null(pair_graph(spark, sf), 100)

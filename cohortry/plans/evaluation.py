@@ -89,23 +89,26 @@ def tests(spark, sf):
 
 
 def boot_aps(spark, sf):
-    """AP of every (field, model, seed) under the shared resamples, from weights: no row is copied."""
+    """AP of every (field, model, seed) under the shared resamples: all draws in one pass over the ranking."""
     def build():
-        w = PD.boot(spark, sf)
-        s = test_scores(spark, sf).select("field", "model", "seed", "subject", "y", "score").join(w, ["field", "subject"])
-        a = M.average_precision(s, [*KEYS, "draw"], weight="weight")
+        a = M.resampled_precision(test_scores(spark, sf), KEYS, "subject", PD.DRAWS)
         return a.where((F.col("positives") > 0) & (F.col("positives") < F.col("rows"))).select(*KEYS, "draw", "ap")
     return S.stage(spark, sf, "boot_aps", build)
 
 
+def interval(draws, keys, value, *more):
+    """Percentile interval over the draws of each key: as many values as there are draws."""
+    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
+    return draws.groupBy(*keys).agg(q.alias("q"), *more).withColumns({"lo": F.col("q")[0], "hi": F.col("q")[1]}).drop("q")
+
+
 def pooled(spark, sf):
     """Interval of the seed-mean difference over the shared draws."""
     def build():
         b = boot_aps(spark, sf).withColumnRenamed("ap", "value")
         d = I.paired_differences(b.select("field", "model", "seed", "draw", "value"), ["field", "draw"], "model", PAIRS)
         raw = d.groupBy("field", "a", "b", "draw").agg(F.round(F.avg(F.col("va") - F.col("vb")), 9).alias("d"))
-        n = raw.groupBy("field", "a", "b").agg(F.count(F.lit(1)).alias("draws"))
-        return quantiles(raw, ["field", "a", "b"], "d", {"lo": 0.025, "hi": 0.975}).join(n, ["field", "a", "b"])
+        return interval(raw, ["field", "a", "b"], "d", F.count(F.lit(1)).alias("draws"))
     return S.stage(spark, sf, "pooled", build)
 
 
@@ -175,10 +178,9 @@ def cohens_d_paired(spark, sf):
     return tests(spark, sf).select("field", "a", "b", F.round(I.cohens_d(F.col("mean_diff"), F.col("sd_diff")), 5).alias("d"))
 
 
-@query("bootstrap_ci", "SELECT field, model, round(quantile_cont(ap, 0.025), 6) AS lo, round(quantile_cont(ap, 0.975), 6) AS hi FROM t_bap WHERE seed = 0 GROUP BY ALL")
+@query("bootstrap_ci", "SELECT field, model, seed, round(quantile_cont(ap, 0.025), 6) AS lo, round(quantile_cont(ap, 0.975), 6) AS hi FROM t_bap GROUP BY ALL")
 def bootstrap_ci(spark, sf):
-    q = quantiles(boot_aps(spark, sf).where("seed = 0"), ["field", "model"], "ap", {"lo": 0.025, "hi": 0.975})
-    return rounded(q, ["field", "model"], ["lo", "hi"])
+    return rounded(interval(boot_aps(spark, sf), KEYS, "ap"), KEYS, ["lo", "hi"])
 
 
 @query("bootstrap_paired", "SELECT field, a, b, round(lo, 6) AS lo, round(hi, 6) AS hi, draws FROM t_bpool")
@@ -498,17 +500,16 @@ def head_rows(spark, sf):
     return a.where("model = 'overlap'").select("field", "seed", F.col("value").alias("va")).join(bases, ["field", "seed"]).withColumn("d", F.round(F.col("va") - F.col("vb"), 6))
 
 
-@query("head_to_head", "SELECT h.field, h.b, round(mean_diff, 6) AS mean_diff, round(p_adj, 6) AS p_adj, round(c.lo, 6) AS seed0_lo, round(c.hi, 6) AS seed0_hi FROM t_hhb h LEFT JOIN (SELECT field, b, quantile_cont(round(d, 6), 0.025) AS lo, quantile_cont(round(d, 6), 0.975) AS hi FROM t_bdiff WHERE a = 'overlap' AND seed = 0 GROUP BY ALL) c ON c.field = h.field AND c.b = h.b")
+@query("head_to_head", "SELECT h.field, h.b, round(mean_diff, 6) AS mean_diff, round(p_adj, 6) AS p_adj, round(c.lo, 6) AS lo, round(c.hi, 6) AS hi FROM t_hhb h LEFT JOIN t_bpool c ON c.field = h.field AND c.b = h.b AND c.a = 'overlap'")
 def head_to_head(spark, sf):
-    """One model against three bases: test, one family of three, and the seed-0 paired interval."""
+    """One model against three bases: test, one family of three, and the paired interval over all seeds."""
     t = I.bh(I.wilcoxon(head_rows(spark, sf), ["field", "b"]), ["field"], ["b"])
-    d = I.paired_differences(boot_aps(spark, sf).where("seed = 0").withColumnRenamed("ap", "value"), ["field", "draw"], "model", PAIRS).where("a = 'overlap'")
-    q = quantiles(d, ["field", "b"], "d", {"seed0_lo": 0.025, "seed0_hi": 0.975})
-    return t.join(q, ["field", "b"], "left").select("field", "b", r6(F.col("mean_diff")).alias("mean_diff"), r6(F.col("p_adj")).alias("p_adj"), r6(F.col("seed0_lo")).alias("seed0_lo"), r6(F.col("seed0_hi")).alias("seed0_hi"))
+    q = pooled(spark, sf).where("a = 'overlap'").select("field", "b", "lo", "hi")
+    return t.join(q, ["field", "b"], "left").select("field", "b", *[r6(F.col(c)).alias(c) for c in ("mean_diff", "p_adj", "lo", "hi")])
 
 
 cte("t_comp", """SELECT x.field, x.seed, m.b, x.value AS va, m.vb, round(x.value - m.vb, 6) AS d FROM t_ap x JOIN (SELECT field, seed, 'stochastic' AS b, value AS vb FROM t_ap WHERE model = 'reach'
- UNION ALL SELECT t.field, r.s, 'fixed', t.value FROM t_ap t, range(10) r(s) WHERE model = 'volume' AND seed = 0) m ON m.field = x.field AND m.seed = x.seed WHERE x.model = 'overlap'""")
+ UNION ALL SELECT t.field, r.s, 'fixed', t.value FROM (SELECT field, round(avg(value) + 1e-9::DOUBLE, 5) AS value FROM t_ap WHERE model = 'volume' GROUP BY field) t, range(10) r(s)) m ON m.field = x.field AND m.seed = x.seed WHERE x.model = 'overlap'""")
 cte("t_compw", wil_sql("t_comp", ["field", "b"]))
 cte("t_compb", bh_sql("t_compw", ["field"], ["b"]))
 
@@ -520,7 +521,7 @@ def paired_vs_components(spark, sf):
     a = aps(spark, sf)
     x = a.where("model = 'overlap'").select("field", "seed", F.col("value").alias("va"))
     s = a.where("model = 'reach'").select("field", "seed", F.lit("stochastic").alias("b"), F.col("value").alias("vb"))
-    f = a.where("model = 'volume' and seed = 0").select("field", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seed"), F.lit("fixed").alias("b"), F.col("value").alias("vb"))
+    f = a.where("model = 'volume'").groupBy("field").agg(F.round(F.avg("value") + 1e-9, 5).alias("value")).select("field", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seed"), F.lit("fixed").alias("b"), F.col("value").alias("vb"))
     d = x.join(s.unionByName(f), ["field", "seed"]).withColumn("d", F.round(F.col("va") - F.col("vb"), 6))
     t = I.bh(I.wilcoxon(d, ["field", "b"]), ["field"], ["b"])
     return t.select("field", "b", r6(F.col("mean_diff")).alias("mean_diff"), "n_pos", "n_neg", r6(F.col("p_adj")).alias("p_adj"), F.when(F.col("var_b") == 0, "one-sample").otherwise("paired").alias("test_kind"),
@@ -584,14 +585,14 @@ def external_scores_verdict(spark, sf):
 
 
 @query("origin_collect", """
-WITH grid AS (SELECT field, origin, CAST(s AS INTEGER) AS seed FROM t_origins, range(2) r(s)), runs AS (SELECT DISTINCT field, origin, CAST(s AS INTEGER) AS seed FROM t_rolling, range(2) r(s) WHERE split = 'test' AND y = 1)
+WITH grid AS (SELECT field, origin, CAST(s AS INTEGER) AS seed FROM t_origins, range(10) r(s)), runs AS (SELECT DISTINCT field, origin, CAST(s AS INTEGER) AS seed FROM t_rolling, range(10) r(s) WHERE split = 'test' AND y = 1)
 SELECT g.field, g.origin, g.seed FROM grid g LEFT JOIN runs r ON r.field = g.field AND r.origin = g.origin AND r.seed = g.seed WHERE r.field IS NULL""")
 def origin_collect(spark, sf):
     """Cells of the (field, origin, seed) grid without a run (a run needs a positive test row); a merge is
     refused while any is listed."""
-    two = F.explode(F.array(F.lit(0), F.lit(1))).alias("seed")
-    grid = PD.origins(spark, sf).select("field", "origin", two)
-    runs = PD.rolling(spark, sf).where("split = 'test' and y = 1").select("field", "origin").distinct().select("field", "origin", two)
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("seed")
+    grid = PD.origins(spark, sf).select("field", "origin", seeds)
+    runs = PD.rolling(spark, sf).where("split = 'test' and y = 1").select("field", "origin").distinct().select("field", "origin", seeds)
     return grid.join(runs, ["field", "origin", "seed"], "left_anti")
 
 

@@ -161,10 +161,10 @@ def tag_level_restrict(spark, sf):
 
 @query("tag_vocab_eligible", """
 SELECT s.subject, s.event_id, s.tag FROM t_stags s JOIN t_bounds b USING (subject)
-JOIN (SELECT tag, min(period) AS seen FROM t_lines WHERE score >= 0.98::DOUBLE GROUP BY tag) f USING (tag) WHERE seen <= t0 + 5""")
+JOIN (SELECT tag, min(period) AS seen FROM t_lines GROUP BY tag) f USING (tag) WHERE seen <= t0 + 5""")
 def tag_vocab_eligible(spark, sf):
-    """Tags already part of the vocabulary (first strong use anywhere) when the row is frozen."""
-    earliest = S.lines(spark, sf).where(F.col("score") >= 0.98).groupBy("tag").agg(F.min("period").alias("seen"))
+    """Tags already part of the vocabulary (first use anywhere) when the row is frozen."""
+    earliest = S.lines(spark, sf).groupBy("tag").agg(F.min("period").alias("seen"))
     return (S.subject_tags(spark, sf).join(S.subjects(spark, sf).select("subject", "t0"), "subject").join(earliest, "tag")
             .where(F.col("seen") <= F.col("t0") + S.SPEC.windows.early).select("subject", "event_id", "tag"))
 

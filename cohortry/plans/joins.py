@@ -251,11 +251,11 @@ def asof_profile_join(spark, sf):
 
 
 @query("pair_history_join", """
-WITH s AS (SELECT DISTINCT subject AS id FROM t_stags), a AS (SELECT DISTINCT source AS id FROM t_lines WHERE score >= 0.98::DOUBLE)
+WITH s AS (SELECT DISTINCT subject AS id FROM t_stags), a AS (SELECT DISTINCT source AS id FROM t_atags)
 SELECT subject, source FROM t_edges WHERE subject IN (SELECT id FROM s) AND source IN (SELECT id FROM a)""")
 def pair_history_join(spark, sf):
     s = S.subject_tags(spark, sf).select("subject")
-    a = S.lines(spark, sf).where(F.col("score") >= 0.98).select("source")
+    a = S.source_tags(spark, sf).select("source")
     return S.edges(spark, sf).select("subject", "source").join(s, "subject", "left_semi").join(a, "source", "left_semi")
 
 
@@ -413,10 +413,10 @@ def outcomes(spark, sf):
 
 
 @query("outcome_join", """
-SELECT c.subject, c.source, c.early_overlap, o.late_pct_mean FROM t_cohort c LEFT JOIN (SELECT * FROM t_outcomes WHERE late_n >= 4) o
+SELECT c.subject, c.source, c.early_overlap, o.late_pct_mean FROM t_cohort c LEFT JOIN t_outcomes o
   ON o.subject = c.subject AND o.source = c.source WHERE o.late_pct_mean IS NOT NULL""")
 def outcome_join(spark, sf):
-    o = outcomes(spark, sf).where(F.col("late_n") >= 4).select("subject", "source", "late_pct_mean")
+    o = outcomes(spark, sf).select("subject", "source", "late_pct_mean")
     return (S.cohort(spark, sf).select("subject", "source", "early_overlap").join(o, ["subject", "source"], "left")
             .where(F.col("late_pct_mean").isNotNull()))
 

@@ -1,25 +1,26 @@
-"""Features, the model ladder, regressions. Models are fitted on all fields at once (the field is a
-dummy block) and judged per field."""
+"""Features, the model ladder, regressions. Logistic arms are one model per field, all fields in one job a round;
+boosted arms are fitted on all fields at once (the field is a dummy block) and judged per field."""
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from cohortry.functions.columns import keyed_md5, r6, uniform
 from cohortry.functions.numeric import cosine_divergence
-from cohortry.operators import draws as D, features as X, graph as G, metrics as M, models as L, peers, regression as R, stats, typicality as Y
+from cohortry.operators import draws as D, features as X, graph as G, many_models as ML, metrics as M, models as L, peers, regression as R, stats, typicality as Y
 from cohortry.operators.ordering import attach
 from cohortry.plans import aggregates as AG, graphs as GR, joins as J, stages as S
 from cohortry.plans.aggregates import n_rows
 from cohortry.plans.evaluation import ap_sql
 from cohortry.plans.registry import query
+from cohortry.session import materialise
 from cohortry.specs import FeatureSpec
 
 SPEC = FeatureSpec()
 BASE = SPEC.columns()
 KEEP = ["field", "subject", "y"]
-ROUNDS = 10  # boosting rounds of the registered arms; the operator's default is 500 with early stopping
+ROUNDS = 500  # boosting rounds at most; a keyed hold-out stops earlier
 
 
 def rows_for_models(spark, sf):
@@ -31,8 +32,6 @@ def rows_for_models(spark, sf):
         fan = peers.peer_sums(t, ["source"], "t0", [], -1, "f_").withColumnRenamed("f_n", "fanout")
         c = AG.early_concentration(spark, sf)
         rows = fan.join(lin, "subject").join(c, "subject")
-        for k in ("early_tags", "source_tags"):
-            rows = rows.withColumn(f"{k}_doc", X.documents(k))
         return rows
     return S.stage(spark, sf, "model_rows", build)
 
@@ -47,20 +46,50 @@ def with_field_dummies(rows):
     return OneHotEncoder(inputCols=["_field"], outputCols=["field_vec"]).fit(ix).transform(ix)
 
 
-def ready(spark, sf, columns, text=()):
-    rows = with_field_dummies(rows_for_models(spark, sf))
-    for t in text:
-        rows = X.text_vectors(rows.where("split = 'train'"), rows, t, f"vec_{t}")
-    return X.assemble(rows, [*columns, *[f"vec_{t}" for t in text], "field_vec"])
+def ready(spark, sf, columns):
+    return X.assemble(with_field_dummies(rows_for_models(spark, sf)), [*columns, "field_vec"])
 
 
 def judged(scores, arm):
     return M.average_precision(scores, ["field"]).select(F.lit(arm).alias("arm"), "field", r6(F.col("ap")).alias("ap"))
 
 
+def token_columns(spark, sf, side, max_features=2000):
+    """(subject, weights): TF-IDF weights of a text side over the vocabulary of the subject's own field, in one array;
+    and its length. The vocabulary comes from training rows only."""
+    d = S.split(spark, sf).withColumn("doc", X.documents(side))
+    w = X.tfidf(d, ["field"], "subject", "doc", F.col("split") == "train", max_features)
+    place = F.row_number().over(W.partitionBy("field").orderBy("token")) - 1  # at most max_features tokens a field
+    vocab = S.stage(spark, sf, f"vocab_{side}", lambda: w.select("field", "token").distinct().withColumn("at", place))
+    width = (vocab.agg(F.max("at")).first()[0] or 0) + 1
+    held = w.join(vocab, ["field", "token"]).groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("at", "weight"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return held.select("subject", dense.alias(f"w_{side}")), width
+
+
+def logit_rows(spark, sf, columns, text=()):
+    """(grp, x, and what the arms keep), and the number of columns."""
+    rows, width = rows_for_models(spark, sf), len(columns)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    for side in text:
+        w, n = token_columns(spark, sf, side)
+        rows, width = rows.join(w, "subject", "left"), width + n
+        x = F.concat(x, F.coalesce(F.col(f"w_{side}"), F.array_repeat(F.lit(0.0), n)))
+    return rows.select(F.col("field").alias("grp"), x.alias("x"), "split", *KEEP), width
+
+
+def fitted_logits(rows, width, c=1.0):
+    train = rows.where("split = 'train'").select("grp", F.col("y").cast("double").alias("y"), "x", F.array(F.lit(True)).alias("members"))
+    return ML.fit_logits(materialise(train, "logit_rows"), width, c)
+
+
+def logit_scores(spark, sf, columns, c=1.0, text=(), split="test"):
+    rows, width = logit_rows(spark, sf, columns, text)
+    return ML.predicted(rows.where(F.col("split") == split), fitted_logits(rows, width, c), KEEP, width).drop("part")
+
+
 def logit_arm(spark, sf, arm, columns, c=1.0, text=()):
-    rows = ready(spark, sf, columns, text)
-    return judged(L.scored(L.fit_logit(rows.where("split = 'train'"), c), rows.where("split = 'test'"), KEEP), arm)
+    return judged(logit_scores(spark, sf, columns, c, text).withColumn("score", F.round("score", 12)), arm)
 
 
 def gbt_arm(spark, sf, arm, columns, seed=0):
@@ -86,19 +115,19 @@ def design_matrix(spark, sf):
 def tfidf_sql(fit, side):
     return f"""WITH d AS (SELECT field, subject, split, unnest(list_transform({side}, lambda t: lower(replace(t, ' ', '_')))) AS token FROM t_split),
 tf AS (SELECT field, subject, split, token, count(*) AS tf FROM d GROUP BY ALL), s AS (SELECT field, token, sum(tf) AS total, count(*) AS df FROM tf WHERE {fit} GROUP BY ALL),
-v AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY field ORDER BY total DESC, token) <= 20), n AS (SELECT field, count(*) AS n FROM t_split WHERE {fit} GROUP BY field),
+v AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY field ORDER BY total DESC, token) <= 2000), n AS (SELECT field, count(*) AS n FROM t_split WHERE {fit} GROUP BY field),
 w AS (SELECT tf.field, subject, tf.token, tf.tf * (ln((1+n)::DOUBLE/(1+df)) + 1) AS w FROM tf JOIN v ON v.field = tf.field AND v.token = tf.token JOIN n ON n.field = tf.field)
 SELECT field, subject, token, round(w / sqrt(sum(w*w) OVER (PARTITION BY field, subject)), 6) AS weight FROM w"""
 
 
 def tfidf_rows(spark, sf, fit, side):
     d = S.split(spark, sf).withColumn("doc", X.documents(side))
-    return X.tfidf(d, ["field"], "subject", "doc", fit, 20).withColumn("weight", r6(F.col("weight")))
+    return X.tfidf(d, ["field"], "subject", "doc", fit).withColumn("weight", r6(F.col("weight")))
 
 
 @query("tfidf_trainfit", tfidf_sql("split = 'train'", "early_tags"))
 def tfidf_trainfit(spark, sf):
-    """Vocabulary and idf from training rows only (20 features here; the operator's default is 2000)."""
+    """Vocabulary and idf from training rows only (2000 tokens at most)."""
     return tfidf_rows(spark, sf, F.col("split") == "train", "early_tags")
 
 
@@ -123,7 +152,11 @@ def ladder_prior(spark, sf):
     return judged(c.where("split = 'test'").join(r, "field"), "M0")
 
 
-@query("ladder_scalar_logit")
+SCALAR = """(SELECT t.field, y, early_overlap * d AS score FROM t_split t JOIN (SELECT field, CASE WHEN abs(covar_pop(early_overlap, y::DOUBLE)) < 1e-12::DOUBLE THEN 0 ELSE sign(covar_pop(early_overlap, y::DOUBLE)) END AS d
+ FROM t_split WHERE split = 'train' GROUP BY field) s ON s.field = t.field WHERE t.split = 'test') q"""
+
+
+@query("ladder_scalar_logit", f"SELECT 'M1' AS arm, field, round(ap, 6) AS ap FROM ({ap_sql(SCALAR, ['field'])}) x")
 def ladder_scalar_logit(spark, sf):
     return logit_arm(spark, sf, "M1", ["early_overlap"])
 
@@ -149,7 +182,17 @@ def ladder_gbt(spark, sf):
 
 @query("ladder_text_logit")
 def ladder_text_logit(spark, sf):
-    return logit_arm(spark, sf, "M4", BASE, 0.5, ("early_tags_doc", "source_tags_doc"))
+    return logit_arm(spark, sf, "M4", BASE, 0.5, ("early_tags", "source_tags"))
+
+
+@query("ladder_gradient_zero", "SELECT arm, field, count(*) AS rows_n, sum(y)::BIGINT AS positives, 0.0::DOUBLE AS gap FROM t_split, (VALUES ('M1'), ('M2'), ('M4')) a(arm) WHERE split = 'train' GROUP BY arm, field HAVING sum(y) > 0 AND sum(y) < count(*)")
+def ladder_gradient_zero(spark, sf):
+    """At the optimum of a model with a free intercept the fitted chances of its training rows add up to the
+    positives: what is left of that, per arm and field."""
+    arms = {"M1": (["early_overlap"], 1.0, ()), "M2": (BASE, 1.0, ()), "M4": (BASE, 0.5, ("early_tags", "source_tags"))}
+    parts = [logit_scores(spark, sf, cols, c, text, "train").groupBy("field").agg(n_rows("rows_n"), F.sum("y").alias("positives"), F.abs(F.round(F.sum(F.col("score") - F.col("y")), 5)).alias("gap")).withColumn("arm", F.lit(arm))
+             for arm, (cols, c, text) in arms.items()]
+    return stack(parts).where((F.col("positives") > 0) & (F.col("positives") < F.col("rows_n"))).select("arm", "field", "rows_n", "positives", "gap")
 
 
 @query("ladder_gbt_peers")
@@ -183,7 +226,7 @@ def val_symmetric_selection(spark, sf):
 def subject_only_ladder(spark, sf):
     """What the subject alone predicts: typicality, scalars, text, trees."""
     return stack([logit_arm(spark, sf, "M1s_typicality", ["typicality_cohort", "typicality_field"]), logit_arm(spark, sf, "M1s_scalars", SUBJECT[:3]),
-                  logit_arm(spark, sf, "M4s_text", SUBJECT[:4], 0.5, ("early_tags_doc",)), gbt_arm(spark, sf, "M3s", SUBJECT)])
+                  logit_arm(spark, sf, "M4s_text", SUBJECT[:4], 0.5, ("early_tags",)), gbt_arm(spark, sf, "M3s", SUBJECT)])
 
 
 @query("side_ablation")
@@ -211,19 +254,20 @@ def regress_continuous(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    """AP lost when one column is permuted over the test rows; all (feature, repeat) cells in one batch."""
-    rows = with_field_dummies(rows_for_models(spark, sf))
-    for b in SPEC.boolean:
-        rows = rows.withColumn(b, F.col(b).cast("double"))
-    m = L.fit_logit(X.assemble(rows.where("split = 'train'"), [*BASE, "field_vec"]))
-    te = rows.where("split = 'test'").select("subject", "y", "field_vec", *[F.col(c).cast("double").alias(c) for c in BASE])
-    many = te.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in BASE]))).withColumn("own", F.struct(*BASE))
-    moved = D.permute_seeds(many.select("subject", "y", "field_vec", "feature", "own"), ["feature"], "subject", "own", 3, "donor", salt="importance")
-    swapped = moved.select("subject", "y", "field_vec", "feature", "seed", *[F.when(F.col("feature") == c, F.col(f"donor.{c}")).otherwise(F.col(f"own.{c}")).alias(c) for c in BASE])
-    ap = M.average_precision(L.scored(m, X.assemble(swapped, [*BASE, "field_vec"]), ["feature", "seed", "y"]), ["feature", "seed"])
-    base = M.average_precision(L.scored(m, X.assemble(te, [*BASE, "field_vec"]), ["y"]), []).select(F.col("ap").alias("full"))
-    d = attach(ap, base, []).withColumn("drop", F.col("full") - F.col("ap"))
-    return d.groupBy("feature").agg(r6(F.avg("drop")).alias("mean_drop"), r6(F.stddev_samp("drop")).alias("sd_drop"), n_rows("repeats"))
+    """AP lost per field when one column is permuted over its test rows: ten repeats, all (feature, repeat) cells
+    in one batch of the fitted models."""
+    rows, width = logit_rows(spark, sf, BASE)
+    models = fitted_logits(rows, width)
+    te = rows.where("split = 'test'")
+    many = te.withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("own", F.col("x")[F.col("feature")])
+    moved = D.permute_seeds(many, ["field", "feature"], "subject", "own", 10, "donor", salt="importance")
+    swapped = moved.withColumn("x", F.transform("x", lambda v, i: F.when(i == F.col("feature"), F.col("donor")).otherwise(v)))
+    cells = ["field", "feature", "seed"]
+    score = ML.predicted(swapped, models, [*cells, "y"], width).withColumn("score", F.round("score", 12))
+    base = ML.predicted(te, models, ["field", "y"], width).withColumn("score", F.round("score", 12))
+    d = M.average_precision(score, cells).join(M.average_precision(base, ["field"]).select("field", F.col("ap").alias("full")), "field").withColumn("drop", F.col("full") - F.col("ap"))
+    name = F.element_at(F.array(*[F.lit(c) for c in BASE]), F.col("feature") + 1)
+    return d.groupBy("field", name.alias("feature")).agg(r6(F.avg("drop")).alias("mean_drop"), r6(F.stddev_samp("drop")).alias("sd_drop"), n_rows("repeats"))
 
 
 def coefficient_table(spark, specs):

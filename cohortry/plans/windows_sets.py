@@ -27,13 +27,13 @@ def first_wins_dedupe(spark, sf):
 
 
 @query("running_counts_desc", """
-SELECT field, score, (sum(tp) OVER w)::BIGINT AS tp, (sum(n - tp) OVER w)::BIGINT AS fp
-FROM (SELECT field, score, sum(y)::BIGINT AS tp, count(*) AS n FROM t_scores WHERE split = 'test' AND model = 'overlap' AND seed = 0 GROUP BY ALL) x
-WINDOW w AS (PARTITION BY field ORDER BY score DESC)""")
+SELECT field, model, seed, score, (sum(tp) OVER w)::BIGINT AS tp, (sum(n - tp) OVER w)::BIGINT AS fp
+FROM (SELECT field, model, seed, score, sum(y)::BIGINT AS tp, count(*) AS n FROM t_scores WHERE split = 'test' GROUP BY ALL) x
+WINDOW w AS (PARTITION BY field, model, seed ORDER BY score DESC)""")
 def running_counts_desc(spark, sf):
-    s = S.scores(spark, sf).where("split = 'test' and model = 'overlap' and seed = 0")
-    c = cumulate(s, ["field"], "score", {"tp": F.col("y"), "fp": 1 - F.col("y")})
-    return c.select("field", "score", F.col("cum_tp").alias("tp"), F.col("cum_fp").alias("fp"))
+    s = S.scores(spark, sf).where("split = 'test'")
+    c = cumulate(s, ["field", "model", "seed"], "score", {"tp": F.col("y"), "fp": 1 - F.col("y")})
+    return c.select("field", "model", "seed", "score", F.col("cum_tp").alias("tp"), F.col("cum_fp").alias("fp"))
 
 
 def frame(spark, sf, upto):

@@ -36,8 +36,8 @@ def test_redelivered_stream_files_change_nothing(spark, tmp_path):
                                  F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"))
     for name in "ab":
         ev.write.parquet(str(tmp_path / "in" / name))
-    start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "c"), "1 day", 1).awaitTermination()
+    start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "c"), 1).awaitTermination()
     ev.write.parquet(str(tmp_path / "in" / "late"))
-    start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "c"), "1 day", 1).awaitTermination()
+    start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "c"), 1).awaitTermination()
     t = read_table(spark, str(tmp_path / "t"))
     assert t.count() == 200 and t.agg(F.sum("value")).first()[0] == sum(range(200))
