@@ -13,10 +13,11 @@ from cohortry.operators.graph import components
 
 SHINGLE = 4
 PERCENT = 85
-CELLS = 1 << 20        # counters of the frequency sketch
+CELLS = 1 << 22        # counters of the frequency sketch
+STEPS = 1.4            # ratio of counts between two frequency classes
 PAGE = 4096
 MOST = 4096            # texts of a tile that one task compares with each other
-LIMITS = (1, 32, None)  # candidates of a text in a tile: the last round has no limit
+LIMITS = (3, 16, None)  # candidates of a text in a tile: the last round has no limit
 BITS = (512, 32768)    # least and most bits of a signature
 STEP = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -59,17 +60,17 @@ def prefix(hashes: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
 def _scan(docs: DataFrame, shingle: int) -> DataFrame:
     """One row per document (doc_id, key, name, n), and the pages of the task's sketch of shingle counts."""
     def run(batches):
-        cells, last = np.zeros(CELLS, np.int64), []
+        cells, last = np.zeros(CELLS, np.int32), []
         for batch in batches:
             for part in sized_slices(batch, 2):
                 words = [words_of(t or "") for t in part.column(2).to_pylist()]
                 sets = [shingle_set(w, shingle) for w in words]
-                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": part.column(1), "name": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                                                   "n": pa.array([len(s) for s in sets], pa.int64()), "page": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
         for p in range(CELLS // PAGE):
             if (held := cells[p * PAGE:(p + 1) * PAGE]).any():
-                last.append((p, held.tobytes()))
+                last.append((p, np.minimum(held, 255).astype(np.uint8).tobytes()))  # a task counts to 255
         if last:
             empty = len(last)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(empty, pa.int64()), "key": pa.nulls(empty, pa.int64()), "name": pa.nulls(empty, pa.binary()), "n": pa.nulls(empty, pa.int64()),
@@ -79,30 +80,30 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _classes(scan: DataFrame) -> np.ndarray:
-    """Frequency class of each cell of the sketch: how many times it doubles the mean count. A megabyte, whatever
+    """Frequency class of each cell of the sketch: how many steps its count is above the mean. Four megabytes, whatever
     the input; a class only orders shingles, so one that is off costs time and no result."""
     def run(batches):
         now, total = None, None
         for batch in batches:
             for page, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held = np.frombuffer(counts.as_py(), np.int64)
+                held = np.frombuffer(counts.as_py(), np.uint8).astype(np.int64)
                 if page != now:
                     if now is not None:
                         yield _page(now, total)
-                    now, total = page, held.copy()
+                    now, total = page, held
                 else:
-                    total += held
+                    total = total + held
         if now is not None:
             yield _page(now, total)
     pages = scan.where("page is not null").select("page", "counts").repartition("page").sortWithinPartitions("page").mapInArrow(run, "page int, counts binary").collect()
-    cells = np.zeros(CELLS)
+    cells = np.zeros(CELLS, np.float32)
     for r in pages:  # at most CELLS / PAGE rows
-        cells[r["page"] * PAGE:(r["page"] + 1) * PAGE] = np.frombuffer(r["counts"], np.int64)
-    return np.floor(np.log2(np.maximum(1, cells / max(1.0, cells.mean())))).astype(np.uint8)
+        cells[r["page"] * PAGE:(r["page"] + 1) * PAGE] = np.frombuffer(r["counts"], np.float32)
+    return np.floor(np.log(np.maximum(1, cells / max(1.0, float(cells.mean())))) / np.log(STEPS)).astype(np.uint8)
 
 
 def _page(page: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _marked_texts(docs: DataFrame, marks) -> DataFrame:
@@ -158,7 +159,7 @@ def tiles_of(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _cells(tiles: DataFrame, comp: DataFrame | None, first: bool, most: int) -> DataFrame:
-    """(h, band, slice, own, name, n, comp): what is to be compared. Tiles whose texts are all of one component are
+    """(h, band, slice, own, name, n, comp, drives): what is to be compared, and who looks for partners. Tiles whose texts are all of one component are
     left out. A tile of more than ``most`` texts is cut into slices by hash; the texts outside its largest component visit
     all slices, those inside stay at home: among them nothing is left to find. The first round has no visits."""
     rows = tiles if comp is None else tiles.join(comp.select(F.col("node").alias("name"), "component"), "name", "left")
@@ -169,35 +170,41 @@ def _cells(tiles: DataFrame, comp: DataFrame | None, first: bool, most: int) ->
     home = F.pmod(F.xxhash64("name"), F.col("slices")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("slices") - 1)
     where = F.array(home) if first else F.when(F.col("comp") == F.col("large"), F.array(home)).otherwise(everywhere)
-    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), "own", "name", "n", "comp")
+    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), "own", "name", "n", "comp", (F.lit(True) if first else F.col("comp") != F.col("large")).alias("drives"))
 
 
 def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: int) -> DataFrame:
-    """(a, b): pairs of different components whose bitmaps allow the wanted overlap, for each text at most ``limit`` in
-    a slice of a tile, those nearest in size first."""
-    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig")
+    """(a, b): pairs of different components whose bitmaps allow the wanted overlap: for each text that looks for partners
+    at most ``limit`` in a slice of a tile, those nearest in size first, smaller ones before larger ones. Texts of a tile's largest
+    component need not look: whoever is outside looks for them."""
+    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig", "drives")
     dealt = rows.repartition("h", "band", "slice").sortWithinPartitions("h", "band", "slice", "n", "name")
 
     def cell(part: pa.Table, out: set):
         m = part.num_rows
-        own, n = part.column("own").to_numpy(), part.column("n").to_numpy().astype(np.int64)
-        if m < 2 or not own.any():
+        own, drives, n = part.column("own").to_numpy(), part.column("drives").to_numpy(), part.column("n").to_numpy().astype(np.int64)
+        if m < 2 or not own.any() or not drives.any():
             return
         names, sigs = part.column("name").to_pylist(), part.column("sig").to_pylist()
         comp = np.unique(np.array(part.column("comp").to_pylist(), object), return_inverse=True)[1]
         width = min(map(len, sigs))
         bits = np.stack([folded(s, width) for s in sigs])
-        for i in np.flatnonzero(own).tolist():
-            start, found = int(np.searchsorted(n, -(-percent * int(n[i]) // 100))), 0
-            for stop in range(i, start, -STEP):
-                at = np.arange(max(start, stop - STEP), stop)
-                at = at[comp[at] != comp[i]]
-                more_i, more_j = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1, dtype=np.int64), np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1, dtype=np.int64)
-                bound = np.minimum(n[i] - more_i, n[at] - more_j)
-                near = at[bound * (100 + percent) >= percent * (n[i] + n[at])][::-1]
+
+        def partners(i: int, at: np.ndarray) -> np.ndarray:
+            at = at[comp[at] != comp[i]]
+            more_i, more_j = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1, dtype=np.int64), np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(n[i] - more_i, n[at] - more_j)
+            return at[bound * (100 + percent) >= percent * (n[i] + n[at])]
+        for i in np.flatnonzero(drives).tolist():
+            found = 0
+            low, high = int(np.searchsorted(n, -(-percent * int(n[i]) // 100))), int(np.searchsorted(n, 100 * int(n[i]) // percent, side="right"))
+            below = [np.arange(max(low, e - STEP), e)[::-1] for e in range(i, low, -STEP)] if own[i] else []
+            above = [np.arange(b, min(high, b + STEP)) for b in range(i + 1, high, STEP)]
+            for at in [*below, *above]:
+                near = partners(i, at if at[0] < i else at[own[at]])
                 if limit is not None:
                     near = near[: limit - found]
-                out.update((names[j], names[i]) for j in near.tolist())
+                out.update((names[min(i, j)], names[max(i, j)]) for j in near.tolist())
                 found += len(near)
                 if found == limit:
                     break
