@@ -22,9 +22,10 @@ AT = ["doc", "key", "line"]
 
 
 def _words(line) -> F.Column:
-    """Words of a line: blanks inside it plus one; none in a blank line."""
-    t = F.trim(line)
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
+    """Words of a line, or what its length stands for where that is more: a word for every 24 code points, so that a long
+    line of a script without blanks counts as long."""
+    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.when(n == 0, 0).otherwise(F.greatest(n, F.floor(F.length(line) / 24).cast("int")))
 
 
 def _labels(groups: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -130,10 +131,10 @@ def report(docs: DataFrame, least: int = 5) -> DataFrame:
                     F.when(F.col("__runs").isNull(), 0).otherwise(F.size("__runs")).cast("long").alias("n_runs"), F.sha2("text", 256).alias("text_sha256"))
 
 
-REPORT_SQL = """
+REPORT_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM d),
-worded AS (SELECT *, CASE WHEN trim(x) = '' THEN 0 ELSE length(trim(x)) - length(replace(trim(x), ' ', '')) + 1 END AS w FROM lines),
+worded AS (SELECT *, CASE WHEN len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) = 0 THEN 0 ELSE greatest(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')), length(x) // 24) END AS w FROM lines),
 c AS (SELECT doc_id, i, x, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM worded),
 spans AS (
   SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c >= a.c - a.w + 5 GROUP BY 1, 2

@@ -30,15 +30,17 @@ def op7_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "place")
 
 
-SQL["op5_warc_index_merge"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-     q AS (SELECT page_id, html, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY html) AS low FROM p)
+SQL["op5_warc_index_merge"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(url, ''), '[\r\n]+', '%0A', 'g') AS url, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM pages),
+     u AS (SELECT *, regexp_extract(url, '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)(?::[0-9]+)?([^#]*)', ['host', 'path'], 'i') AS m, regexp_matches(url, '^[a-z][a-z0-9+.-]*://', 'i') AS whole FROM p),
+     k AS (SELECT page_id, html, stamp, CASE WHEN whole THEN array_to_string(list_reverse(string_split(regexp_replace(lower(m.host), '^www\.', ''), '.')), ',') || ')' || lower(CASE WHEN m.path = '' THEN '/' ELSE m.path END) ELSE lower(url) END AS url_key FROM u),
+     q AS (SELECT page_id, html, url_key, stamp, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY html) AS low, row_number() OVER (ORDER BY url_key, stamp, page_id NULLS FIRST) AS place FROM k)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
        CASE WHEN n >= 100 AND low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND low < page_id THEN low END AS refers_to
+       CASE WHEN n >= 100 AND low < page_id THEN low END AS refers_to, url_key, stamp, place
 FROM q
 """
 

@@ -8,6 +8,7 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark.sql import Window
 
 from cohortry.llm.common import DataFrame, F, materialise, plain
 from cohortry.session import checkpoint_root
@@ -43,9 +44,10 @@ def write_archives(pages: DataFrame, least: int = 100) -> str:
     files = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, Spark would deal the pages out again
     again = (light.join(first, "digest").where(F.col("page_id") > F.col("first")).groupBy(F.col("page_id").alias("_p"))
              .agg(F.collect_set(F.struct("digest", "first")).alias("_again")))  # one entry but for ids with several payloads
-    rows = (seen.repartition(files, "page_id").join(again.repartition(files, "_p").hint("shuffle_hash"), F.col("page_id") == F.col("_p"), "left")
+    seen = seen.withColumn("_k", F.coalesce("page_id", F.xxhash64("url", "digest")))  # pages without an id are spread by what they hold
+    rows = (seen.repartition(files, "_k").join(again.repartition(files, "_p").hint("shuffle_hash"), F.col("_k") == F.col("_p"), "left")
             .withColumn("first", F.get(F.filter("_again", lambda x: x["digest"] == F.col("digest")), 0)["first"]))
-    old = F.col("first").isNotNull()
+    old = F.col("first").isNotNull() & F.col("page_id").isNotNull()
     head = F.concat_ws(
         "\r\n", F.lit("WARC/1.0"), F.concat(F.lit("WARC-Type: "), F.when(old, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
@@ -158,7 +160,7 @@ class LoserTree:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs in one global order by URL key, time and id, with ``place`` ascending in that order.
+    """The runs in one global order by URL key, time and id, with ``place``, a row's number in that order from 1.
 
     Key ranges are dealt to tasks by all three, so one URL with a third of all captures is spread as well;
     a task merges the pieces of the sorted runs that fall into its range.
@@ -178,7 +180,11 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                 parts.append([])
             parts[-1].append((_order((keys[0][i], keys[1][i], keys[2][i])), i))
         yield from rows.take([i for _, i in LoserTree(parts)]).combine_chunks().to_batches()
-    return dealt.mapInArrow(merge, runs.schema).withColumn("place", F.monotonically_increasing_id())
+    merged = materialise(dealt.mapInArrow(merge, runs.schema).withColumn("_at", F.monotonically_increasing_id()), "merged")  # the task in the high bits
+    task, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = merged.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("task").alias("_t"), F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per task
+    return merged.join(before, task == F.col("_t")).withColumn("place", F.col("_before") + row + 1).drop("_at", "_t", "_before")
 
 
 def histories(pages: DataFrame) -> DataFrame:

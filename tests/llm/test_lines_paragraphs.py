@@ -22,7 +22,7 @@ def slow_dedup(rows, least):
         for s in range(len(ls)):
             words = 0
             for e in range(s, min(len(ls), s + 12)):
-                words += len(ls[e].strip(" ").split(" ")) if ls[e].strip(" ") else 0
+                words += max(n, len(ls[e]) // 24) if (n := len(ls[e].encode().split())) else 0
                 if words >= least and first[tuple(ls[s:e + 1])] != (k, s):
                     gone[k] |= set(range(s, e + 1))
     return {k: "\n".join(x for i, x in enumerate(split[k]) if i not in gone[k]) for k in docs}

@@ -43,7 +43,8 @@ def test_index_is_globally_ordered_and_equals_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
     want = con.sql(queries.SQL["op5_warc_index_merge"]).fetchall()
-    assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in rows)
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.url_key, r.stamp, r.place)) for r in rows)
+    assert [r.place for r in rows] == list(range(1, len(rows) + 1))
 
 
 def test_loser_tree():
