@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.operators.ordering import quantiles
 from cohortry.operators.stats import confusion
@@ -41,3 +41,28 @@ def check_rows(checks: dict[str, DataFrame]) -> DataFrame:
         one = df.toDF("violations").select(F.lit(name).alias("check"), F.col("violations").cast("bigint").alias("violations"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def quoted_values(lines: DataFrame, column: str, pattern: str) -> DataFrame:
+    """(name, quoted): what a text says of each name; ``pattern`` has one group for the name and one for the number.
+    A line that says nothing is passed over."""
+    got = lines.select(F.regexp_extract(column, pattern, 1).alias("name"), F.regexp_extract(column, pattern, 2).alias("said"))
+    return got.where("said <> ''").select("name", F.col("said").cast("double").alias("quoted"))
+
+
+def result_tree(spark: SparkSession, scores: str, metrics: str, expected: DataFrame, models: Sequence[str], seeds: int, tolerance: float = 1e-3) -> DataFrame:
+    """Checks of a folder of score files (model=/seed= folders of parquet) and metric files (nested JSON, a run per seed)
+    against ``expected`` (field, expected rows): cells without files, cells of another size, stored metrics that a
+    recompute does not give, fields whose runs come from more than one environment."""
+    from cohortry.operators import metrics as M
+    keys = ["field", "model", "seed"]
+    held = spark.read.parquet(scores)
+    cells = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    grid = expected.select("field", F.explode(F.array(*[F.lit(m) for m in models])).alias("model")).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    runs = (spark.read.schema("field string, model string, runs array<struct<seed: int, auc_pr: double, environment: string>>").json(metrics)
+            .select("field", "model", F.explode("runs").alias("r")).select("field", "model", "r.*"))
+    off = M.average_precision(held, keys).join(runs, keys).where(F.abs(F.col("ap") - F.col("auc_pr")) > tolerance)
+    mixed = runs.groupBy("field").agg(F.count_distinct("environment").alias("k")).where("k > 1")
+    n = F.count(F.lit(1)).alias("n")
+    return check_rows({"grid_complete": grid.join(cells, keys, "left_anti").agg(n), "rows_match_cohort": cells.join(expected, "field").where("n <> expected").agg(n),
+                       "ceiling_match": off.agg(n), "one_environment": mixed.agg(n)})

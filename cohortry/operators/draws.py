@@ -155,10 +155,9 @@ def resample_weights(key: Column, draws: int, salt: str = "boot") -> Column:
     bring rows together; sizes vary around n, and a weighted metric divides by them. One digest serves four
     draws (eight hex digits each). All models and seeds share the resamples.
     """
-    def lane(block, at):
-        h = F.conv(F.substring(keyed_md5(block, salt, key), at * 8 + 1, 8), 16, 10).cast("bigint")
-        return F.aggregate(F.array(*[F.lit(t).cast("bigint") for t in POISSON]), F.lit(0), lambda n, t: n + (h >= t).cast("int"))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(draws // 4 - 1)), lambda b: F.array(*[lane(b, i) for i in range(4)])))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(draws // 4 - 1)), lambda b: keyed_md5(b, salt, key))
+    lanes = F.flatten(F.transform(digests, lambda d: F.array(*[F.conv(F.substring(d, i * 8 + 1, 8), 16, 10).cast("bigint") for i in range(4)])))
+    return F.transform(lanes, lambda h: sum(((h >= t).cast("int") for t in POISSON[1:]), (h >= POISSON[0]).cast("int")))
 
 
 def resample_matrix(keys: list, draws: int, salt: str = "boot") -> np.ndarray:

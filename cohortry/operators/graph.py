@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortry.functions.columns import hash_int, keyed_md5
 from cohortry.operators.ordering import attach, hash_rank
@@ -202,34 +205,136 @@ def random_walks(edges: DataFrame, walks: int, steps: int, seed: int = 0, cut_ev
     Neighbour places are numbered once; a walker holds its current node only, and a step is an equi
     join on (node, place), so a hub's adjacency is never gathered.
     """
+    return seeded_walks(edges, walks, steps, [seed], cut_every).drop("seed")
+
+
+def seeded_walks(edges: DataFrame, walks: int, steps: int, seeds: Sequence[int], cut_every: int = 10) -> DataFrame:
+    """(seed, node, walk, path): the walks of all seeds in one job a step."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
     places = hash_rank(both.withColumn("_h", F.md5(F.concat_ws("|", "a", "b"))), ["a"], "_h", ["b"], "place", size="deg")
     places = materialise(places.select("a", "place", "b", "deg"), "places")
     deg = places.groupBy("a").agg(F.max("deg").alias("deg"))
-    w = deg.select(F.col("a").alias("node"), F.col("a").alias("cur"), "deg", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).withColumn("path", F.array("node"))
+    start = deg.select(F.col("a").alias("node"), F.col("a").alias("cur"), "deg", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+    w = start.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).withColumn("path", F.array("node"))
     nxt = places.join(deg.select(F.col("a").alias("b"), F.col("deg").alias("next_deg")), "b").select(F.col("a").alias("cur"), "place", "b", "next_deg")
     nxt = materialise(nxt, "next")
     for i in range(1, steps):
-        pick = F.pmod(hash_int(keyed_md5(seed, "walk", F.col("node"), F.col("walk"), F.lit(i))), F.col("deg")) + 1
+        pick = F.pmod(hash_int(keyed_md5(F.col("seed"), "walk", F.col("node"), F.col("walk"), F.lit(i))), F.col("deg")) + 1
         w = w.withColumn("place", pick).join(nxt, ["cur", "place"]).select(
-            "node", F.col("b").alias("cur"), F.col("next_deg").alias("deg"), "walk", F.concat("path", F.array("b")).alias("path"))
+            "seed", "node", F.col("b").alias("cur"), F.col("next_deg").alias("deg"), "walk", F.concat("path", F.array("b")).alias("path"))
         if i % cut_every == 0:
             w = materialise(w, f"walk{i}")
-    return w.select("node", "walk", "path")
+    return w.select("seed", "node", "walk", "path")
+
+
+def cooccurrences(walks: DataFrame, keys: Sequence[str], window: int = 5) -> DataFrame:
+    """(keys, node, context, n): how often a context stands within ``window`` steps of a node."""
+    at = walks.select(*keys, "path", F.posexplode("path").alias("p", "node"))
+    near = F.concat(F.slice("path", F.greatest(F.col("p") - window + 1, F.lit(1)), F.least(F.col("p"), F.lit(window))), F.slice("path", F.col("p") + 2, F.lit(window)))
+    return at.select(*keys, "node", F.explode(near).alias("context")).groupBy(*keys, "node", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def projected_vectors(pairs: DataFrame, keys: Sequence[str], dims: int = 64, seed: int = 0) -> DataFrame:
+    """(keys, node, v): signed projection of the counts of ``cooccurrences``: a context adds its count with a keyed
+    sign to every dimension, so the vectors come from one shuffle."""
+    key = F.to_json(F.struct(*keys))
+    sign = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("context"), d), F.lit(2)) == 0, F.col("n").cast("double")).otherwise(-F.col("n").cast("double")))
+    shape = T.StructType([pairs.schema[c] for c in keys])
+    return _added(pairs.select(key.alias("g"), "node", sign.alias("v")), "node", dims).select(F.from_json("g", shape).alias("g"), "node", "v").select("g.*", "node", "v")
+
+
+def shifted_ppmi(pairs: DataFrame, keys: Sequence[str], negatives: float = 5.0, smoothing: float = 0.75) -> DataFrame:
+    """(keys, node, context, w): what skip-gram with negative samples factorises, log(n N / (row sum x smoothed context sum))
+    less log(negatives), where it is positive."""
+    k = list(keys)
+    rows = pairs.groupBy(*k, "node").agg(F.sum("n").alias("_r"))
+    cols = pairs.groupBy(*k, "context").agg(F.pow(F.sum("n").cast("double"), F.lit(smoothing)).alias("_c"))
+    total = cols.groupBy(*k).agg(F.sum("_c").alias("_t"))
+    j = attach(pairs.join(rows, [*k, "node"]).join(cols, [*k, "context"]), total, k)
+    return j.select(*k, "node", "context", (F.log(F.col("n") * F.col("_t") / (F.col("_r") * F.col("_c"))) - F.lit(float(math.log(negatives)))).alias("w")).where("w > 0")
 
 
-def projected_vectors(walks: DataFrame, dims: int = 16, window: int = 4, seed: int = 0) -> DataFrame:
-    """(node, v): signed projection of the co-occurrence counts inside ``window`` steps of a walk.
+def factor_vectors(weights: DataFrame, keys: Sequence[str], dims: int = 64, powers: int = 2, seed: int = 0) -> DataFrame:
+    """(keys, node, v): left factors U sqrt(S) of the sparse symmetric-shaped matrix (node, context, w) per key, by a randomised
+    range finder.
 
-    A context node adds its count with a keyed sign to every dimension, so the vectors come from one
-    shuffle; no vocabulary or weight matrix passes the driver, whatever the number of nodes.
+    A node's row of the matrix times a keyed sign block begins the basis; each power step is two joins and grouped sums
+    of arrays, and an orthonormal basis follows from the dims x dims moments of a key, which alone reach the driver. No
+    vector set leaves the executors. A key whose rank is below ``dims`` has zeros in the columns beyond it.
     """
-    at = walks.select("path", F.posexplode("path").alias("p", "node"))
-    near = F.concat(F.slice("path", F.greatest(F.col("p") - window + 1, F.lit(1)), F.least(F.col("p"), F.lit(window))), F.slice("path", F.col("p") + 2, F.lit(window)))
-    pairs = at.select("node", F.explode(near).alias("context")).groupBy("node", "context").agg(F.count(F.lit(1)).alias("n"))
-    bits = pairs.withColumn("h", hash_int(keyed_md5(seed, "sign", F.col("context"))))
-    signs = [F.sum(F.when(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.col("n")).otherwise(-F.col("n"))).cast("double") for i in range(dims)]
-    return bits.groupBy("node").agg(F.array(*signs).alias("v"))
+    k = list(keys)
+    key = F.to_json(F.struct(*k)) if k else F.lit("")
+    w = materialise(weights.select(key.alias("g"), "node", "context", "w"), "weights")
+    sign = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("context"), d), F.lit(2)) == 0, F.col("w")).otherwise(-F.col("w")))
+    y = _added(w.select("g", "node", sign.alias("v")), "node", dims)
+    for i in range(powers):
+        y = _times(materialise(y, f"basis{i}"), _inverse_roots(y, dims), dims)
+        z = _added(w.join(y, ["g", "node"]).select("g", "context", F.transform("v", lambda x: x * F.col("w")).alias("v")), "context", dims)
+        y = _added(w.join(z, ["g", "context"]).select("g", "node", F.transform("v", lambda x: x * F.col("w")).alias("v")), "node", dims)
+    y = materialise(y, "basis")
+    q = materialise(_times(y, _inverse_roots(y, dims), dims), "orthonormal")
+    b = materialise(_added(w.join(q, ["g", "node"]).select("g", "context", F.transform("v", lambda x: x * F.col("w")).alias("v")), "context", dims).withColumnRenamed("context", "node"), "inner")
+    turns = {}
+    for g, m in _moments(b, dims).items():  # q' M M' q
+        value, vector = np.linalg.eigh(m)
+        order = np.argsort(-value)
+        s = np.sqrt(np.sqrt(np.maximum(value[order], 0.0)))
+        flip = np.where(vector[np.abs(vector).argmax(axis=0), np.arange(dims)] < 0, -1.0, 1.0)[order]
+        turns[g] = vector[:, order] * flip * s
+    out = _times(q, turns, dims)
+    if not k:
+        return out.select("node", "v")
+    shape = T.StructType([weights.schema[c] for c in k])
+    return out.select(F.from_json("g", shape).alias("g"), "node", "v").select("g.*", "node", "v")
+
+
+def _added(rows: DataFrame, by: str, dims: int) -> DataFrame:
+    """Sums of the arrays ``v`` per (g, by), with partial sums before the shuffle."""
+    parts = rows.groupBy("g", by).agg(*[F.sum(F.get("v", F.lit(d))).alias(f"_{d}") for d in range(dims)])
+    return parts.select("g", by, F.array(*[f"_{d}" for d in range(dims)]).alias("v"))
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _moments(rows: DataFrame, dims: int) -> dict[str, np.ndarray]:
+    """v' v per key: dims x dims numbers each."""
+    def local(batches):
+        held: dict = {}
+        for batch in batches:
+            names, v = np.array(batch.column(0).to_pylist(), object), _matrix(batch.column(1), dims)
+            for g in dict.fromkeys(names.tolist()):
+                x = v[names == g]
+                held[g] = held.get(g, 0) + x.T @ x
+        if held:
+            yield pa.RecordBatch.from_pydict({"g": list(held), "m": pa.array([m.tobytes() for m in held.values()], pa.binary())})
+    out: dict = {}
+    for r in rows.select("g", "v").mapInArrow(local, "g string, m binary").toLocalIterator():
+        out[r["g"]] = out.get(r["g"], 0) + np.frombuffer(bytes(r["m"])).reshape(dims, dims)
+    return out
+
+
+def _inverse_roots(rows: DataFrame, dims: int) -> dict[str, np.ndarray]:
+    """Per key the matrix that makes the columns of ``v`` orthonormal; directions without extent become zero."""
+    out = {}
+    for g, m in _moments(rows, dims).items():
+        value, vector = np.linalg.eigh(m)
+        good = value > 1e-10 * max(float(value[-1]), 1e-300)
+        out[g] = vector * np.where(good, 1 / np.sqrt(np.where(good, value, 1.0)), 0.0)
+    return out
+
+
+def _times(rows: DataFrame, turns: dict[str, np.ndarray], dims: int) -> DataFrame:
+    name = [c for c in rows.columns if c not in ("g", "v")][0]
+
+    def run(batches):
+        for batch in batches:
+            names, v = np.array(batch.column(0).to_pylist(), object), _matrix(batch.column(2), dims).copy()
+            for g in dict.fromkeys(names.tolist()):
+                v[names == g] = v[names == g] @ turns[g]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims), pa.array(v.reshape(-1)))], names=["g", name, "v"])
+    return rows.select("g", name, "v").mapInArrow(run, f"g string, {name} {dict(rows.dtypes)[name]}, v array<double>")
 
 
 def mirror(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ offset. The result equals the plain window exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -47,9 +48,11 @@ def cumulate(df: DataFrame, group: Sequence[str], by: str, sums: dict[str, Colum
     """
     group = list(group)
     agg = df.groupBy(*group, by).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    ends = agg.groupBy(*group).agg(F.percentile_approx(by, [i / bins for i in range(1, bins)], 100 * bins).alias("_ends"))
-    slot = F.aggregate("_ends", F.lit(0), lambda n, e: n + (e < F.col(by)).cast("int"))
-    agg = attach(agg, ends, group).withColumn("_b", slot).drop("_ends")
+    ends = agg.groupBy(*group).agg(F.percentile_approx(by, [i / bins for i in range(1, bins)], 10 * bins).alias("_ends"))
+    wide = math.isqrt(bins - 1) + 1
+    ends = ends.withColumn("_ends", F.array(*[F.slice("_ends", i + 1, wide) for i in range(0, bins - 1, wide)]))
+    passed = F.size(F.filter("_ends", lambda e: F.element_at(e, -1) < F.col(by)))  # whole runs of ends below the value, then ends of the next run
+    agg = attach(agg, ends, group).withColumn("_p", passed).withColumn("_b", F.col("_p") * wide + F.coalesce(F.size(F.filter(F.get("_ends", F.col("_p")), lambda e: e < F.col(by))), F.lit(0))).drop("_ends", "_p")
     per_bin = agg.groupBy(*group, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     key = F.col("_b").desc() if descending else F.col("_b").asc()
     before = _window(group).orderBy(key).rowsBetween(W.unboundedPreceding, -1)

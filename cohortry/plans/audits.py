@@ -8,6 +8,7 @@ from cohortry.operators.ordering import attach, top_k
 from cohortry.plans import aggregates as AG, draws as PD, evaluation as EV, stages as S
 from cohortry.plans.aggregates import n_rows
 from cohortry.plans.draws import UNI
+from cohortry.plans.ingest import scratch
 from cohortry.plans.joins import jac
 from cohortry.plans.registry import cte, query
 
@@ -126,28 +127,53 @@ def taxonomy_parallel(spark, sf):
     return k.select("field", r6(F.col("theta")).alias("theta"), r6(F.col("rate")).alias("rate"), "n11", "n10", "n01", "n00", r6(F.col("kappa")).alias("kappa"))
 
 
-@query("funnel_recheck", """
-WITH a AS (SELECT coalesce(drop_reason, 'kept') AS counter, count(DISTINCT subject) AS recorded FROM t_funnel WHERE drop_reason = 'too_recent' OR drop_reason IS NULL GROUP BY ALL),
-b AS (SELECT 'too_recent' AS counter, count(*) AS recomputed FROM t_bounds WHERE t0 + 15 > 8007 UNION ALL SELECT 'kept', count(*) FROM t_bounds WHERE t0 + 15 <= 8007 AND early_prod >= 3 AND late_prod >= 3)
-SELECT coalesce(a.counter, b.counter) AS counter, coalesce(recorded, 0) AS recorded, coalesce(recomputed, 0) AS recomputed, coalesce(recorded, 0) = coalesce(recomputed, 0) AS same FROM a FULL JOIN b ON a.counter = b.counter""")
+REASONS = ("no_years", "adv_no_years", "too_recent", "implausible_t0", "span_gt_max", "sparse_windows", "kept")
+
+
+@query("funnel_recheck", f"""
+WITH a AS (SELECT coalesce(drop_reason, 'kept') AS counter, count(*) AS recorded FROM t_funnel GROUP BY ALL),
+b AS (SELECT CASE WHEN b.t0 IS NULL THEN 'no_years' WHEN sf IS NULL THEN 'adv_no_years' WHEN b.t0 + 15 > 8007 THEN 'too_recent' WHEN b.t0 < 7800 THEN 'implausible_t0' WHEN b.last_period - b.t0 > 60 OR sl - sf > 60 THEN 'span_gt_max'
+   WHEN early_prod < 3 OR late_prod < 3 OR coalesce(sp, 0) < 3 THEN 'sparse_windows' ELSE 'kept' END AS counter, count(*) AS recomputed
+ FROM t_edges e LEFT JOIN t_bounds b ON b.subject = e.subject LEFT JOIN (SELECT source, min(period) AS sf, max(period) AS sl FROM t_sact GROUP BY source) s ON s.source = e.source
+ LEFT JOIN (SELECT x.subject, x.source, sum(n_events) AS sp FROM t_edges x JOIN t_bounds y ON y.subject = x.subject JOIN t_sact z ON z.source = x.source AND z.period <= y.t0 + 5 GROUP BY ALL) p ON p.subject = e.subject AND p.source = e.source GROUP BY ALL)
+SELECT counter, coalesce(recorded, 0) AS recorded, coalesce(recomputed, 0) AS recomputed, coalesce(recorded, 0) = coalesce(recomputed, 0) AS same
+FROM (VALUES {', '.join(f"('{r}')" for r in REASONS)}) n(counter) LEFT JOIN a USING (counter) LEFT JOIN b USING (counter)""")
 def funnel_recheck(spark, sf):
-    """Recorded counters against counters recomputed from period lists."""
-    f = S.funnel(spark, sf).where("drop_reason = 'too_recent' or drop_reason is null")
-    a = f.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("counter")).agg(F.count_distinct("subject").alias("recorded"))
-    years = AG.funnel_from_years(spark, sf).where("reason in ('too_recent', 'kept')").select(F.col("reason").alias("counter"), F.col("n").alias("recomputed"))
-    names = spark.range(1).select(F.explode(F.array(F.lit("too_recent"), F.lit("kept"))).alias("counter"))
+    """Recorded counters of all reasons against counters recomputed from the period lists of subjects and sources."""
+    w, known = S.SPEC.windows, S.funnel(spark, sf)
+    a = known.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("counter")).agg(n_rows("recorded"))
+
+    def lists(df, key):
+        held = df.groupBy(key).agg(F.collect_list(F.struct("period", "n_events")).alias(f"{key}_list"))  # an entry per active period
+        ps = F.transform(f"{key}_list", lambda s: s["period"])
+        return held.withColumns({f"{key}_from": F.array_min(ps), f"{key}_to": F.array_max(ps)})
+
+    def inside(key, lo, hi):
+        return F.aggregate(F.filter(f"{key}_list", lambda s: s["period"].between(lo, hi)), F.lit(0).cast("bigint"), lambda acc, s: acc + s["n_events"])
+    e = known.select("subject", "source").join(lists(S.subject_activity(spark, sf), "subject"), "subject", "left").join(lists(S.source_activity(spark, sf), "source"), "source", "left")
+    t0, sf0 = F.col("subject_from"), F.col("source_from")
+    sparse = (inside("subject", t0, t0 + w.early) < 3) | (inside("subject", t0 + w.early + 1, t0 + w.late) < 3) | (inside("source", sf0, t0 + w.early) < 3)
+    reason = (F.when(t0.isNull(), "no_years").when(sf0.isNull(), "adv_no_years").when(t0 + w.late > w.observed_until, "too_recent").when(t0 < 7800, "implausible_t0")
+              .when((F.col("subject_to") - t0 > 60) | (F.col("source_to") - sf0 > 60), "span_gt_max").when(sparse, "sparse_windows").otherwise("kept"))
+    b = e.groupBy(reason.alias("counter")).agg(n_rows("recomputed"))
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in REASONS])).alias("counter"))
     z = F.lit(0)
-    j = names.join(a, "counter", "left").join(years, "counter", "left").withColumn("recorded", F.coalesce("recorded", z)).withColumn("recomputed", F.coalesce("recomputed", z))
+    j = names.join(a, "counter", "left").join(b, "counter", "left").select("counter", F.coalesce("recorded", z).alias("recorded"), F.coalesce("recomputed", z).alias("recomputed"))
     return j.withColumn("same", F.col("recorded") == F.col("recomputed"))
 
 
 @query("quoted_value_check", """
-SELECT field, quoted, round(v, 6) AS regenerated, abs(quoted - v) <= 0.0050001::DOUBLE AS ok FROM (SELECT field, round(avg(y::DOUBLE), 2) AS quoted, avg(y::DOUBLE) AS v FROM t_cohort GROUP BY field) x""")
+SELECT field, quoted, round(v, 6) AS regenerated, abs(quoted - v) <= 0.0050001::DOUBLE AS ok FROM (
+ SELECT field, round(avg(y::DOUBLE), 2) + CASE WHEN length(field) = 8 THEN 0.02::DOUBLE ELSE 0 END AS quoted, avg(y::DOUBLE) AS v FROM t_cohort GROUP BY field) x""")
 def quoted_value_check(spark, sf):
-    """Values quoted to two places against regenerated ones."""
+    """Values quoted in a text against regenerated ones. The text is written here; its lines on fields with names of
+    eight letters are two hundredths off, and the check has to find them."""
     g = S.cohort(spark, sf).groupBy("field").agg(F.avg("y").alias("v"))
-    quoted = g.select("field", F.round("v", 2).alias("quoted"))
-    return quoted.join(g, "field").select("field", "quoted", r6(F.col("v")).alias("regenerated"), (F.abs(F.col("quoted") - F.col("v")) <= 0.0050001).alias("ok"))
+    said = F.round("v", 2) + F.when(F.length("field") == 8, 0.02).otherwise(0.0)
+    root = scratch(spark, "quoted")
+    g.select(F.concat(F.lit("In "), "field", F.lit(" the share of positive rows is "), F.format_number(said, 2), F.lit(" of all."))).write.text(root)
+    return A.quoted_values(spark.read.text(root), "value", r"In (\S+) the share of positive rows is ([0-9.]+)").withColumnRenamed("name", "field").join(g, "field").select(
+        "field", F.round("quoted", 2).alias("quoted"), r6(F.col("v")).alias("regenerated"), (F.abs(F.col("quoted") - F.col("v")) <= 0.0050001).alias("ok"))
 
 
 @query("submission_validate", """
@@ -165,22 +191,29 @@ def submission_validate(spark, sf):
         "scores_in_range": s.where(~((F.col("score") >= 0) & (F.col("score") <= 1)) | F.isnan("score")).agg(n_rows())})
 
 
-@query("result_tree_integrity", """
-WITH e AS (SELECT field, count(*) AS n FROM t_split WHERE split = 'test' GROUP BY field), c AS (SELECT field, model, seed, count(*) AS n FROM t_scores WHERE split = 'test' GROUP BY ALL), g AS (SELECT field, m AS model, s AS seed FROM e, (VALUES ('overlap'), ('reach'), ('volume')) x(m), range(10) r(s))
+TREE = """(SELECT * FROM t_scores WHERE split = 'test' AND NOT (model = 'reach' AND seed = 9) AND NOT (model = 'overlap' AND seed = 0 AND subject % 5 = 0))"""
+
+
+@query("result_tree_integrity", f"""
+WITH e AS (SELECT field, count(*) AS n FROM t_split WHERE split = 'test' GROUP BY field), c AS (SELECT field, model, seed, count(*) AS n FROM {TREE} q GROUP BY ALL),
+g AS (SELECT field, m AS model, s AS seed FROM e, (VALUES ('overlap'), ('reach'), ('volume')) x(m), range(10) r(s))
 SELECT 'grid_complete' AS "check", (SELECT count(*) FROM g LEFT JOIN c USING (field, model, seed) WHERE c.n IS NULL) AS violations UNION ALL SELECT 'rows_match_cohort', (SELECT count(*) FROM c JOIN e USING (field) WHERE c.n <> e.n)
-UNION ALL SELECT 'ceiling_match', 0 UNION ALL SELECT 'one_environment', 0""")
+UNION ALL SELECT 'ceiling_match', (SELECT count(*) FROM c WHERE model = 'volume' AND seed = 3) UNION ALL SELECT 'one_environment', (SELECT count(DISTINCT field) FROM c WHERE model = 'volume' AND seed = 8)""")
 def result_tree_integrity(spark, sf):
-    """Grid completeness, score rows per cell, stored AP against a recompute, one environment per table."""
+    """A tree of score and metric files read back and held against the frozen split: grid completeness, rows per cell,
+    stored AP against a recompute, one environment per field. The tree is written here with faults: a seed without files, a
+    cell that lacks a fifth of its rows, a metric that is off, a seed run elsewhere."""
     from cohortry.operators import metrics as M
-    sc = EV.test_scores(spark, sf)
+    root = scratch(spark, "tree")
+    kept = EV.test_scores(spark, sf).where("not (model = 'reach' and seed = 9)")
+    short = kept.where("not (model = 'overlap' and seed = 0 and subject % 5 = 0)")
+    short.write.partitionBy("model", "seed").parquet(f"{root}/scores")
+    ap = M.average_precision(short, EV.KEYS)
+    value = F.col("ap") + F.when((F.col("model") == "volume") & (F.col("seed") == 3), 0.01).otherwise(0.0)
+    run = F.struct("seed", F.round(value, 5).alias("auc_pr"), F.when((F.col("model") == "volume") & (F.col("seed") == 8), "elsewhere").otherwise("here").alias("environment"))
+    ap.groupBy("field", "model").agg(F.collect_list(run).alias("runs")).write.partitionBy("field").json(f"{root}/metrics")
     size = S.split(spark, sf).where("split = 'test'").groupBy("field").agg(n_rows("expected"))
-    cells = sc.groupBy("field", "model", "seed").agg(n_rows())
-    grid = size.select("field", F.explode(F.array(*[F.lit(m) for m in S.MODELS])).alias("model")).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    again = M.average_precision(sc, EV.KEYS).join(EV.aps(spark, sf), EV.KEYS)
-    env = EV.aps(spark, sf).withColumn("environment", F.lit(spark.version))
-    return A.check_rows({
-        "grid_complete": grid.join(cells, EV.KEYS, "left_anti").agg(n_rows()), "rows_match_cohort": cells.join(size, "field").where("n <> expected").agg(n_rows()),
-        "ceiling_match": again.where(F.abs(F.col("ap") - F.col("value")) > 1e-3).agg(n_rows()), "one_environment": env.groupBy("field").agg(F.count_distinct("environment").alias("k")).where("k > 1").agg(n_rows())})
+    return A.result_tree(spark, f"{root}/scores", f"{root}/metrics", size, list(S.MODELS), S.SEEDS)
 
 
 DECLARED = ("studies", "source_studies", "advises", "at", "coauth", "cites")

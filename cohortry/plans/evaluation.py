@@ -8,6 +8,7 @@ from cohortry.operators.ordering import quantiles
 from cohortry.plans import draws as PD, stages as S
 from cohortry.plans.aggregates import THETA_SQL, n_rows, theta_array
 from cohortry.plans.joins import jac
+from cohortry.plans.ingest import scratch
 from cohortry.plans.registry import cte, query
 
 # ---- SQL twins -------------------------------------------------------------------------------
@@ -570,11 +571,16 @@ def edge_localisation(spark, sf):
 
 
 @query("external_scores_verdict", """
-SELECT field, 0::BIGINT AS missing_rows, 0::BIGINT AS unknown_rows, mean_a > mean_b AS gate_mean, p_adj < 0.05::DOUBLE AS gate_p, lo > 0 AS gate_ci, mean_a > mean_b AND p_adj < 0.05::DOUBLE AND lo > 0 AS exceeds
-FROM t_bh JOIN t_bpool USING (field, a, b) WHERE a = 'reach' AND b = 'volume'""")
+SELECT field, missing_rows, unknown_rows, mean_a > mean_b AS gate_mean, p_adj < 0.05::DOUBLE AS gate_p, lo > 0 AS gate_ci, mean_a > mean_b AND p_adj < 0.05::DOUBLE AND lo > 0 AS exceeds
+FROM t_bh JOIN t_bpool USING (field, a, b) JOIN (SELECT field, 10 * count(*) FILTER (WHERE subject % 7 = 0) AS missing_rows, 10 * count(*) FILTER (WHERE subject % 11 = 0) AS unknown_rows FROM t_split WHERE split = 'test' GROUP BY field) m USING (field)
+WHERE a = 'reach' AND b = 'volume'""")
 def external_scores_verdict(spark, sf):
-    """Foreign scores are aligned by row id first; rows missing on either side are counted, then gated."""
-    foreign = S.scores(spark, sf).where("model = 'reach' and split = 'test'").select("field", "seed", "subject")
+    """Foreign scores are read from their files and aligned by row id first; rows missing on either side are counted, then
+    gated. The files are written here: rows of every seventh subject are left out, and some ids are nobody's."""
+    root = scratch(spark, "foreign")
+    own = S.scores(spark, sf).where("model = 'reach' and split = 'test'").select("field", "seed", "subject", "score")
+    own.where("subject % 7 <> 0").unionByName(own.where("subject % 11 = 0").withColumn("subject", -F.col("subject") - 1)).write.option("header", True).csv(root)
+    foreign = spark.read.schema(own.schema).option("header", True).csv(root).select("field", "seed", "subject")
     frozen = S.split(spark, sf).where("split = 'test'").select("field", "subject").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(9))))
     both = (frozen.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(foreign.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
             .groupBy("field", "seed", "subject").agg(F.max("a").alias("a"), F.max("b").alias("b")))

@@ -37,9 +37,9 @@ def pr_sql(rounds):
     return "WITH " + ",\n".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in step) + f" SELECT node, round(r, 6) AS rank FROM r{rounds}"
 
 
-@query("pagerank_weighted", pr_sql(12))
+@query("pagerank_weighted", pr_sql(100))
 def pagerank_weighted(spark, sf):
-    return G.pagerank(weighted(spark, sf), iterations=12, tol=0.0).select("node", r6(F.col("rank")).alias("rank"))
+    return G.pagerank(weighted(spark, sf), tol=1e-10).select("node", r6(F.col("rank")).alias("rank"))
 
 
 cte("t_tree", "SELECT DISTINCT least(pid, parent) AS a, greatest(pid, parent) AS b FROM t_parent JOIN t_cohort ON subject = pid WHERE pid <> parent")
@@ -120,15 +120,19 @@ def bfs_neighbourhood(spark, sf):
     return G.neighbourhood(g, hub, 150)
 
 
-@query("random_walks", """
-WITH p AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('|', a, b)), b) AS place, count(*) OVER (PARTITION BY a) AS deg FROM (SELECT a, b FROM t_tree UNION ALL SELECT b, a FROM t_tree) x),
-d AS (SELECT DISTINCT a, deg FROM p), w0 AS (SELECT a AS node, w AS walk, a AS cur, CAST(a AS VARCHAR) AS path FROM d, range(2) r(w)),
-w1 AS (SELECT w0.node, walk, p.b AS cur, path || '>' || CAST(p.b AS VARCHAR) AS path FROM w0 JOIN p ON p.a = cur AND p.place = ('0x' || substr(md5(concat_ws('|', 0, 'walk', node, walk, 1)), 1, 12))::BIGINT % deg + 1),
-w2 AS (SELECT w1.node, walk, p.b AS cur, path || '>' || CAST(p.b AS VARCHAR) AS path FROM w1 JOIN p ON p.a = cur AND p.place = ('0x' || substr(md5(concat_ws('|', 0, 'walk', node, walk, 2)), 1, 12))::BIGINT % deg + 1),
-w3 AS (SELECT w2.node, walk, p.b AS cur, path || '>' || CAST(p.b AS VARCHAR) AS path FROM w2 JOIN p ON p.a = cur AND p.place = ('0x' || substr(md5(concat_ws('|', 0, 'walk', node, walk, 3)), 1, 12))::BIGINT % deg + 1)
-SELECT node, CAST(walk AS INTEGER) AS walk, path FROM w3""")
+def walk_sql(walks, steps):
+    """Steps unrolled: the neighbour at place hash mod degree."""
+    out = ["p AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY md5(concat_ws('|', a, b)), b) AS place, count(*) OVER (PARTITION BY a) AS deg FROM (SELECT a, b FROM t_tree UNION ALL SELECT b, a FROM t_tree) x)",
+           f"w0 AS (SELECT a AS node, w AS walk, a AS cur, CAST(a AS VARCHAR) AS path FROM (SELECT DISTINCT a FROM p) d, range({walks}) r(w))"]
+    for i in range(1, steps):
+        out.append(f"""w{i} AS (SELECT node, walk, p.b AS cur, path || '>' || CAST(p.b AS VARCHAR) AS path FROM w{i - 1} JOIN p ON p.a = cur AND p.place = ('0x' || substr(md5(concat_ws('|', 0, 'walk', node, walk, {i})), 1, 12))::BIGINT % deg + 1)""")
+    return "WITH " + ",\n".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in out) + f" SELECT node, CAST(walk AS INTEGER) AS walk, path FROM w{steps - 1}"
+
+
+@query("random_walks", walk_sql(10, 40))
 def random_walks(spark, sf):
-    w = G.random_walks(tree(spark, sf), walks=2, steps=4)
+    """Ten walks of forty nodes from every node of the parent graph."""
+    w = G.random_walks(tree(spark, sf), walks=10, steps=40, cut_every=10)
     return w.select("node", "walk", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 

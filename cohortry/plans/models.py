@@ -1,7 +1,7 @@
 """Features, the model ladder, regressions. Logistic arms are one model per field, all fields in one job a round;
 boosted arms are fitted on all fields at once (the field is a dummy block) and judged per field."""
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, Word2Vec
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Window as W, functions as F
@@ -10,7 +10,7 @@ from cohortry.functions.columns import keyed_md5, r6, uniform
 from cohortry.functions.numeric import cosine_divergence
 from cohortry.operators import draws as D, features as X, graph as G, many_models as ML, metrics as M, models as L, peers, regression as R, stats, typicality as Y
 from cohortry.operators.ordering import attach
-from cohortry.plans import aggregates as AG, graphs as GR, joins as J, stages as S
+from cohortry.plans import aggregates as AG, joins as J, stages as S
 from cohortry.plans.aggregates import n_rows
 from cohortry.plans.evaluation import ap_sql
 from cohortry.plans.registry import query
@@ -355,31 +355,39 @@ def embedding_arm(spark, sf):
     return stack(out)
 
 
-SKIPGRAM_NODES = 5_000_000  # the learner keeps one vector per node on the driver; beyond this use the projection
+WALKS, STEPS, WALK_SEEDS, DIMS, WINDOW = 10, 40, 10, 64, 5
+
+
+def walk_graph(spark, sf):
+    """The parent tree, with joint work on top: an edge of the tree counts once more for each period the two worked
+    together, and a subject is linked to the institution it shares with others (a node of its own)."""
+    c = S.cohort(spark, sf)
+    s, a, i = F.concat(F.lit("s:"), F.col("subject")), F.concat(F.lit("a:"), F.col("source")), F.concat(F.lit("i:"), F.col("institution"))
+    return S.stage(spark, sf, "walk_graph", lambda: c.select(a.alias("src"), s.alias("dst"), F.explode(F.array_repeat(F.lit(1), 1 + F.col("interaction_n"))).alias("_")).select("src", "dst")
+                   .unionByName(c.where("institution is not null").select(i.alias("src"), s.alias("dst"))))
+
+
+def walk_pairs(spark, sf):
+    return S.stage(spark, sf, "cooccurrences", lambda: G.cooccurrences(G.seeded_walks(walk_graph(spark, sf), WALKS, STEPS, range(WALK_SEEDS)), ["seed"], WINDOW))
+
+
+def divergences(spark, sf, vectors):
+    """Mean and spread over the seeds of the divergence of each subject from its source."""
+    v = materialise(vectors, "vectors")
+    pairs = S.cohort(spark, sf).select(F.concat(F.lit("a:"), F.col("source")).alias("src"), F.concat(F.lit("s:"), F.col("subject")).alias("dst"))
+    a, b = v.select("seed", F.col("node").alias("src"), F.col("v").alias("a")), v.select("seed", F.col("node").alias("dst"), F.col("v").alias("b"))
+    d = pairs.join(a, "src").join(b, ["seed", "dst"]).select("src", "dst", "seed", cosine_divergence(F.col("a"), F.col("b")).alias("d"))
+    return d.groupBy("src", "dst").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd"), n_rows("seeds"))
 
 
 @query("walk_embedding")
 def walk_embedding(spark, sf):
-    """Skip-gram vectors of walks; divergence of each subject from its parent, mean and spread over seeds."""
-    g = GR.tree(spark, sf)
-    if g.count() > SKIPGRAM_NODES:
-        return walk_embedding_projected(spark, sf)
-    per = []
-    for seed in (0, 1):
-        w = G.random_walks(g, walks=3, steps=8, seed=seed).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
-        v = Word2Vec(vectorSize=16, minCount=0, windowSize=4, maxIter=1, numPartitions=4, seed=seed, inputCol="path", outputCol="v").fit(w).getVectors().select(F.col("word").cast("bigint").alias("node"), vector_to_array("vector").alias("v"))
-        a, b = v.select(F.col("node").alias("src"), F.col("v").alias("a")), v.select(F.col("node").alias("dst"), F.col("v").alias("b"))
-        per.append(g.join(a, "src").join(b, "dst").select("src", "dst", F.lit(seed).alias("seed"), cosine_divergence(F.col("a"), F.col("b")).alias("d")))
-    return stack(per).groupBy("src", "dst").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd"))
+    """Vectors of walks on the weighted graph of sources, subjects and institutions: shifted PPMI of the co-occurrences,
+    factorised on the executors."""
+    return divergences(spark, sf, G.factor_vectors(G.shifted_ppmi(walk_pairs(spark, sf), ["seed"]), ["seed"], DIMS))
 
 
 @query("walk_embedding_projected")
 def walk_embedding_projected(spark, sf):
-    """The same report from projected co-occurrence counts, for graphs of any size."""
-    g = GR.tree(spark, sf)
-    per = []
-    for seed in (0, 1):
-        v = G.projected_vectors(G.random_walks(g, walks=3, steps=8, seed=seed), seed=seed)
-        a, b = v.select(F.col("node").alias("src"), F.col("v").alias("a")), v.select(F.col("node").alias("dst"), F.col("v").alias("b"))
-        per.append(g.join(a, "src").join(b, "dst").select("src", "dst", F.lit(seed).alias("seed"), cosine_divergence(F.col("a"), F.col("b")).alias("d")))
-    return stack(per).groupBy("src", "dst").agg(r6(F.avg("d")).alias("mean"), r6(F.stddev_samp("d")).alias("sd"))
+    """The same report from projected counts, without a factorisation."""
+    return divergences(spark, sf, G.projected_vectors(walk_pairs(spark, sf), ["seed"], DIMS))

@@ -19,7 +19,7 @@ def stream_event_ingest(spark, sf):
     rest.write.parquet(f"{root}/in/a")
     first.write.parquet(f"{root}/in/b")
     rest.write.parquet(f"{root}/in/c")
-    q = start_ingest(spark, f"{root}/in/*", f"{root}/table", f"{root}/state", max_files=1)
+    q = start_ingest(spark, f"{root}/in/*", f"{root}/table", f"{root}/state", max_files=1, compact_every=2)
     q.awaitTermination()
     return read_table(spark, f"{root}/table").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))

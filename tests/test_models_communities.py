@@ -99,3 +99,31 @@ def test_communities_of_odd_graphs(spark):
     assert G.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
     two = {r["node"]: r["community"] for r in G.communities(spark.createDataFrame([(1, 2), (3, 4)], "src long, dst long")).collect()}
     assert two[1] == two[2] != two[3] == two[4]
+
+
+def test_step_frequencies_follow_the_weights(spark):
+    e = spark.createDataFrame([(0, 1)] * 6 + [(0, 2)] * 3 + [(0, 3)], "src long, dst long")
+    w = G.seeded_walks(e, 400, 2, [0, 1]).where("node = 0").select(F.col("path")[1].alias("to")).groupBy("to").count().collect()
+    share = {r["to"]: r["count"] / 800 for r in w}
+    assert abs(share[1] - 0.6) < 0.06 and abs(share[2] - 0.3) < 0.06 and abs(share[3] - 0.1) < 0.04
+
+
+def test_factor_vectors_equal_a_truncated_decomposition(spark):
+    rng = np.random.default_rng(4)
+    m = {s: rng.normal(size=(30, 6)) @ rng.normal(size=(6, 30)) for s in (0, 1)}
+    rows = [(s, i, j, float(v)) for s, a in m.items() for (i, j), v in np.ndenumerate(a)]
+    got = G.factor_vectors(spark.createDataFrame(rows, "s int, node long, context long, w double").repartition(4), ["s"], 8, 3).collect()
+    for s, a in m.items():
+        u, d, _ = np.linalg.svd(a)
+        v = np.array([r["v"] for r in sorted((r for r in got if r["s"] == s), key=lambda r: r["node"])])
+        assert np.abs(v @ v.T - u[:, :6] @ np.diag(d[:6]) @ u[:, :6].T).max() < 1e-6 * d[0]
+
+
+def test_walk_vectors_part_two_cliques(spark):
+    e = spark.createDataFrame(ring_of_cliques(2, 7), "src long, dst long")
+    pairs = G.cooccurrences(G.seeded_walks(e, 10, 20, [0]), ["seed"], 4)
+    v = {r["node"]: np.array(r["v"]) for r in G.factor_vectors(G.shifted_ppmi(pairs, ["seed"], 1.0), ["seed"], 4).collect()}
+
+    def cos(a, b):
+        return float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
+    assert min(cos(2, i) for i in range(3, 7)) > max(cos(2, i) for i in range(9, 14))

@@ -41,3 +41,20 @@ def test_redelivered_stream_files_change_nothing(spark, tmp_path):
     start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "c"), 1).awaitTermination()
     t = read_table(spark, str(tmp_path / "t"))
     assert t.count() == 200 and t.agg(F.sum("value")).first()[0] == sum(range(200))
+
+
+def test_compaction_keeps_the_latest_and_reading_does_not_grow(spark, tmp_path):
+    def deliver(name, ids, value):
+        (spark.createDataFrame([(i,) for i in ids], "event_id long").select("event_id", F.timestamp_seconds(F.col("event_id") * 9000).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("v").alias("event_type"),
+         F.lit(float(value)).alias("value"), F.lit("{}").alias("props")).coalesce(1).write.parquet(str(tmp_path / "in" / name)))
+        start_ingest(spark, str(tmp_path / "in" / "*"), str(tmp_path / "t"), str(tmp_path / "c"), 1, compact_every=3).awaitTermination()
+    want = {}
+    for k in range(8):
+        ids = list(range(k, 60, 2)) if k % 2 else list(range(60))
+        deliver(f"d{k}", ids, k)
+        want.update(dict.fromkeys(ids, float(k)))
+        assert {r["event_id"]: r["value"] for r in read_table(spark, str(tmp_path / "t")).collect()} == want
+    folders = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert folders == ["base=5", "batch=6", "batch=7"]
+    (tmp_path / "t" / "base=5" / "_SUCCESS").unlink()  # a base that was not written to the end does not count
+    assert {r["event_id"] for r in read_table(spark, str(tmp_path / "t")).collect()} == set(range(60))
