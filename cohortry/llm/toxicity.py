@@ -24,7 +24,7 @@ SAMPLE = 5_000           # labelled documents a model is fitted on, at most
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 112_640
 LEVEL = 6
 CONTRAST = 20.0          # how much likelier in toxic than in ordinary documents what the toxic dictionary is trained on
-HELD = 400_000            # windows whose difference a worker remembers
+HELD = 1_000_000          # windows whose difference a worker remembers
 FOLDS = 3                # pairs of dictionaries: each is calibrated on the third of the documents that it has not seen
 
 # Padding that both dictionaries hold: the compressor leaves short inputs and the last bytes of any input alone.
@@ -56,33 +56,41 @@ class Meter:
     it is not compressed again."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.by_toxic, self.by_ordinary, self.known = _compressor(toxic), _compressor(ordinary), {}
+        self.by_toxic, self.by_ordinary = _compressor(toxic), _compressor(ordinary)
         strange = bytes(random.Random(3).choices(range(1, 32), k=12))
         self.frame = len(self.by_toxic.compress(b"%s %s %s" % (_HEAD, strange, _TAIL))) - len(strange)
 
-    def difference(self, window: str) -> int:
-        d = self.known.get(window)
-        if d is None:
-            if len(self.known) >= HELD:
-                self.known.clear()
-            w = window.encode("utf-8", "surrogatepass")
-            b = b"%s %s %s" % (_HEAD, w, _TAIL)
-            n = len(self.by_toxic.compress(b))
-            d = self.known[window] = max(0, len(self.by_ordinary.compress(b)) - n) if n < len(w) + self.frame else 0
+    def difference(self, window: bytes) -> int:
+        b = b"%s %s %s" % (_HEAD, window, _TAIL)
+        n = len(self.by_toxic.compress(b))
+        return max(0, len(self.by_ordinary.compress(b)) - n) if n < len(window) + self.frame else 0
+
+
+class Meters:
+    """Several meters over the same windows; the differences of a window are remembered together."""
+
+    def __init__(self, meters: list[Meter]):
+        self.meters, self.known = meters, {}
+
+    def differences(self, window: str) -> tuple:
+        if len(self.known) >= HELD:
+            self.known.clear()
+        w = window.encode("utf-8", "surrogatepass")
+        d = self.known[window] = tuple(m.difference(w) for m in self.meters)
         return d
 
-    def figures(self, text: str) -> list[float]:
-        """Largest differences, and how often they occur. The four largest differ between windows, so one
-        word said often counts once among them."""
-        words = windows(text)
-        if not words:
-            return [0.0] * 7
-        kinds = Counter(words)
-        d = np.array([self.difference(w) for w in kinds], float)
-        n = np.array(list(kinds.values()), float)
-        top = np.sort(d)[::-1][:4]
-        share = [float(n[d >= k].sum() / n.sum()) for k in (1, 2, 3)]
-        return [float(top[0]), float(top[:2].mean()), float(top.mean()), share[0], share[1] ** 0.5, share[2] ** 0.5, float(np.log1p(n[d >= 2].sum()))]
+    def figures(self, text: str) -> np.ndarray:
+        """A row per meter: the largest differences, and how often they occur. The four largest differ between
+        windows, so one word said often counts once among them."""
+        kinds = Counter(windows(text))
+        if not kinds:
+            return np.zeros((len(self.meters), 7))
+        known = self.known
+        d = np.array([known.get(w) or self.differences(w) for w in kinds], float)
+        n = np.fromiter(kinds.values(), float, len(kinds))
+        top = np.sort(d, axis=0)[::-1][:4]
+        share = [n @ (d >= k) / n.sum() for k in (1, 2, 3)]
+        return np.column_stack([top[0], top[:2].mean(axis=0), top.mean(axis=0), share[0], share[1] ** 0.5, share[2] ** 0.5, np.log1p(n @ (d >= 2))])
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -130,8 +138,8 @@ def _part(fit: list[tuple[str, bool]], rest: list[tuple[str, bool]]) -> Part | N
     ordinary_words = [w for t, y in fit if not y for w in windows(t) if rng.random() < share]
     rng.shuffle(ordinary_words)
     first, second = _dictionary(toxic_words, TOXIC_BYTES, rng), _dictionary(ordinary_words[:200_000], ORDINARY_BYTES, rng)
-    meter = Meter(first, second)
-    x = np.array([meter.figures(t) for t, _ in rest])
+    meters = Meters([Meter(first, second)])
+    x = np.array([meters.figures(t)[0] for t, _ in rest])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     w = _logistic(np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.array([y for _, y in rest], float))
     return Part(first, second, tuple(mean), tuple(scale), tuple(w))
@@ -165,16 +173,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
 
 
 @lru_cache(maxsize=2)
-def _meters(m: Model) -> list[Meter]:
+def _meters(m: Model) -> Meters:
     """The meters of a model, once per worker process."""
-    return [Meter(p.toxic, p.ordinary) for p in m.parts]
+    return Meters([Meter(p.toxic, p.ordinary) for p in m.parts])
 
 
-def _logits(m: Model, meters: list[Meter], texts: list[str]) -> np.ndarray:
+def _logits(m: Model, meters: Meters, texts: list[str]) -> np.ndarray:
+    x = np.array([meters.figures(t) for t in texts]).reshape(len(texts), len(m.parts), 7)
     total = np.zeros(len(texts))
-    for part, meter in zip(m.parts, meters):
-        x = (np.array([meter.figures(t) for t in texts]).reshape(len(texts), len(part.mean)) - part.mean) / part.scale
-        total += x @ np.array(part.weights[:-1]) + part.weights[-1]
+    for i, part in enumerate(m.parts):
+        total += (x[:, i] - part.mean) / part.scale @ np.array(part.weights[:-1]) + part.weights[-1]
     return total / len(m.parts)
 
 
