@@ -382,9 +382,9 @@ def divergences(spark, sf, vectors):
 
 @query("walk_embedding")
 def walk_embedding(spark, sf):
-    """Vectors of walks on the weighted graph of sources, subjects and institutions: shifted PPMI of the co-occurrences,
+    """Vectors of walks on the weighted graph of sources, subjects and institutions: PPMI of the co-occurrences (no shift, so that no node is without weight),
     factorised on the executors."""
-    return divergences(spark, sf, G.factor_vectors(G.shifted_ppmi(walk_pairs(spark, sf), ["seed"]), ["seed"], DIMS))
+    return divergences(spark, sf, G.factor_vectors(G.shifted_ppmi(walk_pairs(spark, sf), ["seed"], negatives=1.0), ["seed"], DIMS))
 
 
 @query("walk_embedding_projected")
