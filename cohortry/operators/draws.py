@@ -144,6 +144,21 @@ def split_rolling(rows: DataFrame, origins: DataFrame, group: Sequence[str], tim
     return j.withColumn("split", fold).where(F.col("split").isNotNull())
 
 
+def bootstrap_weights(rows: DataFrame, group: Sequence[str], key: str, draws: int, salt: str = "boot") -> DataFrame:
+    """(group, draw, key, weight): n picks with replacement per draw, as counts.
+
+    Every row stands for one pick slot of each draw and names the row at place ``hash mod n``. The
+    weights depend on the key only, so all models and seeds share one resample. It shuffles rows times draws: for many
+    draws use ``resample_weights``.
+    """
+    g = list(group)
+    r = hash_rank(rows.select(*g, key).distinct().withColumn("_h", keyed_md5(salt, F.col(key))), g, "_h", [key], "_pos", size="_n")
+    slots = r.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = slots.select(*g, "draw", (F.pmod(hash_int(keyed_md5(F.col("draw"), salt, F.col(key))), F.col("_n")) + 1).alias("_pos"))
+    return (picks.groupBy(*g, "draw", "_pos").agg(F.count(F.lit(1)).alias("weight"))
+            .join(r.select(*g, "_pos", key), [*g, "_pos"]).select(*g, "draw", key, "weight"))
+
+
 #: Bounds of the Poisson(1) distribution in 32 bits: a draw's weight is the number of them that its key reaches.
 POISSON = [round(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 

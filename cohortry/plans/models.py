@@ -1,5 +1,6 @@
 """Features, the model ladder, regressions. Logistic arms are one model per field, all fields in one job a round;
-boosted arms are fitted on all fields at once (the field is a dummy block) and judged per field."""
+boosted arms are fitted on all fields at once (the field is a dummy block) and judged per field, but for ``ladder_gbt_seeds``, which
+fits one model per field and seed."""
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -8,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 
 from cohortry.functions.columns import keyed_md5, r6, uniform
 from cohortry.functions.numeric import cosine_divergence
-from cohortry.operators import draws as D, features as X, graph as G, many_models as ML, metrics as M, models as L, peers, regression as R, stats, typicality as Y
+from cohortry.operators import boosting as B, draws as D, features as X, graph as G, many_models as ML, metrics as M, models as L, peers, regression as R, stats, typicality as Y
 from cohortry.operators.ordering import attach
 from cohortry.plans import aggregates as AG, joins as J, stages as S
 from cohortry.plans.aggregates import n_rows
@@ -92,6 +93,13 @@ def logit_arm(spark, sf, arm, columns, c=1.0, text=()):
     return judged(logit_scores(spark, sf, columns, c, text).withColumn("score", F.round("score", 12)), arm)
 
 
+def fitted_trees(spark, sf, columns, label="y"):
+    """Rows for boosting, their width, and one model per field and seed: a seed watches its own 15 % of the training rows."""
+    rows, width = logit_rows(spark, sf, columns)
+    train = rows.where("split = 'train'").select("grp", F.col(label).cast("double").alias("y"), "x", ML.parts_of("subject", S.SEEDS).alias("members"))
+    return rows, width, B.fit_boosted(materialise(train, "boosted_rows"), width, ROUNDS)
+
+
 def gbt_arm(spark, sf, arm, columns, seed=0):
     rows = ready(spark, sf, columns)
     m = L.fit_gbt(rows.where("split = 'train'"), "subject", seed, max_iter=ROUNDS)
@@ -180,6 +188,14 @@ def ladder_gbt(spark, sf):
     return gbt_arm(spark, sf, "M3", BASE)
 
 
+@query("ladder_gbt_seeds")
+def ladder_gbt_seeds(spark, sf):
+    """The boosted arm as one model per field and seed, all fifty in one job a level: average precision of each."""
+    rows, width, model = fitted_trees(spark, sf, BASE)
+    score = B.boosted_scores(rows.where("split = 'test'"), model, KEEP, width).withColumn("score", F.round("score", 12))
+    return M.average_precision(score, ["field", "part"]).select(F.lit("M3").alias("arm"), "field", F.col("part").alias("seed"), r6(F.col("ap")).alias("ap"))
+
+
 @query("ladder_text_logit")
 def ladder_text_logit(spark, sf):
     return logit_arm(spark, sf, "M4", BASE, 0.5, ("early_tags", "source_tags"))
