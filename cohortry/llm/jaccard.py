@@ -159,7 +159,7 @@ def tiles_of(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _cells(tiles: DataFrame, comp: DataFrame | None, first: bool, most: int) -> DataFrame:
-    """(h, band, slice, own, name, n, comp, drives): what is to be compared, and who looks for partners. Tiles whose texts are all of one component are
+    """(h, band, slice, partly, own, name, n, comp, drives): what is to be compared, and who looks for partners. Tiles whose texts are all of one component are
     left out. A tile of more than ``most`` texts is cut into slices by hash; the texts outside its largest component visit
     all slices, those inside stay at home: among them nothing is left to find. The first round has no visits."""
     rows = tiles if comp is None else tiles.join(comp.select(F.col("node").alias("name"), "component"), "name", "left")
@@ -170,18 +170,21 @@ def _cells(tiles: DataFrame, comp: DataFrame | None, first: bool, most: int) ->
     home = F.pmod(F.xxhash64("name"), F.col("slices")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("slices") - 1)
     where = F.array(home) if first else F.when(F.col("comp") == F.col("large"), F.array(home)).otherwise(everywhere)
-    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), "own", "name", "n", "comp", (F.lit(True) if first else F.col("comp") != F.col("large")).alias("drives"))
+    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), (F.lit(first) & (F.col("slices") > 1)).alias("partly"), "own", "name", "n", "comp", (F.lit(True) if first else F.col("comp") != F.col("large")).alias("drives"))
 
 
-def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: int) -> DataFrame:
-    """(a, b): pairs of different components whose bitmaps allow the wanted overlap: for each text that looks for partners
+def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: int, first: bool) -> DataFrame:
+    """(a, b, score): pairs of different components whose bitmaps allow the wanted overlap: for each text a that looks for partners
     at most ``limit`` in a slice of a tile, those nearest in size first, smaller ones before larger ones. Texts of a tile's largest
-    component need not look: whoever is outside looks for them."""
-    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig", "drives")
+    component need not look: whoever is outside looks for them. Rows without a pair name the tiles (h, band) that have to be looked
+    at again: where the limit was met or slices had no visits, and in the first round, which tests one partner of a text, where any was found."""
+    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig", "drives", "partly")
     dealt = rows.repartition("h", "band", "slice").sortWithinPartitions("h", "band", "slice", "n", "name")
 
-    def cell(part: pa.Table, out: set):
-        m = part.num_rows
+    def cell(part: pa.Table, out: dict):
+        m, tile = part.num_rows, (part.column("h")[0].as_py(), part.column("band")[0].as_py())
+        if part.column("partly")[0].as_py():
+            out[tile] = None
         own, drives, n = part.column("own").to_numpy(), part.column("drives").to_numpy(), part.column("n").to_numpy().astype(np.int64)
         if m < 2 or not own.any() or not drives.any():
             return
@@ -190,22 +193,26 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
         width = min(map(len, sigs))
         bits = np.stack([folded(s, width) for s in sigs])
 
-        def partners(i: int, at: np.ndarray) -> np.ndarray:
+        def partners(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at = at[comp[at] != comp[i]]
             more_i, more_j = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1, dtype=np.int64), np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1, dtype=np.int64)
             bound = np.minimum(n[i] - more_i, n[at] - more_j)
-            return at[bound * (100 + percent) >= percent * (n[i] + n[at])]
+            share = bound / (n[i] + n[at])
+            good = bound * (100 + percent) >= percent * (n[i] + n[at])
+            return at[good], share[good]
         for i in np.flatnonzero(drives).tolist():
             found = 0
             low, high = int(np.searchsorted(n, -(-percent * int(n[i]) // 100))), int(np.searchsorted(n, 100 * int(n[i]) // percent, side="right"))
             below = [np.arange(max(low, e - STEP), e)[::-1] for e in range(i, low, -STEP)] if own[i] else []
             above = [np.arange(b, min(high, b + STEP)) for b in range(i + 1, high, STEP)]
             for at in [*below, *above]:
-                near = partners(i, at if at[0] < i else at[own[at]])
+                near, share = partners(i, at if at[0] < i else at[own[at]])
                 if limit is not None:
-                    near = near[: limit - found]
-                out.update((names[min(i, j)], names[max(i, j)]) for j in near.tolist())
+                    near, share = near[: limit - found], share[: limit - found]
+                out.update(((names[i], names[j]), v) for j, v in zip(near.tolist(), share.tolist()))
                 found += len(near)
+                if found == limit or first and found:
+                    out[tile] = None
                 if found == limit:
                     break
 
@@ -214,7 +221,7 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
         for batch in batches:
             at = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
-            out: set = set()
+            out: dict = {}
             for s, e in zip(cuts, cuts[1:]):
                 if e > s:
                     if now is not None and now != tuple(at[s]):
@@ -225,10 +232,10 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
             if out:
                 yield _pairs(out)
         if held:
-            cell(pa.Table.from_batches(held), out := set())
+            cell(pa.Table.from_batches(held), out := {})
             if out:
                 yield _pairs(out)
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary, score double, h long, band int")
 
 
 def folded(sig: bytes, width: int) -> np.ndarray:
@@ -239,9 +246,10 @@ def folded(sig: bytes, width: int) -> np.ndarray:
     return bits
 
 
-def _pairs(out) -> pa.RecordBatch:
-    a, b = zip(*out)
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+def _pairs(out: dict) -> pa.RecordBatch:
+    rows = [(*k, v, None, None) if v is not None else (None, None, None, *k) for k, v in out.items()]
+    kinds = (("a", pa.binary()), ("b", pa.binary()), ("score", pa.float64()), ("h", pa.int64()), ("band", pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[k for k, _ in kinds])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -296,7 +304,12 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
     sigs = materialise(heads.select("name", "sig").join(tiles.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("sig").alias("sig")), "signatures")
     links = tested = near = bodies = None
     for i, limit in enumerate(LIMITS):
-        pairs = _candidates(_cells(tiles, near, i == 0, most), sigs, limit, percent)
+        found = materialise(_candidates(_cells(tiles, near, i == 0, most), sigs, limit, percent, i == 0), "candidates")
+        tiles = tiles.join(found.where("a is null").select("h", "band").distinct(), ["h", "band"], "left_semi")
+        pairs = found.where("a is not null")
+        if i == 0:  # the most promising partner of each text alone
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
