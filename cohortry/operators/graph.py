@@ -44,7 +44,8 @@ def weighted_edges(rows: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.85, tol: float = 1e-6) -> DataFrame:
     """Weighted rank with the mass of sinks spread evenly. Each round reads the ranks three times
     (along edges, at sinks, as they were), so it is written to the shared folder: a round then costs
-    one pass and no round before it. Stops when the total change is below n * tol."""
+    one pass and no round before it. Stops when the total change is below n * tol; with ``tol`` 0 all
+    ``iterations`` are made."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("_t"))
     share = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_t")).alias("share")), "share")
     names = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -57,7 +58,7 @@ def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.85, tol:
         rank = (attach(rank.join(came, rank.node == came.dst, "left").select("node", "sink", F.col("rank").alias("before"), "came"), lost, [])
                 .select("before", "node", "sink", (F.lit(alpha) * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n) + F.lit((1 - alpha) / n)).alias("rank")))
         rank = materialise(rank, f"rank{i}")
-        if rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tol:
+        if tol and rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < n * tol:
             break
     return rank.select("node", "rank")
 

@@ -51,3 +51,22 @@ def test_pagerank_sums_to_one_and_modularity_of_two_cliques(spark):
     assert stats.modularity(spark.createDataFrame(tri, "src long, dst long"), lab).first()["q"] == 0.5
     q = stats.modularity(spark.createDataFrame(tri + [(3, 4)], "src long, dst long"), G.communities(spark.createDataFrame(tri + [(3, 4)], "src long, dst long")))
     assert abs(q.first()["q"] - (6 / 7 - 0.5)) < 1e-9  # the two triangles
+
+
+def test_pagerank_makes_all_rounds_without_a_tolerance(spark):
+    """A chain with a way back settles slowly: a stop on the change ends before the last round."""
+    e = [(i, i + 1, 1.0) for i in range(12)] + [(i + 1, i, 3.0) for i in range(12)]
+    total = {}
+    for a, _, w in e:
+        total[a] = total.get(a, 0.0) + w
+    rank = dict.fromkeys(range(13), 1 / 13)
+    for _ in range(30):
+        came = dict.fromkeys(rank, 0.0)
+        for a, b, w in e:
+            came[b] += rank[a] * w / total[a]
+        rank = {n: 0.85 * c + 0.15 / 13 for n, c in came.items()}
+    df = spark.createDataFrame(e, "src long, dst long, weight double")
+    got = {r["node"]: r["rank"] for r in G.pagerank(df, iterations=30, tol=0.0).collect()}
+    assert all(abs(got[n] - rank[n]) < 1e-14 for n in rank)
+    early = {r["node"]: r["rank"] for r in G.pagerank(df, iterations=30, tol=1e-2).collect()}
+    assert any(abs(early[n] - rank[n]) > 1e-6 for n in rank)
