@@ -1,11 +1,13 @@
 """The two-level kernels against plain Python on skewed groups (one group holds most rows)."""
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortry.operators.ordering import average_ranks, cumulate, first_by, hash_rank, quantiles, top_k
+from cohortry.operators.draws import permute_seeds, random_assignment_null
+from cohortry.operators.ordering import average_ranks, bucket_digits, cumulate, first_by, hash_rank, quantiles, top_k
 
 
 def skewed(spark, n=400):
@@ -56,3 +58,31 @@ def test_first_by_and_top_k(spark):
     small = top_k(df, ["g"], [F.col("v").desc(), F.col("id")], 3)
     assert small.count() == 9
     assert "WindowGroupLimit" in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hash_rank_with_digits_by_group_is_never_broadcast(spark):
+    df = spark.range(9000).selectExpr("CASE WHEN id < 8000 THEN 'large' WHEN id < 8990 THEN 'mid' ELSE concat('s', id) END AS g", "id").withColumn("h", F.md5(F.col("id").cast("string")))
+    n = df.groupBy("g").agg(bucket_digits(F.count(F.lit(1))).alias("d"))
+    ranked = hash_rank(df.join(n, "g"), ["g"], "h", ["id"], hex_digits="d")
+    got = {r["id"]: r["rn"] for r in ranked.collect()}
+    want = {r["id"]: r["rn"] for r in df.selectExpr("id", "row_number() over (partition by g order by h, id) AS rn").collect()}
+    assert got == want and "d" not in ranked.columns
+    plain = hash_rank(df, ["g"], "h", ["id"])
+    assert "Broadcast" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_permutations_keep_their_draws(spark):
+    rows = spark.range(5000).selectExpr("id AS subject", "id % 7 AS source", "id % 3 AS cell")
+    deal = {(r["draw"], r["subject"]): r["source"] for r in random_assignment_null(rows, "subject", "source", 2).collect()}
+    moved = {(r["seed"], r["subject"]): r["moved"] for r in permute_seeds(rows, ["cell"], "subject", "source", 2, "moved").collect()}
+    assert len(deal) == len(moved) == 10000
+    data = [(r["subject"], r["source"], r["cell"]) for r in rows.collect()]
+    for d in range(2):
+        def order(side, salt, some):
+            return sorted(some, key=lambda r: (hashlib.md5(f"{d}|{salt}|{side}|{r[0]}".encode()).hexdigest(), r[0]))
+        for a, b in zip(order("to", "deal", data), order("from", "deal", data)):
+            assert deal[d, a[0]] == b[1]
+        for c in range(3):
+            some = [r for r in data if r[2] == c]
+            for a, b in zip(order("to", "permute", some), order("from", "permute", some)):
+                assert moved[d, a[0]] == b[1]
