@@ -1,8 +1,10 @@
-"""Near-duplicate paragraphs: MinHash bands, exact Jaccard on what collides, components, removal."""
+"""Near-duplicate paragraphs: MinHash bands, exact Jaccard on what collides, components, removal; and passages that
+repeat anywhere in the texts, found by the local minima of shingle hashes."""
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from itertools import repeat
 
 import numpy as np
@@ -16,6 +18,9 @@ SHINGLE = 5
 ROWS = 4
 LEAST_WORDS = 30
 MOST = 2000  # paragraphs one task compares with each other at a time
+SPAN = 40  # words of a passage under test
+REACH = 2  # a passage begins where a shingle's hash is the smallest of so many on either side
+ANCHOR = 3  # words of such a shingle
 
 
 def tune_bands(similarity: float, recall: float = 0.999, rows: int = ROWS) -> int:
@@ -191,3 +196,61 @@ def remove(docs: DataFrame, similarity: float = 0.8, least: int = LEAST_WORDS) -
     both = docs.withColumn("__row", row_key()).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__row") == F.col("__r")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return both.select(*[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
+def anchors(words: list[bytes]) -> list[int]:
+    """Places of the words where a passage under test begins: the shingle of ANCHOR words there has the smallest hash
+    within REACH places. The choice depends on the words around alone, so a repeated run of 51 words has such a place in
+    its first 12 but for rare cases, whatever stands before it and however its lines are broken."""
+    n = len(words) - ANCHOR + 1
+    if len(words) < SPAN:
+        return []
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(7)), np.uint64, len(words))
+    h = ids[:n].copy()
+    for j in range(1, ANCHOR):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[j:n + j]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(30)
+    low, edge = h.copy(), np.uint64(2**64 - 1)
+    for j in range(1, REACH + 1):
+        low[j:] = np.minimum(low[j:], h[:-j] if n > j else edge)
+        low[:-j] = np.minimum(low[:-j], h[j:] if n > j else edge)
+    return np.flatnonzero(h[:len(words) - SPAN + 1] == low[:len(words) - SPAN + 1]).tolist()
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, paragraph, word, n_words, cluster_id, cluster_size, kept): the passages of SPAN words, across lines and
+    inside them, that stand in more than one document; ``paragraph`` is the line and ``word`` the place where it
+    begins, the first of a cluster by id, then place, is kept. A passage counts once in a document. Equal means equal
+    words with A-Z lower-cased, by a hash of 128 bits. Passages that occur once are left out by a map of fixed size."""
+    spark = docs.sparkSession
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("row", "paragraph", "word", "h", "g")]])
+
+    def make():
+        def work(part, texts):
+            rows = []
+            for d, r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
+                words, starts, held = [], [], set()
+                for line in t.encode("utf-8", "surrogatepass").lower().split(b"\n"):
+                    starts.append(len(words))
+                    words += line.split()
+                for at in anchors(words):
+                    name = xxhash.xxh3_128_digest(b" ".join(words[at:at + SPAN]))
+                    if name not in held:
+                        held.add(name)
+                        rows.append((d, r, bisect_right(starts, at) - 1, at, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
+            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+        return work
+    rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    found = materialise(per_slice(rows, "text", out, make), "passages")
+    place = F.struct("doc_id", "row", "word")
+    shared = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max(F.struct("doc_id", "row")).alias("_last"))
+    shared = materialise(shared.where("NOT (struct(first.doc_id AS doc_id, first.row AS row) <=> _last)").drop("_last"), "repeated")
+    marks = spark.sparkContext.broadcast(bit_map(shared, F.col("h")))
+
+    def marked(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marks.value.have(batch.column(4).to_numpy())))
+    name = F.lower(F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("g"), 16, "0")))
+    return found.mapInArrow(marked, out).join(shared, ["h", "g"]).select(
+        "doc_id", "row", "paragraph", "word", F.lit(SPAN).cast("long").alias("n_words"), name.alias("cluster_id"), "cluster_size", place.eqNullSafe(F.col("first")).alias("kept"))

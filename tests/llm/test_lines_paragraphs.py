@@ -123,3 +123,35 @@ def test_bands_reach_the_recall():
 def test_text_digest_of_untouched(docs):
     got = {r.doc_id: r.text_sha256 for r in linedup.report(docs).collect()}
     assert got[3] == hashlib.sha256(b"").hexdigest() and got[2] is None
+
+
+def test_passages_are_found_across_and_inside_lines(spark):
+    """A run of 51 words that two texts share is found wherever it begins and however its lines are broken."""
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, sharing = [], set()
+    for g in range(60):
+        run = words(51)
+        for k in range(2):
+            body = words(rng.randrange(5, 90)) + run + words(rng.randrange(5, 90))
+            width = rng.randrange(7, 29) if (g + k) % 2 else 1000
+            rows.append((2 * g + k, "\n".join(" ".join(body[i:i + width]) for i in range(0, len(body), width)).replace("w1", "W1" if k else "w1")))
+            sharing.add(2 * g + k)
+    rows += [(1000 + i, " ".join(words(200))) for i in range(80)] + [(2000, None), (2001, ""), (2002, "of " * 60), (2003, "A b " + "of " * 60), (2004, " ".join(["x", *words(60)] * 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = paragraphs.passages(df).collect()
+    found = {r["doc_id"] for r in got}
+    assert len(found & sharing) >= 0.97 * len(sharing) and found - sharing == {2002, 2003}
+    texts = {d: t for d, t in rows}
+    named = {}
+    for r in got:
+        body = texts[r["doc_id"]].lower().split()
+        named.setdefault(r["cluster_id"], []).append((r["doc_id"], r["word"], body[r["word"]:r["word"] + paragraphs.SPAN], r["kept"], r["cluster_size"]))
+        line = texts[r["doc_id"]].split("\n")[r["paragraph"]].lower().split()
+        assert line and line[0] in body and body[r["word"]] in line
+    for some in named.values():
+        assert len({d for d, *_ in some}) == len(some) == some[0][4] >= 2 and len({tuple(w) for _, _, w, _, _ in some}) == 1
+        assert [d for d, _, _, kept, _ in some if kept] == [min(d for d, *_ in some)]
+    assert not paragraphs.clusters(df).where("doc_id < 1000").collect()
