@@ -243,14 +243,16 @@ def passages(docs: DataFrame) -> DataFrame:
         return work
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
     found = materialise(per_slice(rows, "text", out, make), "passages")
-    place = F.struct("doc_id", "row", "word")
-    shared = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max(F.struct("doc_id", "row")).alias("_last"))
-    shared = materialise(shared.where("NOT (struct(first.doc_id AS doc_id, first.row AS row) <=> _last)").drop("_last"), "repeated")
-    marks = spark.sparkContext.broadcast(bit_map(shared, F.col("h")))
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = spark.sparkContext.broadcast(bit_map(twice, F.col("h")))
 
     def marked(batches):
         for batch in batches:
             yield batch.filter(pa.array(marks.value.have(batch.column(4).to_numpy())))
+    some = found.mapInArrow(marked, out)
+    place = F.struct("doc_id", "row", "word")
+    shared = some.groupBy("h", "g").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"), F.max(F.struct("doc_id", "row")).alias("_last"))
+    shared = shared.where("NOT (struct(first.doc_id AS doc_id, first.row AS row) <=> _last)").drop("_last")
     name = F.lower(F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("g"), 16, "0")))
-    return found.mapInArrow(marked, out).join(shared, ["h", "g"]).select(
+    return some.join(shared, ["h", "g"]).select(
         "doc_id", "row", "paragraph", "word", F.lit(SPAN).cast("long").alias("n_words"), name.alias("cluster_id"), "cluster_size", place.eqNullSafe(F.col("first")).alias("kept"))
