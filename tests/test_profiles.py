@@ -69,3 +69,25 @@ def test_future_events_never_reach_a_feature(spark, sf):
     a = P.profile(P.tag_counts(t, ["subject"]), ["subject"], 10)
     b = P.profile(P.tag_counts(t.orderBy(F.rand(1)).repartition(13), ["subject"]), ["subject"], 10)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_asof_cuts_meet_only_tags_that_can_be_in_the_top(spark):
+    """300 tags seen once after ten have come twice: no cut reads them again, and profiles equal direct truncation."""
+    rows = [(1, i, 1 + i // 10, f"often{i % 10}", 1) for i in range(20)] + [(1, 100 + i, 3 + i % 5, f"once{i}", 1) for i in range(300)]
+    rows += [(2, 900, None, "a", 1), (2, 901, 2, "a", 1), (2, 902, 4, "b", 1), (2, 903, 4, "b", 2), (2, 904, 4, "b", 3), (None, 905, 2, "a", 1)]
+    t = tagged(spark, rows)
+    cuts = spark.createDataFrame([(s, c) for s in (1, 2) for c in range(1, 9)], "subject long, cut int")
+    act = t.groupBy("subject", "period").agg(F.count_distinct("event_id").alias("n_events"))
+    steps = P.history_steps(t, "subject")
+    for k in (2, 10):
+        out = P.asof_profiles(steps, act, cuts, "subject", k)
+        got = {(r["subject"], r["cut"]): r for r in out.collect()}
+        for s, c in [(1, 1), (1, 2), (1, 5), (1, 8), (2, 2), (2, 3), (2, 4)]:
+            seen = [r for r in rows if r[0] == s and (r[2] is None or r[2] <= c)]
+            live = {r[3] for r in seen if r[2] is not None}
+            d = P.profile(P.tag_counts(spark.createDataFrame([r for r in seen if r[3] in live], "subject long, event_id long, period int, tag string, tag_pos int"), ["subject"]), ["subject"], k).first()
+            assert got[s, c]["tags"] == d["tags"] and got[s, c]["breadth"] == len(live)
+            assert got[s, c]["prod"] == len([r for r in seen if r[2] is not None])
+        assert (2, 1) not in got
+    at = cuts.where("subject = 1 and cut > 2").withColumn("_least", F.lit(2))
+    assert P.asof_counts(steps, at, "subject").count() == 6 * 10
