@@ -127,3 +127,27 @@ def test_walk_vectors_part_two_cliques(spark):
     def cos(a, b):
         return float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
     assert min(cos(2, i) for i in range(3, 7)) > max(cos(2, i) for i in range(9, 14))
+
+
+def test_cooccurrences_equal_counting_every_place(spark):
+    rng = np.random.default_rng(5)
+    paths = [(i % 3, rng.integers(0, 9, size=int(n)).tolist()) for i, n in enumerate(rng.integers(1, 12, size=60))]
+    want = {}
+    for s, p in paths:
+        for i, j in itertools.permutations(range(len(p)), 2):
+            if abs(i - j) <= 4:
+                want[s, p[i], p[j]] = want.get((s, p[i], p[j]), 0) + 1
+    w = spark.createDataFrame(paths, "seed int, path array<long>").repartition(3)
+    pairs = G.cooccurrences(w, ["seed"], 4)
+    assert {(r["seed"], r["node"], r["context"]): r["n"] for r in pairs.collect()} == want
+    named = G.cooccurrences(w.select("seed", F.transform("path", lambda x: F.concat(F.lit("n"), x)).alias("path")), ["seed"], 4)
+    assert {(r["seed"], int(r["node"][1:]), int(r["context"][1:])): r["n"] for r in named.collect()} == want
+
+
+def test_pairs_are_summed_before_they_leave_a_batch(spark):
+    """One batch of equal paths: the aggregate reads a row per unordered pair, not one per place."""
+    w = spark.createDataFrame([(0, [1, 2, 3, 4])] * 500, "seed int, path array<long>").coalesce(1)
+    pairs = G.cooccurrences(w, ["seed"], 2)
+    assert {r["n"] for r in pairs.collect()} == {500}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and pairs.count() == 10
