@@ -101,6 +101,33 @@ def test_communities_of_odd_graphs(spark):
     assert two[1] == two[2] != two[3] == two[4]
 
 
+def test_a_hub_takes_many_nodes_in_few_rounds(spark):
+    """300 arms of two nodes around a hub that gains by 34 of them: one move a round would need as many rounds."""
+    arms = [e for i in range(1, 301) for e in ((0, i), (i, 1000 + i))]
+    e = spark.createDataFrame(arms, "src long, dst long")
+    lab = {r["node"]: r["community"] for r in G.communities(e, coin_rounds=0, most_rounds=15).collect()}
+    assert all(lab[i] == lab[1000 + i] for i in range(1, 301)) and 25 < sum(lab[i] == lab[0] for i in range(1, 301)) < 45
+
+
+def test_safe_moves_gain_together(spark):
+    rng = np.random.default_rng(6)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, size=(150, 2)).tolist() if a != b})
+    own = {n: n % 9 for n in range(60)}
+    deg = {n: float(sum(n in p for p in pairs)) for n in own}
+    m2 = sum(deg.values())
+    tot = {c: sum(deg[n] for n in own if own[n] == c) for c in range(9)}
+    links = {(n, c): sum(own[b if a == n else a] == c for a, b in pairs if n in (a, b)) for n in own for c in range(9)}
+    wants = []
+    for n in own:
+        gain = {c: links[n, c] - deg[n] * (tot[c] - (deg[n] if c == own[n] else 0)) / m2 for c in range(9)}
+        best = max(gain, key=lambda c: (gain[c], c))
+        if gain[best] - gain[own[n]] > 1e-8:
+            wants.append((n, own[n], best, gain[best] - gain[own[n]], deg[n], m2))
+    go = {r["node"]: r["to"] for r in G._safe(spark.createDataFrame(wants, "node long, own long, to long, rise double, deg double, m2 double"), []).collect()}
+    before, after = modularity(pairs, own), modularity(pairs, own | go)
+    assert go and after > before and not {own[n] for n in go} & set(go.values())
+
+
 def test_step_frequencies_follow_the_weights(spark):
     e = spark.createDataFrame([(0, 1)] * 6 + [(0, 2)] * 3 + [(0, 3)], "src long, dst long")
     w = G.seeded_walks(e, 400, 2, [0, 1]).where("node = 0").select(F.col("path")[1].alias("to")).groupBy("to").count().collect()
