@@ -20,6 +20,7 @@ MOST = 4096            # texts of a tile that one task compares with each other
 LIMITS = (3, 16, None)  # candidates of a text in a tile: the last round has no limit
 BITS = (512, 32768)    # least and most bits of a signature
 STEP = 64
+HELD = 50_000         # pairs a task holds before it passes them on; repeats among them are removed later
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,11 +64,15 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
         cells, last = np.zeros(CELLS, np.int32), []
         for batch in batches:
             for part in sized_slices(batch, 2):
-                words = [words_of(t or "") for t in part.column(2).to_pylist()]
-                sets = [shingle_set(w, shingle) for w in words]
-                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": part.column(1), "name": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
-                                                  "n": pa.array([len(s) for s in sets], pa.int64()), "page": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
+                names, sizes = [], []
+                for t in part.column(2):  # a text at a time: words as objects take ten times its bytes
+                    words = words_of(t.as_py() or "")
+                    held = shingle_set(words, shingle)
+                    np.add.at(cells, (held & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                    names.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    sizes.append(len(held))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": part.column(1), "name": pa.array(names, pa.binary()),
+                                                  "n": pa.array(sizes, pa.int64()), "page": pa.nulls(len(sizes), pa.int32()), "counts": pa.nulls(len(sizes), pa.binary())})
         for p in range(CELLS // PAGE):
             if (held := cells[p * PAGE:(p + 1) * PAGE]).any():
                 last.append((p, np.minimum(held, 255).astype(np.uint8).tobytes()))  # a task counts to 255
@@ -106,40 +111,38 @@ def _page(page: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int32()), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _marked_texts(docs: DataFrame, marks) -> DataFrame:
-    """(key, text) of the rows whose key is marked in the broadcast map."""
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(marks.value.have(batch.column(0).to_numpy())))
-    return plain(docs, "doc_id", "text").select(row_key().alias("key"), "text").mapInArrow(run, "key long, text string")
+def _per_text(docs: DataFrame, marks, out: T.StructType, make) -> DataFrame:
+    """``make()(words)``, one row, of the texts whose key is marked in the broadcast map. One process of a task picks the rows and
+    works on them, a text at a time."""
+    def start():
+        work = make()
 
+        def run(part, texts):
+            rows = [work(words_of(texts[i])) for i in np.flatnonzero(marks.value.have(part.column(0).to_numpy())).tolist()]
+            return [list(c) for c in zip(*rows)] if rows else [[] for _ in out.fields]
+        return run
+    return per_slice(plain(docs, "doc_id", "text").select(row_key().alias("key"), "text"), "text", out, start)
 
-def _heads(texts: DataFrame, classes, shingle: int, percent: int) -> DataFrame:
-    """(name, n, heads, sig): size, prefix shingles and bitmap of each text."""
+
+def _heads(docs: DataFrame, marks, classes, shingle: int, percent: int) -> DataFrame:
+    """(name, n, heads, sig): size, prefix shingles and bitmap of each marked text."""
     out = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("heads", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
     def make():
-        def work(part, texts):
-            words = [words_of(t) for t in texts]
-            sets = [shingle_set(w, shingle) for w in words]
-            heads = [prefix(s, classes.value, percent) for s in sets]
-            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *heads]).view(np.int64)))
-            return [[xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [len(s) for s in sets], flat, [signature(s) for s in sets]]
+        def work(words):
+            held = shingle_set(words, shingle)
+            return xxhash.xxh3_128_digest(b" ".join(words)), len(held), prefix(held, classes.value, percent).view(np.int64), signature(held)
         return work
-    return per_slice(texts, "text", out, make)
+    return _per_text(docs, marks, out, make)
 
 
-def _bodies(texts: DataFrame, shingle: int) -> DataFrame:
-    """(name, body): the sorted shingle hashes of each text."""
+def _bodies(docs: DataFrame, marks, shingle: int) -> DataFrame:
+    """(name, body): the sorted shingle hashes of each marked text."""
     out = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("body", T.BinaryType())])
 
     def make():
-        def work(part, texts):
-            words = [words_of(t) for t in texts]
-            return [[xxhash.xxh3_128_digest(b" ".join(w)) for w in words], [shingle_set(w, shingle).tobytes() for w in words]]
-        return work
-    return per_slice(texts, "text", out, make).groupBy("name").agg(F.first("body").alias("body"))
+        return lambda words: (xxhash.xxh3_128_digest(b" ".join(words)), shingle_set(words, shingle).tobytes())
+    return _per_text(docs, marks, out, make).groupBy("name").agg(F.first("body").alias("body"))
 
 
 def banded(entries: DataFrame, percent: int) -> DataFrame:
@@ -215,6 +218,9 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
                     out[tile] = None
                 if found == limit:
                     break
+                if len(out) > HELD:
+                    yield _pairs(out)
+                    out.clear()
 
     def run(batches):
         held, now = [], None
@@ -225,14 +231,14 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
             for s, e in zip(cuts, cuts[1:]):
                 if e > s:
                     if now is not None and now != tuple(at[s]):
-                        cell(pa.Table.from_batches(held), out)
+                        yield from cell(pa.Table.from_batches(held), out)
                         held = []
                     now = tuple(at[s])
                     held.append(batch.slice(s, e - s))
             if out:
                 yield _pairs(out)
         if held:
-            cell(pa.Table.from_batches(held), out := {})
+            yield from cell(pa.Table.from_batches(held), out := {})
             if out:
                 yield _pairs(out)
     return dealt.mapInArrow(run, "a binary, b binary, score double, h long, band int")
@@ -290,7 +296,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
     rows = scan.where("page is null").select("doc_id", "key", "name", "n")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     texts = materialise(rows.where("n > 0").groupBy("name").agg(F.min(place).alias("p")).select("name", F.col("p.doc_id").alias("first"), F.col("p.key").alias("key")), "texts")
-    heads = materialise(_heads(_marked_texts(docs, spark.sparkContext.broadcast(bit_map(texts, F.col("key")))), classes, shingle, percent), "heads")
+    heads = materialise(_heads(docs, spark.sparkContext.broadcast(bit_map(texts, F.col("key"))), classes, shingle, percent), "heads")
     shared = spark.sparkContext.broadcast(bit_map(heads.select(F.explode("heads").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), F.col("h")))
 
     def common(batches):
@@ -319,7 +325,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
             asked = asked.join(bodies.select("name"), "name", "left_anti")
         asked = materialise(asked.join(texts, "name").select("name", "key"), "asked")
         if not asked.isEmpty():
-            more = _bodies(_marked_texts(docs, spark.sparkContext.broadcast(bit_map(asked, F.col("key")))), shingle)
+            more = _bodies(docs, spark.sparkContext.broadcast(bit_map(asked, F.col("key"))), shingle)
             more = materialise(more.join(asked.select("name"), "name", "left_semi"), "bodies")
             bodies = more if bodies is None else bodies.unionByName(more)
         new = materialise(_verified(pairs, bodies, percent), "links")

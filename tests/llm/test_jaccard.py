@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from cohortry.llm import jaccard, queries
+from cohortry.llm.common import F, bit_map, row_key
 
 
 def brute(rows, percent=85):
@@ -68,6 +69,21 @@ def test_small_slices_and_another_bound(spark, corpus):
     assert found(spark, corpus, most=16, percent=60) == brute(corpus, 60)
 
 
+def test_pairs_are_passed_on_in_parts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 2)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.linked(df, most=8).collect()), key=str) == brute(corpus)
+
+
+def test_marked_texts_need_one_process(spark):
+    """Rows are picked and hashed by the same process of a task: a second one would hold another copy of the map and the texts."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, None)], "doc_id long, text string")
+    marks = spark.sparkContext.broadcast(bit_map(docs.where("doc_id = 1").select(row_key().alias("key")), F.col("key")))
+    bodies = jaccard._bodies(docs, marks, 4)
+    assert bodies._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [len(r["body"]) for r in bodies.collect()] == [16]
+
+
 def test_odd_tables(spark, docs, no_docs):
     assert jaccard.linked(no_docs).count() == 0
     got = jaccard.linked(docs).collect()
