@@ -4,7 +4,6 @@ repeat anywhere in the texts, found by the local minima of shingle hashes."""
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from itertools import repeat
 
 import numpy as np
@@ -198,13 +197,13 @@ def remove(docs: DataFrame, similarity: float = 0.8, least: int = LEAST_WORDS) -
     return both.select(*[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
-def anchors(words: list[bytes]) -> list[int]:
+def anchors(words: list[bytes]) -> np.ndarray:
     """Places of the words where a passage under test begins: the shingle of ANCHOR words there has the smallest hash
     within REACH places. The choice depends on the words around alone, so a repeated run of 51 words has such a place in
     its first 12 but for rare cases, whatever stands before it and however its lines are broken."""
     n = len(words) - ANCHOR + 1
     if len(words) < SPAN:
-        return []
+        return np.zeros(0, np.int64)
     ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(7)), np.uint64, len(words))
     h = ids[:n].copy()
     for j in range(1, ANCHOR):
@@ -215,7 +214,7 @@ def anchors(words: list[bytes]) -> list[int]:
     for j in range(1, REACH + 1):
         low[j:] = np.minimum(low[j:], h[:-j] if n > j else edge)
         low[:-j] = np.minimum(low[:-j], h[j:] if n > j else edge)
-    return np.flatnonzero(h[:len(words) - SPAN + 1] == low[:len(words) - SPAN + 1]).tolist()
+    return np.flatnonzero(h[:len(words) - SPAN + 1] == low[:len(words) - SPAN + 1])
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -228,18 +227,27 @@ def passages(docs: DataFrame) -> DataFrame:
 
     def make():
         def work(part, texts):
-            rows = []
-            for d, r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                words, starts, held = [], [], set()
+            counts, lines, places, names = [], [], [], []
+            for t in texts:
+                words, starts = [], []
                 for line in t.encode("utf-8", "surrogatepass").lower().split(b"\n"):
                     starts.append(len(words))
                     words += line.split()
-                for at in anchors(words):
-                    name = xxhash.xxh3_128_digest(b" ".join(words[at:at + SPAN]))
-                    if name not in held:
-                        held.add(name)
-                        rows.append((d, r, bisect_right(starts, at) - 1, at, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
-            return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+                at = anchors(words)
+                if len(at):
+                    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    begins = np.where(at > 0, ends[at - 1], 0)
+                    own = [xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(begins.tolist(), (ends[at + SPAN - 1] - 1).tolist())]
+                    if len(first := dict(zip(reversed(own), range(len(own) - 1, -1, -1)))) < len(own):  # the first place of each
+                        at, own = at[list(first.values())], list(first)
+                    lines.append(np.searchsorted(starts, at, side="right") - 1)
+                    places.append(at)
+                    names += own
+                counts.append(len(at))
+            hashes = np.frombuffer(b"".join(names), ">i8").astype(np.int64).reshape(-1, 2)
+            ids = pa.array(np.repeat(np.arange(len(counts)), counts))
+            none = [np.zeros(0, np.int64)]
+            return [part.column(0).take(ids), part.column(1).take(ids), pa.array(np.concatenate(none + lines)), pa.array(np.concatenate(none + places)), *map(pa.array, np.ascontiguousarray(hashes.T))]
         return work
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
     found = materialise(per_slice(rows, "text", out, make), "passages")
