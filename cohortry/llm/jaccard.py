@@ -68,7 +68,7 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
                 for t in part.column(2):  # a text at a time: words as objects take ten times its bytes
                     words = words_of(t.as_py() or "")
                     held = shingle_set(words, shingle)
-                    np.add.at(cells, (held & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                    cells[(held & np.uint64(CELLS - 1)).astype(np.int64)] += 1  # a text counts once in a cell
                     names.append(xxhash.xxh3_128_digest(b" ".join(words)))
                     sizes.append(len(held))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": part.column(1), "name": pa.array(names, pa.binary()),
