@@ -181,7 +181,8 @@ def clusters(docs: DataFrame, similarity: float = 0.8, least: int = LEAST_WORDS)
     names = members.select("name").distinct()
     wanted = spark.sparkContext.broadcast(bit_map(names, F.conv(F.substring("name", 1, 15), 16, 10).cast("long")))
     bodies = materialise(_bodies(docs, least, wanted), "bodies")
-    near = materialise(components(verified_links(members.join(bodies, "name"), similarity)), "near")
+    links = materialise(verified_links(members.join(bodies, "name"), similarity), "links")  # read twice below
+    near = materialise(components(links), "near")
     slim = occ.select("doc_id", "row", "paragraph", "n_words", "name").join(near, occ.name == near.node, "left").withColumn("cluster_id", F.coalesce("component", "name"))
     slim = materialise(slim.select("doc_id", "row", "paragraph", "n_words", "cluster_id"), "clustered")
     place = F.struct("doc_id", "row", "paragraph")

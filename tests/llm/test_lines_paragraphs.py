@@ -109,6 +109,16 @@ def test_near_paragraphs_and_slices(spark, monkeypatch):
     assert gone and all(("\n" not in t) == (d in gone) for d, t in left.items())
 
 
+def test_paragraphs_are_compared_once(spark, monkeypatch):
+    """The links are written before the components read them: their plan has no comparison left."""
+    plans, inner = [], paragraphs.components
+    monkeypatch.setattr(paragraphs, "components", lambda e: plans.append(e._jdf.queryExecution().optimizedPlan().toString()) or inner(e))
+    text = " ".join(f"w{i}" for i in range(40))
+    got = paragraphs.clusters(spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.cluster_size, r.kept) for r in got) == [(1, 2, True), (2, 2, False)]
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
 def test_paragraph_cases(docs, no_docs):
     assert {r.doc_id for r in paragraphs.clusters(docs, least=5).collect()} == {1, 5, 7}
     assert paragraphs.clusters(no_docs).count() == 0
