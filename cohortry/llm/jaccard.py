@@ -21,6 +21,7 @@ LIMITS = (3, 16, None)  # candidates of a text in a tile: the last round has no
 BITS = (512, 32768)    # least and most bits of a signature
 STEP = 64
 HELD = 50_000         # pairs a task holds before it passes them on; repeats among them are removed later
+DEALS = 2             # tasks that share the tiles of a group of near copies
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,6 +146,22 @@ def _bodies(docs: DataFrame, marks, shingle: int) -> DataFrame:
     return _per_text(docs, marks, out, make).groupBy("name").agg(F.first("body").alias("body"))
 
 
+def short_key(h):
+    """The low 40 bits of a hash: what is counted for a map of marks needs no more, and fewer bytes are shuffled."""
+    return h.bitwiseAND(F.lit((1 << 40) - 1).cast("long"))
+
+
+def marked(rows: DataFrame, key, wanted: DataFrame, value) -> DataFrame:
+    """The rows whose ``key`` is among the ``value`` of ``wanted``; a chance hit of the map stays, so a join decides behind it."""
+    marks = rows.sparkSession.sparkContext.broadcast(bit_map(wanted, value))
+    keyed = rows.select(key.alias("_mark"), *rows.columns)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marks.value.have(batch.column(0).to_numpy())))
+    return keyed.mapInArrow(run, keyed.schema).drop("_mark")
+
+
 def banded(entries: DataFrame, percent: int) -> DataFrame:
     """Each entry (h, name, n) in the tile of its own size band, and as a visitor in the next: sizes that may be similar
     lie in one band or in neighbours."""
@@ -154,35 +171,41 @@ def banded(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles_of(entries: DataFrame, percent: int) -> DataFrame:
-    """(h, band, own, name, n) of the tiles with something to compare; of tiles with the same texts one is kept."""
+    """(h, band, own, name, n) of the tiles with something to compare; of tiles with the same texts one is kept. Most tiles
+    hold one text: tiles are counted by a hash first, and only rows of those with more are shuffled whole."""
     rows = banded(entries, percent)
+    key = short_key(F.xxhash64("h", "band"))
+    some = rows.select(key.alias("k"), "own").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o")).where("c > 1 and o")
+    rows = marked(rows, key, some, F.col("k"))
     mark = [F.bit_xor(F.xxhash64(F.lit(k), "name", "own")).alias(f"x{k}") for k in (1, 2)]
     alike = rows.groupBy("h", "band").agg(F.count(F.lit(1)).alias("c"), F.count_if("own").alias("o"), *mark).where("c > 1 and o > 0")
     return rows.join(alike.groupBy("band", "c", "o", "x1", "x2").agg(F.min("h").alias("h")).select("h", "band"), ["h", "band"])
 
 
 def _cells(tiles: DataFrame, comp: DataFrame | None, first: bool, most: int) -> DataFrame:
-    """(h, band, slice, partly, own, name, n, comp, drives): what is to be compared, and who looks for partners. Tiles whose texts are all of one component are
-    left out. A tile of more than ``most`` texts is cut into slices by hash; the texts outside its largest component visit
+    """(h, band, slice, partly, own, name, n, comp, drives, deal): what is to be compared, and who looks for partners. Tiles whose texts are all of one component are
+    left out. ``deal`` is the smallest hash of a tile's names: tiles of nearly the same texts mostly agree in it. A tile of more than ``most`` texts is cut into slices by hash; the texts outside its largest component visit
     all slices, those inside stay at home: among them nothing is left to find. The first round has no visits."""
     rows = tiles if comp is None else tiles.join(comp.select(F.col("node").alias("name"), "component"), "name", "left")
     rows = rows.withColumn("comp", F.coalesce("component", "name") if comp is not None else F.col("name"))
-    sizes = rows.groupBy("h", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o"))
-    cut = (sizes.groupBy("h", "band").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("any_own"), F.max_by("comp", F.struct("c", "comp")).alias("large"))
-           .where("parts > 1 and any_own").select("h", "band", F.ceil(F.col("total") / most).cast("int").alias("slices"), "large"))
+    sizes = rows.groupBy("h", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("o"), F.min(F.xxhash64("name")).alias("d"))
+    cut = (sizes.groupBy("h", "band").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"), F.max("o").alias("any_own"), F.max_by("comp", F.struct("c", "comp")).alias("large"), F.min("d").alias("deal"))
+           .where("parts > 1 and any_own").select("h", "band", F.ceil(F.col("total") / most).cast("int").alias("slices"), "large", "deal"))
     home = F.pmod(F.xxhash64("name"), F.col("slices")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("slices") - 1)
     where = F.array(home) if first else F.when(F.col("comp") == F.col("large"), F.array(home)).otherwise(everywhere)
-    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), (F.lit(first) & (F.col("slices") > 1)).alias("partly"), "own", "name", "n", "comp", (F.lit(True) if first else F.col("comp") != F.col("large")).alias("drives"))
+    return rows.join(cut, ["h", "band"]).select("h", "band", F.explode(where).alias("slice"), (F.lit(first) & (F.col("slices") > 1)).alias("partly"), "own", "name", "n", "comp", (F.lit(True) if first else F.col("comp") != F.col("large")).alias("drives"), "deal")
 
 
 def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: int, first: bool) -> DataFrame:
     """(a, b, score): pairs of different components whose bitmaps allow the wanted overlap: for each text a that looks for partners
     at most ``limit`` in a slice of a tile, those nearest in size first, smaller ones before larger ones. Texts of a tile's largest
     component need not look: whoever is outside looks for them. Rows without a pair name the tiles (h, band) that have to be looked
-    at again: where the limit was met or slices had no visits, and in the first round, which tests one partner of a text, where any was found."""
-    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig", "drives", "partly")
-    dealt = rows.repartition("h", "band", "slice").sortWithinPartitions("h", "band", "slice", "n", "name")
+    at again: where the limit was met or slices had no visits, and in the first round, which tests one partner of a text, where any was found.
+    Tiles of nearly the same texts go to one of DEALS tasks, where a pair they share is passed on once and not once a tile."""
+    rows = cells.join(sigs, "name").select("h", "band", "slice", "own", "n", "name", "comp", "sig", "drives", "partly", "deal")
+    rows = rows.withColumn("turn", F.pmod(F.xxhash64("h"), F.lit(DEALS)))
+    dealt = rows.repartition("deal", "turn", "band", "slice").sortWithinPartitions("deal", "turn", "h", "band", "slice", "n", "name").drop("deal", "turn")
 
     def cell(part: pa.Table, out: dict):
         m, tile = part.num_rows, (part.column("h")[0].as_py(), part.column("band")[0].as_py())
@@ -212,7 +235,9 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
                 near, share = partners(i, at if at[0] < i else at[own[at]])
                 if limit is not None:
                     near, share = near[: limit - found], share[: limit - found]
-                out.update(((names[i], names[j]), v) for j, v in zip(near.tolist(), share.tolist()))
+                for j, v in zip(near.tolist(), share.tolist()):
+                    pair = (names[i], names[j]) if first or names[i] < names[j] else (names[j], names[i])
+                    out[pair] = min(v, out.get(pair, v))
                 found += len(near)
                 if found == limit or first and found:
                     out[tile] = None
@@ -221,13 +246,15 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
                 if len(out) > HELD:
                     yield _pairs(out)
                     out.clear()
+        if len(out) > HELD:
+            yield _pairs(out)
+            out.clear()
 
     def run(batches):
-        held, now = [], None
+        held, now, out = [], None, {}
         for batch in batches:
             at = np.column_stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
             cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
-            out: dict = {}
             for s, e in zip(cuts, cuts[1:]):
                 if e > s:
                     if now is not None and now != tuple(at[s]):
@@ -235,12 +262,10 @@ def _candidates(cells: DataFrame, sigs: DataFrame, limit: int | None, percent: i
                         held = []
                     now = tuple(at[s])
                     held.append(batch.slice(s, e - s))
-            if out:
-                yield _pairs(out)
         if held:
-            yield from cell(pa.Table.from_batches(held), out := {})
-            if out:
-                yield _pairs(out)
+            yield from cell(pa.Table.from_batches(held), out)
+        if out:
+            yield _pairs(out)
     return dealt.mapInArrow(run, "a binary, b binary, score double, h long, band int")
 
 
@@ -297,7 +322,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     texts = materialise(rows.where("n > 0").groupBy("name").agg(F.min(place).alias("p")).select("name", F.col("p.doc_id").alias("first"), F.col("p.key").alias("key")), "texts")
     heads = materialise(_heads(docs, spark.sparkContext.broadcast(bit_map(texts, F.col("key"))), classes, shingle, percent), "heads")
-    shared = spark.sparkContext.broadcast(bit_map(heads.select(F.explode("heads").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), F.col("h")))
+    shared = spark.sparkContext.broadcast(bit_map(heads.select(F.explode("heads").alias("h")).select(short_key(F.col("h")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), F.col("h")))
 
     def common(batches):
         for batch in batches:
@@ -310,7 +335,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
     sigs = materialise(heads.select("name", "sig").join(tiles.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("sig").alias("sig")), "signatures")
     links = tested = near = bodies = None
     for i, limit in enumerate(LIMITS):
-        found = materialise(_candidates(_cells(tiles, near, i == 0, most), sigs, limit, percent, i == 0), "candidates")
+        cells = _cells(tiles, near, i == 0, most)
+        if i:  # few texts are left: only their bitmaps are dealt, and below only their bodies
+            cells = materialise(cells, "cells")
+        found = materialise(_candidates(cells, marked(sigs, F.xxhash64("name"), cells, F.xxhash64("name")) if i else sigs, limit, percent, i == 0), "candidates")
         tiles = tiles.join(found.where("a is null").select("h", "band").distinct(), ["h", "band"], "left_semi")
         pairs = found.where("a is not null")
         if i == 0:  # the most promising partner of each text alone
@@ -328,7 +356,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, most
             more = _bodies(docs, spark.sparkContext.broadcast(bit_map(asked, F.col("key"))), shingle)
             more = materialise(more.join(asked.select("name"), "name", "left_semi"), "bodies")
             bodies = more if bodies is None else bodies.unionByName(more)
-        new = materialise(_verified(pairs, bodies, percent), "links")
+        both = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+        new = materialise(_verified(pairs, marked(bodies, F.xxhash64("name"), both, F.xxhash64("name")) if i else bodies, percent), "links")
         links = new if links is None else links.unionByName(new)
         near = materialise(components(links), "near")
     if near is None:

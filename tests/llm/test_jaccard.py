@@ -75,6 +75,27 @@ def test_pairs_are_passed_on_in_parts(spark, corpus, monkeypatch):
     assert sorted(map(tuple, jaccard.linked(df, most=8).collect()), key=str) == brute(corpus)
 
 
+def test_pairs_of_near_copies_are_passed_on_once_and_not_once_a_tile(spark):
+    rng, base, entries, sigs = random.Random(3), [b"b%d" % i for i in range(120)], [], []
+    for k in range(24):
+        v = list(base)
+        v[rng.randrange(4, 116)] = b"n%d" % k
+        held = jaccard.shingle_set(v)
+        sigs.append((bytes([k]), bytearray(jaccard.signature(held))))
+        entries += [(int(h), bytes([k]), len(held)) for h in jaccard.prefix(held, np.zeros(jaccard.CELLS, np.uint8), 85).view(np.int64)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tiles = jaccard.tiles_of(spark.createDataFrame(entries, "h long, name binary, n int"), 85)
+        found = jaccard._candidates(jaccard._cells(tiles, None, False, jaccard.MOST), spark.createDataFrame(sigs, "name binary, sig binary"), None, 85, False)
+        pairs = [frozenset((bytes(r.a), bytes(r.b))) for r in found.where("a is not null").collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(set(pairs)) > 24 and len(pairs) <= 4 * len(set(pairs)), (len(pairs), len(set(pairs)))
+
+
 def test_marked_texts_need_one_process(spark):
     """Rows are picked and hashed by the same process of a task: a second one would hold another copy of the map and the texts."""
     docs = spark.createDataFrame([(1, "a b c d e"), (2, None)], "doc_id long, text string")
