@@ -1,9 +1,12 @@
+import hashlib
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry.functions.digests import md5_of
 from cohortry.operators import draws as D, graph as G, many_models as ML, metrics as M, stats
 
 
@@ -60,6 +63,38 @@ def test_resampled_precision_equals_weighting_every_draw(spark):
     assert len(got) == 5 * draws
 
 
+def test_groups_that_share_keys_digest_each_key_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(M, "resample_matrix", lambda keys, draws, salt="boot", first=0: seen.extend(keys) or D.resample_matrix(keys, draws, salt, first))
+    kind = pa.list_(pa.struct([("g", pa.string()), ("y", pa.int64()), ("s", pa.float64())]))
+    rows = [[{"g": f"model {m}", "y": int((i + m) % 3 == 0), "s": float(i * m % 7)} for m in range(30)] for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["u"] * 40), pa.array([1] * 40, pa.int32()), pa.array([str(i) for i in range(40)]), pa.array(rows, kind)], names=["u", "block", "k", "r"])
+    out = pa.Table.from_batches(M._cells(300)([batch.slice(0, 25), batch.slice(25)])).to_pydict()
+    assert len(seen) == 40 and len(out["g"]) == 30 * 44 and sorted(set(out["draw"])) == list(range(256, 300))
+
+
+def test_resampled_precision_is_the_same_held_and_streamed(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f, m, i, int(rng.random() < 0.3), round(float(rng.normal()), 1)) for f, n in (("x", 300), ("y", 40)) for i in range(n) for m in ("a", "b", "c")]
+    scores = spark.createDataFrame([*rows, ("x", "a", 7, 1, 0.5), ("none", "a", 7, 0, 0.5)], "f string, m string, k long, y int, score double")
+
+    def run():
+        return {(r["f"], r["m"], r["draw"]): (r["positives"], r["rows"], r["ap"]) for r in M.resampled_precision(scores, ["f", "m"], "k", 260, share=["f"]).collect()}
+    held = run()
+    monkeypatch.setattr(M, "CELL", (200, 200))
+    mixed = run()
+    monkeypatch.setattr(M, "CELL", (0, 0))
+    streamed = run()
+    assert len(held) == 7 * 260 and held.keys() == mixed.keys() == streamed.keys()
+    for k, v in streamed.items():
+        assert held[k][:2] == mixed[k][:2] == v[:2] and held[k][2] == pytest.approx(v[2], abs=1e-12) and mixed[k][2] == pytest.approx(v[2], abs=1e-12)
+
+
+def test_digests_of_arrays_equal_the_library():
+    texts = [(b"%d" % (i * 7919))[-1 - i % 9:] * (1 + i % 13) for i in range(900)]
+    assert md5_of(texts).T.tobytes() == b"".join(hashlib.md5(x).digest() for x in texts)
+
+
 def test_resample_weights_are_poisson(spark):
     w = D.resample_matrix(list(range(400)), 200)
     share = np.bincount(w.reshape(-1), minlength=8)[:4] / w.size
