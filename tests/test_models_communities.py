@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.functions.digests import md5_of
-from cohortry.operators import draws as D, graph as G, many_models as ML, metrics as M, stats
+from cohortry.operators import draws as D, graph as G, many_models as ML, metrics as M, packed, stats
 
 
 def logit_by_steps(x, y, c):
@@ -213,3 +213,46 @@ def test_pairs_are_summed_before_they_leave_a_batch(spark):
     assert {r["n"] for r in pairs.collect()} == {500}
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and pairs.count() == 10
+
+
+def odd_graph(spark):
+    r = np.random.default_rng(2)
+    return spark.createDataFrame([(0, int(i)) for i in range(1, 40)] + [(int(a), int(b)) for a, b in r.integers(1, 60, size=(90, 2)) if a != b] + [(3, None), (70, 71)], "src long, dst long")
+
+
+def test_walks_are_the_same_with_a_held_graph_and_by_joins(spark, monkeypatch):
+    def run():
+        return sorted((r["seed"], r["node"], r["walk"], tuple(r["path"])) for r in G.seeded_walks(odd_graph(spark), 3, 12, [0, 4]).collect())
+    held = run()
+    monkeypatch.setattr(packed, "PLACES", 0)
+    assert held == run() and len(held) > 100
+
+
+def test_held_walks_join_no_step(spark):
+    plan = G.seeded_walks(odd_graph(spark), 2, 30, [0])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_packed_vectors_equal_those_of_rows(spark):
+    w = G.seeded_walks(odd_graph(spark).where("dst is not null"), 5, 20, [0, 1])
+    rows, whole, parts = (G.cooccurrences(w, ["seed"], 3, form) for form in ("rows", "packed", "parts"))
+    assert whole.count() == whole.select("seed", "node").distinct().count()
+    assert {(r["seed"], r["node"], c): n for r in whole.collect() for c, n in zip(r["contexts"], r["counts"])} == {(r["seed"], r["node"], r["context"]): r["n"] for r in rows.collect()}
+
+    def vectors(df):
+        return {(r["seed"], r["node"]): np.array(r["v"]) for r in df.collect()}
+    want, got = vectors(G.projected_vectors(rows, ["seed"], 70)), vectors(G.projected_vectors(parts, ["seed"], 70))
+    assert want.keys() == got.keys() and all(np.array_equal(want[k], got[k]) for k in want)
+    want, got = (vectors(G.factor_vectors(G.shifted_ppmi(p, ["seed"], 1.0), ["seed"], 6)) for p in (rows, whole))
+    assert want.keys() == got.keys() and max(np.abs(want[k] - got[k]).max() for k in want) < 1e-6
+    plan = G.projected_vectors(parts, ["seed"], 8)._jdf.queryExecution().executedPlan().toString()
+    assert "context" not in plan.split("Exchange")[1].split("MapInArrow")[0]  # no pair is shuffled
+
+
+def test_pairs_of_a_full_task_are_counted_in_parts(spark, monkeypatch):
+    w = pa.RecordBatch.from_pydict({"path": [[1, 2, 3, 1]] * 50})
+    out = list(packed._counted(w, 0, [w.column(0).flatten()], [np.full(50, 4)], 2))
+    assert {(n, c): k for b in out for n, cs, ks in zip(*[x.to_pylist() for x in b.columns]) for c, k in zip(cs, ks)} == {(1, 2): 100, (1, 3): 100, (2, 1): 100, (2, 3): 50, (3, 1): 100, (3, 2): 50}
+    monkeypatch.setattr(packed, "BLOCK", 7)
+    again = list(packed._counted(w, 0, [w.column(0).flatten()], [np.full(50, 4)], 2))
+    assert len(again) > 20 and sum(sum(map(sum, b.column(2).to_pylist())) for b in again) == 500
